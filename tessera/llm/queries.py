@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, mixing, packing, quality, simhash
+from tessera.llm import chat, jpeg, langid, line_dedup, lm_score, mixing, packing, quality, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,11 +24,19 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.col("src").alias("source"), "copies")
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_held_out(_table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
     return packed.select("doc_id", "start", "length", F.crc32("ids_le").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -38,14 +46,40 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(_table(spark, sf_dir, "documents"), counts=True).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests come from the formatted text: turns as parsed from it, loss text as cut from it by the loss spans."""
+    said = F.lit("\\### Assistant: </turn> ok")
+    test = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    chats = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(test)
+    read = chat.read_chats(chat.format_chats(chats)).withColumn("mask", chat.loss_mask(F.col("segments")))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(F.coalesce(t["role"], F.lit("")), F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join(F.transform("mask", lambda m: chat.unescape(F.substring(F.col("formatted"), m["start"] + 1, m["length"]))), "")
+    out = read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), told.alias("told"), loss.alias("loss"), F.char_length("formatted").cast("long").alias("formatted_chars"), "valid")
+    return out.select("conv_id", "n_turns", F.sha2("told", 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "valid")
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(_table(spark, sf_dir, "documents"), 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = jpeg.to_media(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    read = jpeg.read_media(stored, tensor=False, payload=True)
+    return read.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {f.__name__: f for f in (op1_mixing, op3_packing, op5_simhash, op6_line_dedup, op9_quality)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_mixing, op2_langid, op3_packing, op4_lm_score, op5_simhash, op6_line_dedup, op7_chat, op8_sharding, op9_quality, op10_jpeg)} | {"pipeline": corpus_pipeline.run}
 
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -97,5 +131,47 @@ FROM judged
 """
 
 
+OP4_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+uni AS (SELECT rid, unnest(range(1, len(w) + 1)) AS i, w FROM docs),
+tok AS (SELECT rid, i, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a FROM uni),
+one AS (SELECT b, count(*) AS n FROM tok GROUP BY b),
+two AS (SELECT a, b, count(*) AS n FROM tok WHERE a IS NOT NULL GROUP BY a, b),
+allw AS (SELECT sum(n) AS n FROM one),
+sc AS (
+  SELECT t.rid, CASE WHEN t.a IS NULL THEN ln(CAST(o.n AS DOUBLE) / allw.n)
+                     WHEN two.n >= 2 THEN ln(CAST(two.n AS DOUBLE) / c.n)
+                     ELSE ln(CAST(0.4 AS DOUBLE)) + ln(CAST(o.n AS DOUBLE) / allw.n) END AS s
+  FROM tok t JOIN one o ON t.b = o.b LEFT JOIN one c ON t.a = c.b LEFT JOIN two ON t.a = two.a AND t.b = two.b CROSS JOIN allw),
+per AS (SELECT rid, count(*) AS n, sum(CAST(round(s * 1e6) AS BIGINT)) AS m FROM sc GROUP BY rid)
+SELECT d.doc_id, CAST(coalesce(p.n, 0) AS BIGINT) AS n_words, coalesce(CAST(p.m AS DOUBLE), 0) / 1e6 AS score
+FROM docs d LEFT JOIN per p USING (rid)
+"""
+
+OP7_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, role IS NULL AS none, coalesce(text, '') AS t, text FROM conversations
+  UNION ALL SELECT -7, n, r, false, '\### Assistant: </turn> ok', '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(n, r)),
+e AS (
+  SELECT *, length(replace(replace(t, '\', '\b'), '<', '\l')) + length('</turn>')
+         + CASE WHEN role IN ('system', 'user', 'assistant') THEN length(role) + 2
+                WHEN none THEN length('<other>') + 1
+                ELSE length('<other>') + 2 + length(replace(replace(replace(role, '\', '\b'), '<', '\l'), chr(10), '\n')) END AS n,
+         lead(role) OVER w AS next_role, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS turns
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, NOT none, role, text NULLS FIRST))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY k)) AS turns_sha256,
+       CAST(coalesce(sum(length(t)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(t, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(n) AS BIGINT) AS formatted_chars,
+       bool_and(CASE WHEN k = 1 THEN role IN ('system', 'user') ELSE true END)
+         AND bool_and(CASE WHEN k = turns THEN role = 'assistant'
+                           WHEN role = 'system' THEN k = 1 AND next_role = 'user'
+                           WHEN role = 'user' THEN next_role = 'assistant'
+                           WHEN role = 'assistant' THEN next_role = 'user' ELSE false END) AS valid
+FROM e GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": OP6_SQL, "op9_quality": OP9_SQL}
+    return {"op4_lm_score": OP4_SQL, "op6_line_dedup": OP6_SQL, "op7_chat": OP7_SQL, "op9_quality": OP9_SQL}
