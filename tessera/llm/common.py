@@ -68,7 +68,7 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def number(df: DataFrame, key: list[str], order: list[Column], spread: Column, buckets: int, name: str) -> DataFrame:
+def number(df: DataFrame, key: list[str], order: list[Column], spread: Column, name: str) -> DataFrame:
     """Add gapless 0-based positions within key as column name, without gathering a key in one task.
 
     Rows of a key are dealt into buckets by spread (leading order: bucket, then order); each bucket is numbered by a

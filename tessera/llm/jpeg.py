@@ -42,7 +42,7 @@ def _zigzag() -> np.ndarray:
 
 
 ZIGZAG = _zigzag()
-_SCALE = 13
+_SCALE = 18  # products of 11-bit coefficients then stay below 2^53
 _BASIS = np.rint(np.array([[(sqrt(1 / 8) if u == 0 else 0.5) * cos((2 * x + 1) * u * pi / 16) for u in range(8)] for x in range(8)]) * (1 << _SCALE))
 _MARKER = re.compile(rb"\xff[\x01-\xfe]")
 

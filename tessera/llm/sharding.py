@@ -5,8 +5,9 @@ of a shard's rows is cut into parts of about that size first, as it has to be cu
 hash. In each round a part's documents move to the shard in which most of the part is (ties: the least), as far as
 the quota of that shard's free rows admits: whole parts, by hash. Rounds end when nothing moves.
 
-Documents of parts then keep their shard up to its exact share of the rows; those beyond it and the documents without
-links fill what is left, numbered part by part, so that only parts at a border are cut. Counts so differ by one at most.
+Parts that have come together keep their shard up to its exact share of the rows; the other parts and the documents
+without links fill what is left, numbered part by part, so that only parts at a border are cut. Counts so differ by
+one at most.
 
 Defined results: null text is of size 16 and all null texts are one group; repeated rows are documents of their own;
 a table with fewer rows than shards leaves the last shards empty; an empty table gives an empty one.
@@ -25,26 +26,30 @@ ROUNDS = 6
 QUOTA = 0.25
 
 
+def _counts(df: DataFrame, key: str) -> dict[int, int]:
+    """Rows by shard: at most one entry a shard."""
+    return {r[key]: r["n"] for r in df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
 def propagate(linked: DataFrame, shards: int, room: int, rounds: int = ROUNDS) -> DataFrame:
     """linked (part, shard, ...) with shard moved towards the rest of the part; room: rows that a shard may hold."""
     now = linked
-    for _ in range(rounds):
+    for turn in range(rounds):
+        load = _counts(now, "shard")
+        free = [max(0, room - load.get(s, 0)) for s in range(shards)]
         cells = now.groupBy("part", "shard").agg(F.count(F.lit(1)).alias("n"))
-        best = cells.groupBy("part").agg(F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("b"), F.sum("n").alias("all")).select("part", (-F.col("b.s")).alias("goal"), (F.col("all") - F.col("b.n")).alias("moving"))
-        best = materialize(best)
-        load = {r["shard"]: r["n"] for r in now.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-        asked = {r["goal"]: r["n"] for r in best.where("moving > 0").groupBy("goal").agg(F.sum("moving").alias("n")).collect()}
+        has_room = F.element_at(F.array(*[F.lit(x > 0) for x in free]), F.col("shard") + 1)
+        # most neighbours first, among shards with room; the least shard on ties
+        best = F.max(F.struct(has_room.alias("open"), F.col("n").alias("n"), (-F.col("shard")).alias("s")))
+        parts = cells.groupBy("part").agg(best.alias("b"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        goals = materialize(parts.select("part", (-F.col("b.s")).alias("goal"), (F.col("all") - F.col("b.n")).alias("n")))
+        asked = {r["goal"]: r["n"] for r in goals.groupBy("goal").agg(F.sum("n").alias("n")).collect()}
         if not asked:
             break
-        leaving = {r["shard"]: r["n"] for r in now.join(best, "part").where("shard <> goal").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-        # half of what leaves counts as free already: the rest of the demand waits for the next round
-        share = [min(1.0, max(0.0, room - load.get(s, 0) + leaving.get(s, 0) / 2) / max(1, asked.get(s, 0))) for s in range(shards)]
-        chance = F.element_at(F.array(*[F.lit(x) for x in share]), F.col("goal") + 1)
-        admitted = F.pmod(F.xxhash64("part"), F.lit(1 << 20)) < chance * (1 << 20)
-        before = {k: sum(x.values()) for k, x in (("asked", asked),)}["asked"]
-        now = materialize(now.join(best.where(admitted).select("part", "goal"), "part", "left").withColumn("shard", F.coalesce("goal", "shard")).drop("goal"))
-        if before == 0:
-            break
+        # as many whole parts as the quota takes; what leaves a shard is room for the next round
+        chance = F.element_at(F.array(*[F.lit(min(1.0, free[s] / max(1, asked.get(s, 0)))) for s in range(shards)]), F.col("goal") + 1)
+        admitted = goals.where(F.pmod(F.xxhash64("part", F.lit(turn)), F.lit(1 << 20)) < chance * (1 << 20)).select("part", "goal")
+        now = materialize(now.join(admitted, "part", "left").withColumn("shard", F.coalesce("goal", "shard")).drop("goal"))
     return now
 
 
@@ -75,15 +80,19 @@ def shard_documents(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", t
     )
     moved = propagate(materialize(linked), shards, -(-total // shards), rounds)
     goal = [total // shards + (s < total % shards) for s in range(shards)]
-    count = {r["shard"]: r["n"] for r in moved.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-    stay = [min(goal[s], count.get(s, 0)) for s in range(shards)]
     order = [F.col("part"), F.col("doc_id"), F.col("size")]
-    ranked = materialize(number(moved, ["shard"], order, F.pmod(F.xxhash64("part"), F.lit(bucket_count(sum(count.values()), ROWS_PER_BUCKET * shards))), bucket_count(sum(count.values())), "slot"))
-    keeps = F.element_at(F.array(*[F.lit(x).cast("long") for x in stay]), F.col("shard") + 1)
-    settled = ranked.where(F.col("slot") < keeps)
-    over = ranked.where(F.col("slot") >= keeps).select(*base.columns, "part")
-    free = over.unionAll(base.join(groups, "group", "left_anti").select(*base.columns, F.xxhash64("group").alias("part")))
-    numbered = number(free, [], order, F.pmod(F.xxhash64("part"), F.lit(bucket_count(total))), bucket_count(total), "at")
+    # parts lie one after another in the numbering of a shard; those that are whole and end within its share stay
+    buckets = bucket_count(moved.count(), ROWS_PER_BUCKET * shards)
+    ranked = materialize(number(moved, ["shard"], order, F.pmod(F.xxhash64("part"), F.lit(buckets)), "slot"))
+    ends = ranked.groupBy("part").agg(F.max("slot").alias("end"), F.min("shard").alias("home"), F.max("shard").alias("away"))
+    share = F.element_at(F.array(*[F.lit(x).cast("long") for x in goal]), F.col("home") + 1)
+    whole = ends.where((F.col("home") == F.col("away")) & (F.col("end") < share)).select("part")
+    settled = materialize(number(ranked.drop("slot").join(whole, "part", "left_semi"), ["shard"], order, F.pmod(F.xxhash64("part"), F.lit(buckets)), "slot"))
+    count = _counts(settled, "shard")
+    stay = [count.get(s, 0) for s in range(shards)]
+    rest = ranked.join(whole, "part", "left_anti").select(*base.columns, "part")
+    free = rest.unionAll(base.join(groups, "group", "left_anti").select(*base.columns, F.xxhash64("group").alias("part")))
+    numbered = number(free, [], order, F.pmod(F.xxhash64("part"), F.lit(bucket_count(total))), "at")
     starts = [0, *accumulate(g - s for g, s in zip(goal, stay, strict=True))][:-1]
     shift = F.array(*[F.lit(s - a).cast("long") for s, a in zip(stay, starts, strict=True)])
     filled = numbered.withColumn("shard", _place(F.col("at"), starts).cast("int")).withColumn("slot", F.col("at") + F.element_at(shift, F.col("shard") + 1))
