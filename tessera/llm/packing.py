@@ -16,7 +16,7 @@ equal ids are packed on their own; an empty table gives an empty one.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import has_columns
 
 GROUP_TOKENS = 4_000_000
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
+SLICE_BYTES = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -40,44 +41,120 @@ class Limits:
 
 
 class WordTokenizer:
-    """Ids of whole texts for a tokenizer that drops white space, with the ids of each word kept.
+    """Ids of whole texts for a tokenizer that lowers case and drops white space, with the ids of each word kept.
 
-    Blank-separated words can be encoded one by one, as neither its normalizer nor its splits reach over ASCII blanks.
-    The store of words is emptied when it is full, so that memory is bounded.
+    Neither its normalizer nor its splits reach over ASCII blanks, nor over the border between a letter or digit and
+    the punctuation that ends a word, so that words and such ends are encoded by themselves. The store is emptied when
+    it is full, so that memory is bounded.
     """
 
+    END = ".,!?;:"
+    SEPARATOR = "|"
+
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tok, self.end = Tokenizer.from_file(path), end_id
+        self.separator = self.tok.encode(self.SEPARATOR, add_special_tokens=False).ids
+        self._empty()
+
+    def _empty(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat: list[np.ndarray] = []
+        self.pool, self.used = np.empty(1 << 16, np.uint32), 0
+        self.lens = np.empty(1 << 14, np.int64)
+
+    def _keep(self, words: list[str], ids: list[np.ndarray]) -> None:
+        flat, lens = np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.empty_like(self.pool)))
+        n = len(self.known)
+        while n + len(words) > len(self.lens):
+            self.lens = np.concatenate((self.lens, np.empty_like(self.lens)))
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.lens[n : n + len(words)] = lens
+        self.used += len(flat)
+        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def _encode(self, words: list[str]) -> None:
+        """Many words in one text, parted by a word of one id; one by one where that could go wrong."""
+        alone = [w for w in words if self.SEPARATOR in w or not w]
+        joined = [w for w in words if self.SEPARATOR not in w and w] if len(self.separator) == 1 else []
+        groups = [joined[i : i + 400] for i in range(0, len(joined), 400)]
+        for lo in range(0, len(groups), 20):
+            part = groups[lo : lo + 20]
+            for group, e in zip(part, self.tok.encode_batch([f" {self.SEPARATOR} ".join(g) for g in part], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.uint32)
+                cuts = np.flatnonzero(ids == self.separator[0])
+                if len(cuts) == len(group) - 1:
+                    starts, ends = np.concatenate(([0], cuts + 1)), np.concatenate((cuts, [len(ids)]))
+                    self._keep(group, [ids[s:t] for s, t in zip(starts.tolist(), ends.tolist(), strict=True)])
+                else:
+                    alone += group
+        if len(self.separator) != 1:
+            alone = words
+        for lo in range(0, len(alone), 1000):
+            part = alone[lo : lo + 1000]
+            self._keep(part, [np.array(e.ids, np.uint32) for e in self.tok.encode_batch(part, add_special_tokens=False)])
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Numbers of the words in the store, which takes in those that are new."""
+        each = words.dictionary_encode()
+        vocab = each.dictionary.to_pylist()
+        new = [w for w in vocab if w not in self.known]
+        if new:
+            self._encode(new)
+        known = self.known
+        return np.fromiter((known[w] for w in vocab), np.int64, len(vocab))[each.indices.to_numpy(zero_copy_only=False)]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, sizes): the ids of all texts, each with its end id, and their numbers."""
         words = pc.split_pattern_regex(pc.fill_null(texts.cast(pa.large_string()), ""), "[ \t\n\v\f\r]+")
         offsets = words.offsets.to_numpy()
         flat = words.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        vocab = flat.dictionary.to_pylist()
+        vocab = flat.dictionary
         if len(self.known) + len(vocab) > CACHE_WORDS:
-            self.known, self.flat = {}, []
-        new = [w for w in vocab if w not in self.known]
-        for w, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[w] = len(self.flat)
-            self.flat.append(np.array(e.ids, np.uint32))
-        parts = [self.flat[self.known[w]] for w in vocab]
-        parts.append(np.array([self.end], np.uint32))
-        lens = np.fromiter(map(len, parts), np.int64, len(parts))
-        starts = np.concatenate(([0], np.cumsum(lens)[:-1]))
-        pool = np.concatenate(parts)
-        codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = offsets[1:].astype(np.int64) - offsets[0]
-        codes = np.insert(codes, ends, len(parts) - 1)
+            self._empty()
+        # special tokens are matched before case is lowered
+        low = pc.if_else(pc.match_substring(vocab, "<|"), vocab, pc.ascii_lower(vocab))
+        core = pc.utf8_rtrim(low, characters=self.END)
+        core = pc.if_else(pc.match_substring_regex(core, r"[\p{L}\p{N}]$"), core, low)
+        pairs = np.empty((len(vocab), 2), np.int64)
+        pairs[:, 0], pairs[:, 1] = self._places(core), self._places(_tails(low, core))
+        starts = np.concatenate(([0], np.cumsum(self.lens[: len(self.known)])))
+        codes = pairs[flat.indices.to_numpy(zero_copy_only=False)].ravel()
+        # after each text comes the end id, which stands behind the store
+        finish = len(self.known)
+        lens = np.append(self.lens[:finish], 1)
+        pool = np.append(self.pool[: self.used], np.uint32(self.end))
+        codes = np.insert(codes, 2 * (offsets[1:].astype(np.int64) - offsets[0]), finish)
         n = lens[codes]
         after = np.cumsum(n)
         ids = pool[np.arange(after[-1] if len(after) else 0) + np.repeat(starts[codes] - after + n, n)]
-        cut = after[ends + np.arange(len(ends))]
-        return ids, np.diff(np.concatenate(([0], cut)))
+        ends = 2 * (offsets[1:].astype(np.int64) - offsets[0]) + np.arange(len(offsets) - 1)
+        return ids, np.diff(np.concatenate(([0], after[ends])))
+
+
+_tokenizers: dict[tuple[str, int], WordTokenizer] = {}
+
+
+def _tokenizer(path: str, end_id: int) -> WordTokenizer:
+    """One in each Python worker, which keeps its words from task to task."""
+    if (path, end_id) not in _tokenizers:
+        _tokenizers.clear()
+        _tokenizers[path, end_id] = WordTokenizer(path, end_id)
+    return _tokenizers[path, end_id]
+
+
+def _tails(whole: pa.Array, head: pa.Array) -> pa.Array:
+    """What whole has after head."""
+    whole, head = whole.cast(pa.large_binary()), head.cast(pa.large_binary())
+    offsets = whole.buffers()[1]
+    ends = np.frombuffer(offsets, np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    sizes = pc.subtract(pc.binary_length(whole), pc.binary_length(head)).to_numpy()
+    data = np.frombuffer(whole.buffers()[2] or b"", np.uint8)
+    after = np.concatenate(([0], np.cumsum(sizes)))
+    take = data[np.arange(after[-1]) + np.repeat(ends[1:] - after[1:], sizes)]
+    return pa.Array.from_buffers(pa.large_string(), len(whole), [None, pa.py_buffer(after.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(take))])
 
 
 def pack(pieces: list[tuple], limits: Limits, cut: bool = True) -> list[list[tuple]]:
@@ -205,6 +282,16 @@ def pack_examples(examples: DataFrame, key: str, tokens: str, loss_tokens: str,
     return rows.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of the batch with about `most` bytes of text each."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    bins = np.cumsum(sizes, dtype=np.int64) // most
+    cuts = [0, *(np.flatnonzero(np.diff(bins)) + 1).tolist(), batch.num_rows]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        if lo < hi:
+            yield batch.slice(lo, hi - lo)
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 2, limits: Limits = Limits(), ids: bool = True) -> DataFrame:
     """Pieces of tokenized texts in packed sequences.
 
@@ -217,7 +304,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
     schema = rows.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")], F.lit(b"").alias("ids_le")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode: Callable = WordTokenizer(tokenizer, end_id)
+        encode = _tokenizer(tokenizer, end_id)
         number = TaskContext.get().partitionId() << 33
         held: list[tuple[object, np.ndarray]] = []
         kind = pa.int64()
@@ -245,8 +332,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
         size = 0
         for batch in batches:
             kind = batch.schema.types[0]
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch, 1):
                 flat, sizes = encode(part.column(1))
                 cuts = np.cumsum(sizes)
                 held += [(d, flat[c - n : c]) for d, n, c in zip(part.column(0).to_pylist(), sizes.tolist(), cuts.tolist(), strict=True)]
