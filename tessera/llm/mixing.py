@@ -21,12 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ROWS_PER_BUCKET, has_columns, materialize, word_count
+from tessera.llm.common import has_columns, materialize, word_count
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
 STEPS = 60
 CLOSE = 1e-7
+BUCKET = 2_000
 
 
 def source_targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP) -> DataFrame:
@@ -109,7 +110,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     solved = tilts(hist.where("len > 0"), goals.where("size > 0"), cap)
     plan = materialize(
         goals.join(solved.withColumnRenamed("src", "_s"), F.col("src").eqNullSafe(F.col("_s")), "left")
-        .select(F.col("src").alias("_s"), F.col("size").alias("source_size"), "target", "mean", "tilt", "full", F.ceil(F.col("n") / F.lit(ROWS_PER_BUCKET)).alias("_buckets"))
+        .select(F.col("src").alias("_s"), F.col("size").alias("source_size"), "target", "mean", "tilt", "full", F.ceil(F.col("n") / F.lit(BUCKET)).alias("_buckets"))
     )
     rate = F.when(F.col("size") == 0, 0.0).when(F.col("full"), F.lit(float(cap))).otherwise(F.exp(F.least(F.col("tilt") * F.col("size") / F.col("mean"), F.lit(log(cap)))))
     dealt = (
