@@ -184,8 +184,11 @@ def _links(radius: int, keys: int):
 def links(prints: DataFrame, name: str, radius: int, bucket: int = BUCKET) -> DataFrame:
     """(a, b): links that connect exactly what the relation "radius or fewer differing bits" connects."""
     table = F.array(*[F.lit(m) for m in masks(radius)])
+    spark = prints.sparkSession
+    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     keyed = (
         prints.select(F.col(name).alias("fp")).distinct()
+        .repartition(spread, "fp")  # a small table would be one task, and each row becomes one for each mask
         .select("fp", F.posexplode(table).alias("t", "mask"))
         .select(F.col("t").cast("short").alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("k"), "fp")
     )
@@ -206,9 +209,10 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     rows = materialize(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "fp", shingle))
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes, "fp", radius), "a", "b")
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(rooted.join(names, "root").select("fp", "component_id"))
+    linked = roots.select(F.col("node").alias("fp"), "root").unionAll(roots.select(F.col("root").alias("fp"), "root").distinct())
+    names = linked.join(nodes, "fp").groupBy("root").agg(F.min("least").alias("name"), F.lit(True).alias("linked"))
+    named = linked.join(names, "root").select("fp", "name", "linked")
+    named = materialize(nodes.join(named, "fp", "left").select("fp", F.when(F.col("linked"), F.col("name")).otherwise(F.col("least")).alias("component_id")))
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
