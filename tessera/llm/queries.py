@@ -77,9 +77,7 @@ def op10_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
-
-    return {f.__name__: f for f in (op1_mixing, op2_langid, op3_packing, op4_lm_score, op5_simhash, op6_line_dedup, op7_chat, op8_sharding, op9_quality, op10_jpeg)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_mixing, op2_langid, op3_packing, op4_lm_score, op5_simhash, op6_line_dedup, op7_chat, op8_sharding, op9_quality, op10_jpeg)}
 
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
