@@ -11,6 +11,7 @@ from collections.abc import Iterable, Mapping
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.expr import bind
 
@@ -33,12 +34,12 @@ VOLATILE = {
 OPENING_HOURS = r"(?i)\b\d{1,2}h\d{0,2}\s*(?:às|a|-|–)\s*\d{1,2}h"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def without_marks(text: pd.Series) -> pd.Series:
     """NFKD without combining characters."""
     return text.map(lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)), na_action="ignore")

@@ -350,7 +350,7 @@ def x4_removed_percent(documents: DataFrame) -> DataFrame:
 
 @query("pages")
 def c1_html_blocks(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", F.posexplode(html.plain_blocks_udf(F.col("html"))).alias("pos", "b")).select("page_id", "pos", "b.kind", "b.level", "b.text")
+    return pages.select("page_id", F.posexplode(html.plain_blocks_udf()(F.col("html"))).alias("pos", "b")).select("page_id", "pos", "b.kind", "b.level", "b.text")
 
 
 @query("documents", sql=r"""
