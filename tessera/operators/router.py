@@ -125,7 +125,8 @@ def text_statistics(rows: DataFrame, text: str, terms: Sequence[str] = ()) -> Da
     body = rows.where(F.col(text).isNotNull()).select(words.alias("n"), tokens.alias("w"))
     flat = body.agg(F.count(F.lit(1)).alias("total"), F.min("n").alias("words_min"), F.max("n").alias("words_max"), F.bround(F.avg("n"), 2).alias("words_mean"), F.sum(F.size("w")).alias("tokens"), *[F.count_if(F.array_contains("w", x)).alias(f"mentions_{x}") for x in terms])
     distinct = body.select(F.explode("w").alias("w")).groupBy("w").agg(F.lit(1)).agg(F.count(F.lit(1)).alias("distinct_tokens"))
-    return flat.crossJoin(F.broadcast(distinct)).withColumn("type_token_ratio", F.bround(F.try_divide(F.col("distinct_tokens"), F.col("tokens")), 3))  # one row each
+    both = flat.withColumn("_one", F.lit(1)).join(distinct.withColumn("_one", F.lit(1)), "_one").drop("_one")  # one row each
+    return both.withColumn("type_token_ratio", F.bround(F.try_divide(F.col("distinct_tokens"), F.col("tokens")), 3))
 
 
 def save(model: PipelineModel, path: str) -> None:

@@ -198,16 +198,10 @@ def t11_operational(conversations: DataFrame) -> DataFrame:
 
 
 @query("documents", sql=r"""
-WITH b AS (SELECT line FROM (SELECT DISTINCT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents) WHERE line <> '' GROUP BY line
-           HAVING count(*) >= greatest(2, (SELECT floor(count(*) * 0.01) FROM documents))),
-k AS (SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '' AND trim(s) NOT IN (SELECT line FROM b)), chr(10)) AS t FROM documents)
-SELECT doc_id, length(t) AS n FROM k""")
+SELECT doc_id, md5(' ' || chr(10) || 'x' || coalesce(chr(10) || nullif(array_to_string(list_filter(string_split(text, chr(10)), lambda s: trim(s) NOT IN ('', 'Of.', 'In.')), chr(10)), ''), '')) AS main FROM documents""")
 def t12_main_text(documents: DataFrame) -> DataFrame:
-    lines = similarity.boilerplate_lines(documents, "text", 0.01)  # at most the mean number of lines / 0.01
-    listed = lines.agg(F.collect_list("line").alias("b"))
-    linked = F.concat(F.lit("![pic](a.png)\n"), F.lit("[x](http://y)\n"), "text")
-    body = F.col("doc_id"), X.main_text(linked, F.col("b"))
-    return documents.crossJoin(F.broadcast(listed)).select(body[0], (F.char_length(body[1]) - F.when(F.col("text") == "", 3).otherwise(F.when(F.size(F.filter(F.split("text", "\n"), lambda s: (F.trim(s) != "") & ~F.array_contains("b", F.trim(s)))) > 0, 4).otherwise(3))).cast("long").alias("n"))
+    linked = F.concat(F.lit("![pic](a.png)\n\n[x](http://y)\n"), "text")
+    return documents.select("doc_id", F.md5(X.main_text(linked, F.array(F.lit("Of."), F.lit("In."))).cast("binary")).alias("main"))
 
 
 @query("pages", sql="""
@@ -466,7 +460,7 @@ def d10_judgements(benchmark: DataFrame) -> DataFrame:
 
 
 @query("customer", sql="""
-SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'missing' WHEN 2 THEN 'not a number' ELSE 'out of range' END AS error, CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 90 + 0.5 END AS lat FROM customer""")
+SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'missing' WHEN 2 THEN 'not a number' ELSE 'out of range' END AS error, CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 90 + CAST(0.5 AS DOUBLE) END AS lat FROM customer""")
 def d12_coordinates(customer: DataFrame) -> DataFrame:
     i = F.col("c_custkey")
     raw = F.when(i % 4 == 0, F.concat((i % 90).cast("string"), F.lit(".5"))).when(i % 4 == 2, "north").when(i % 4 == 3, "91.5")
@@ -590,7 +584,7 @@ def a8_summary_counts(pages: DataFrame) -> DataFrame:
 
 @query("conversations", sql=r"""
 WITH t AS (SELECT len(regexp_extract_all(text, '\S+')) AS n, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM conversations)
-SELECT count(*) AS total, min(n) AS words_min, max(n) AS words_max, round_even(avg(n), 2) AS words_mean, CAST(sum(len(w)) AS BIGINT) AS tokens, count_if(list_contains(w, 'the')) AS mentions_the,
+SELECT count(*) AS total, min(n) AS words_min, max(n) AS words_max, round_even(avg(n), 2) AS words_mean, CAST(sum(len(w)) AS BIGINT) AS tokens, count(CASE WHEN list_contains(w, 'the') THEN 1 END) AS mentions_the,
        (SELECT count(DISTINCT x) FROM (SELECT unnest(w) AS x FROM t)) AS distinct_tokens, round_even((SELECT count(DISTINCT x) FROM (SELECT unnest(w) AS x FROM t)) / sum(len(w)), 3) AS type_token_ratio FROM t""")
 def a9_text_statistics(conversations: DataFrame) -> DataFrame:
     out = router.text_statistics(conversations, "text", ("the",))
@@ -606,14 +600,14 @@ def _scores(documents: DataFrame) -> DataFrame:
 
 
 @query("documents", sql="SELECT " + ", ".join(
-    [f"count_if({s} = {i}) AS {s}_{i}, count_if({s} = {i}) * 100.0 / count({s}) AS {s}_{i}_percent" for s in "ab" for i in range(3)]
+    [f"count(CASE WHEN {s} = {i} THEN 1 END) AS {s}_{i}, count(CASE WHEN {s} = {i} THEN 1 END) * 100.0 / count({s}) AS {s}_{i}_percent" for s in "ab" for i in range(3)]
     + [f"CAST(sum({s}) AS BIGINT) AS {s}_total, avg({s}) AS {s}_mean" for s in "ab"]
-) + f", count_if(a > b) AS better, count_if(a = b) AS tie, count_if(a < b) AS worse, avg(a) - avg(b) AS mean_difference FROM {_SCORES}")
+) + f", count(CASE WHEN a > b THEN 1 END) AS better, count(CASE WHEN a = b THEN 1 END) AS tie, count(CASE WHEN a < b THEN 1 END) AS worse, avg(a) - avg(b) AS mean_difference FROM {_SCORES}")
 def a10_score_summary(documents: DataFrame) -> DataFrame:
     return evaluation.compare_scores(_scores(documents), "a", "b")
 
 
-@query("documents", sql=f"SELECT category, count_if(a = b) AS correct, count(*) AS total, count_if(a = b) / count(*) AS value FROM {_SCORES} GROUP BY ROLLUP (category)")
+@query("documents", sql=f"SELECT category, count(CASE WHEN a = b THEN 1 END) AS correct, count(*) AS total, count(CASE WHEN a = b THEN 1 END) / count(*) AS value FROM {_SCORES} GROUP BY ROLLUP (category)")
 def a11_capability_match(documents: DataFrame) -> DataFrame:
     gold = lambda c: F.struct((F.col(c) == 0).alias("rag"), (F.col(c) == 1).alias("weather"), (F.col(c) == 2).alias("places"))
     return evaluation.capability_match(_scores(documents).select("category", gold("a").alias("gold"), gold("b").alias("predicted")))
@@ -621,7 +615,7 @@ def a11_capability_match(documents: DataFrame) -> DataFrame:
 
 @query("documents", sql=f"""
 WITH f AS (SELECT 'weather' AS server, CASE WHEN a > 0 THEN 't' || a END AS e, 't' || b AS c FROM {_SCORES} UNION ALL SELECT 'places', CASE WHEN b > 0 THEN 't' || b END, CASE WHEN a > 0 THEN 't' || a END FROM {_SCORES})
-SELECT server, count_if(e IS NOT DISTINCT FROM c) AS correct, count(*) AS total, count_if(e IS NOT DISTINCT FROM c) / count(*) AS value FROM f WHERE e IS NOT NULL GROUP BY ROLLUP (server)""")
+SELECT server, count(CASE WHEN e IS NOT DISTINCT FROM c THEN 1 END) AS correct, count(*) AS total, count(CASE WHEN e IS NOT DISTINCT FROM c THEN 1 END) / count(*) AS value FROM f WHERE e IS NOT NULL GROUP BY ROLLUP (server)""")
 def a12_tool_accuracy(documents: DataFrame) -> DataFrame:
     tool = lambda c: F.concat(F.lit("t"), F.col(c).cast("string"))
     rows = _scores(documents).select(F.when(F.col("a") > 0, tool("a")).alias("ew"), tool("b").alias("cw"), F.when(F.col("b") > 0, tool("b")).alias("ep"), F.when(F.col("a") > 0, tool("a")).alias("cp"))
@@ -657,14 +651,14 @@ def a15_agency_notes(documents: DataFrame) -> DataFrame:
 
 @query("documents", sql=f"""
 WITH f AS (SELECT 'correctness' AS dimension, category, a AS s FROM {_SCORES} UNION ALL SELECT 'relevance', category, b FROM {_SCORES})
-SELECT dimension, category, count(s) AS n, CAST(sum(s) AS BIGINT) AS total, avg(s) AS mean, count_if(s = 0) AS n0, count_if(s = 1) AS n1, count_if(s = 2) AS n2 FROM f GROUP BY GROUPING SETS ((dimension, category), (dimension))""")
+SELECT dimension, category, count(s) AS n, CAST(sum(s) AS BIGINT) AS total, avg(s) AS mean, count(CASE WHEN s = 0 THEN 1 END) AS n0, count(CASE WHEN s = 1 THEN 1 END) AS n1, count(CASE WHEN s = 2 THEN 1 END) AS n2 FROM f GROUP BY GROUPING SETS ((dimension, category), (dimension))""")
 def a16_judge_summary(documents: DataFrame) -> DataFrame:
     return evaluation.judge_summary(_scores(documents).select("category", F.col("a").alias("correctness"), F.col("b").alias("relevance")), ("correctness", "relevance"))
 
 
 @query("labels", sql="""
 WITH m AS (SELECT CAST(quality AS VARCHAR) AS t, CAST((quality + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END) % 2 AS VARCHAR) AS p FROM labels),
-x AS (SELECT l.label, count_if(t = l.label) AS support, count_if(t = l.label AND p = l.label) / count_if(p = l.label) AS precision, count_if(t = l.label AND p = l.label) / count_if(t = l.label) AS recall, count_if(t = p) / count(*) AS accuracy FROM m, (VALUES ('0'), ('1')) l(label) GROUP BY l.label),
+x AS (SELECT l.label, count(CASE WHEN t = l.label THEN 1 END) AS support, count(CASE WHEN t = l.label AND p = l.label THEN 1 END) / count(CASE WHEN p = l.label THEN 1 END) AS precision, count(CASE WHEN t = l.label AND p = l.label THEN 1 END) / count(CASE WHEN t = l.label THEN 1 END) AS recall, count(CASE WHEN t = p THEN 1 END) / count(*) AS accuracy FROM m, (VALUES ('0'), ('1')) l(label) GROUP BY l.label),
 f AS (SELECT *, 2 * precision * recall / (precision + recall) AS f1 FROM x)
 SELECT label, support, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, round(accuracy, 9) AS accuracy FROM f
 UNION ALL SELECT 'macro', CAST(sum(support) AS BIGINT), round(avg(precision), 9), round(avg(recall), 9), round(avg(f1), 9), round(avg(accuracy), 9) FROM f""")
@@ -675,7 +669,7 @@ def a17_classifier_metrics(labels: DataFrame) -> DataFrame:
 
 
 @query("labels", sql="""
-SELECT CAST(t AS VARCHAR) AS truth, count_if(p = 0) AS as_0, count_if(p = 1) AS as_1 FROM (SELECT quality AS t, (quality + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END) % 2 AS p FROM labels) GROUP BY t""")
+SELECT CAST(t AS VARCHAR) AS truth, count(CASE WHEN p = 0 THEN 1 END) AS as_0, count(CASE WHEN p = 1 THEN 1 END) AS as_1 FROM (SELECT quality AS t, (quality + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END) % 2 AS p FROM labels) GROUP BY t""")
 def a17_confusion(labels: DataFrame) -> DataFrame:
     rows = labels.select(F.col("quality").alias("t"), ((F.col("quality") + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)) % 2).alias("p"))
     return router.confusion(rows, "t", "p", (0, 1))
