@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import has_columns
 
 GROUP_TOKENS = 4_000_000
-CACHE_WORDS = 500_000
-SLICE_BYTES = 4_000_000
+CACHE_WORDS = 700_000
+SLICE_BYTES = 8_000_000
 
 
 @dataclass(frozen=True)
@@ -55,6 +55,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tok, self.end = Tokenizer.from_file(path), end_id
+        self.encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)  # without places in the text
         self.separator = self.tok.encode(self.SEPARATOR, add_special_tokens=False).ids
         self._empty()
 
@@ -82,7 +83,7 @@ class WordTokenizer:
         groups = [joined[i : i + 400] for i in range(0, len(joined), 400)]
         for lo in range(0, len(groups), 20):
             part = groups[lo : lo + 20]
-            for group, e in zip(part, self.tok.encode_batch([f" {self.SEPARATOR} ".join(g) for g in part], add_special_tokens=False), strict=True):
+            for group, e in zip(part, self.encode([f" {self.SEPARATOR} ".join(g) for g in part], add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, np.uint32)
                 cuts = np.flatnonzero(ids == self.separator[0])
                 if len(cuts) == len(group) - 1:
@@ -94,7 +95,7 @@ class WordTokenizer:
             alone = words
         for lo in range(0, len(alone), 1000):
             part = alone[lo : lo + 1000]
-            self._keep(part, [np.array(e.ids, np.uint32) for e in self.tok.encode_batch(part, add_special_tokens=False)])
+            self._keep(part, [np.array(e.ids, np.uint32) for e in self.encode(part, add_special_tokens=False)])
 
     def _places(self, words: pa.Array) -> np.ndarray:
         """Numbers of the words in the store, which takes in those that are new."""
