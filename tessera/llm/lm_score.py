@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ ORDER = 2
 ALPHA = 0.4
 MIN_COUNT = 2
 BLOCK = 1_000_000
-PART = 4_000_000
+PART = 1_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -58,12 +59,12 @@ def gram_hashes(words: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tu
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """32-bit numbers byte by byte: the upper bytes are nearly all zero, which compresses away."""
-    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """32-bit numbers byte by byte and compressed: the upper bytes are nearly all zero."""
+    return zstandard.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
 
 
 def _from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def _narrow(hashes: np.ndarray, bits: int) -> bytes:
@@ -78,18 +79,21 @@ def _wide(data: bytes) -> np.ndarray:
 
 
 def text_blocks(docs: DataFrame, doc_id: str, text: str, block: int = BLOCK) -> DataFrame:
-    """(block, ids, sizes, vocab, codes): texts as positions in a block's own list of word hashes."""
+    """(block, n_words, ids, sizes, vocab, codes): texts as positions in a block's own list of word hashes."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    schema = rows.select(F.lit(0).cast("long").alias("block"), F.array("doc_id").alias("ids"), *[F.lit(b"").alias(c) for c in ("sizes", "vocab", "codes")]).schema
+    schema = rows.select(F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("n_words"), F.array("doc_id").alias("ids"), *[F.lit(b"").alias(c) for c in ("sizes", "vocab", "codes")]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
         kind, ids, sizes, hashes, count = pa.int64(), [], [], [], 0
 
         def made() -> pa.RecordBatch:
-            vocab, codes = np.unique(np.concatenate(hashes), return_inverse=True)
-            cols = [pa.array([number]), pa.array([[x for part in ids for x in part]], pa.list_(kind))]
-            cols += [pa.array([x.tobytes()], pa.binary()) for x in (np.concatenate(sizes).astype("<u4"), vocab.astype("<u8"), codes.astype("<u4"))]
+            vocab, codes, often = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")  # frequent words get the low numbers, whose upper bytes are zero
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            cols = [pa.array([number]), pa.array([count]), pa.array([[x for part in ids for x in part]], pa.list_(kind))]
+            cols += [pa.array([x], pa.binary()) for x in (_planes(np.concatenate(sizes)), vocab[order].astype("<u8").tobytes(), _planes(rank[codes]))]
             return pa.RecordBatch.from_arrays(cols, names=schema.names)
 
         for batch in batches:
@@ -116,7 +120,7 @@ def text_blocks(docs: DataFrame, doc_id: str, text: str, block: int = BLOCK) ->
 
 
 def _block(sizes: bytes, vocab: bytes, codes: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(vocab, "<u8")[np.frombuffer(codes, "<u4")], np.frombuffer(sizes, "<u4").astype(np.int64)
+    return np.frombuffer(vocab, "<u8")[_from_planes(codes)], _from_planes(sizes).astype(np.int64)
 
 
 def _requests(order: int, bits: int):
@@ -199,11 +203,10 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order
     """(doc_id, n_words, score) for each row."""
     has_columns(docs, doc_id, text)
     blocks = materialize(text_blocks(docs, doc_id, text, block))
-    words = blocks.agg(F.sum(F.octet_length("sizes")), F.sum(F.octet_length("codes") / 4)).first()
-    words_all = int(words[1] or 0)
+    words_all = blocks.agg(F.sum("n_words")).first()[0] or 0
     bits = max(0, (words_all * order // part).bit_length())
     requests = blocks.select("block", "sizes", "vocab", "codes").mapInArrow(_requests(order, bits), "part int, block long, k int, grams binary, counts binary")
     answers = requests.groupBy("part").applyInArrow(_answers, "block long, k int, part int, totals binary")
     schema = docs.select(F.col(doc_id).alias("doc_id"), F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("score")).schema
     kind = pa.int64() if dict(docs.dtypes)[doc_id] == "bigint" else pa.string() if dict(docs.dtypes)[doc_id] == "string" else pa.int32()
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(order, alpha, min_count, words_all, kind), schema)
+    return blocks.drop("n_words").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(order, alpha, min_count, words_all, kind), schema)
