@@ -16,6 +16,14 @@ SPACE = r"[\x20\x09-\x0D]+"
 ROWS_PER_BUCKET = 20_000
 
 _own_dir: list[str] = []
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What a Python worker keeps from task to task for one operator; what it kept for others goes, as workers are reused."""
+    for other in [k for k in _caches if k != owner]:
+        del _caches[other]
+    return _caches.setdefault(owner, {})
 
 
 def shared_dir(spark: SparkSession) -> str:

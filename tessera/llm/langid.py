@@ -21,7 +21,6 @@ learn from; ties go to the language first in code point order; rows are predicte
 from __future__ import annotations
 
 import hashlib
-import threading
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, has_columns
+from tessera.llm.common import fresh, has_columns, worker_cache
 
 ORDER = 3
 PER_LANGUAGE = 400
@@ -180,18 +179,14 @@ def code_lengths(tables: Tables, texts: list[bytes]) -> np.ndarray:
     return out
 
 
-_tables: dict[bytes, Tables] = {}
-_lock = threading.Lock()
-
-
 def _tables_of(model: Model) -> Tables:
     """Built once in each Python worker."""
+    kept = worker_cache("langid")
     key = hashlib.blake2b(repr((model.langs, model.contexts)).encode() + model.grams.tobytes() + model.counts.tobytes()).digest()
-    with _lock:
-        if key not in _tables:
-            _tables.clear()
-            _tables[key] = Tables(model)
-        return _tables[key]
+    if key not in kept:
+        kept.clear()
+        kept[key] = Tables(model)
+    return kept[key]
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import has_columns, materialize, word_count
+from tessera.llm.common import has_columns, materialize, word_count, worker_cache
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -83,6 +83,7 @@ def tilts(hist: DataFrame, totals: DataFrame, cap: float = CAP, steps: int = STE
 def _round(cap: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows sorted by bucket and, within it, from the longest document down."""
+        worker_cache("mixing")
         key, carry = None, 0.0
         for pdf in frames:
             copies = []

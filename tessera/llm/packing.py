@@ -26,10 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import has_columns
+from tessera.llm.common import has_columns, worker_cache
 
 GROUP_TOKENS = 4_000_000
-CACHE_WORDS = 700_000
+CACHE_WORDS = 600_000
 SLICE_BYTES = 8_000_000
 
 
@@ -135,15 +135,13 @@ class WordTokenizer:
         return ids, np.diff(np.concatenate(([0], after[ends])))
 
 
-_tokenizers: dict[tuple[str, int], WordTokenizer] = {}
-
-
 def _tokenizer(path: str, end_id: int) -> WordTokenizer:
     """One in each Python worker, which keeps its words from task to task."""
-    if (path, end_id) not in _tokenizers:
-        _tokenizers.clear()
-        _tokenizers[path, end_id] = WordTokenizer(path, end_id)
-    return _tokenizers[path, end_id]
+    kept = worker_cache("packing")
+    if (path, end_id) not in kept:
+        kept.clear()
+        kept[path, end_id] = WordTokenizer(path, end_id)
+    return kept[path, end_id]
 
 
 def _tails(whole: pa.Array, head: pa.Array) -> pa.Array:

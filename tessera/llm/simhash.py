@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, has_columns, materialize
+from tessera.llm.common import fresh, has_columns, materialize, worker_cache
 from tessera.llm.graph import components
 
 BUCKET = 20_000
@@ -85,6 +85,7 @@ def fingerprints(docs: DataFrame, text: str = "text", name: str = "fp", shingle:
     schema = source.select(*keep, F.lit(0).cast("long").alias(name)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("simhash")
         for batch in batches:
             column = batch.column(len(keep))
             prints = np.zeros(batch.num_rows, np.uint64)
@@ -94,7 +95,7 @@ def fingerprints(docs: DataFrame, text: str = "text", name: str = "fp", shingle:
                 h = shingle_hashes(column[i].as_py() or b"", shingle)
                 held.append(h)
                 size += len(h)
-                if size > 1_000_000:
+                if size > 300_000:
                     prints[at : i + 1] = majority(held)
                     held, size, at = [], 0, i + 1
             if held:
@@ -142,6 +143,7 @@ def _links(radius: int, keys: int):
     """mapInArrow body: rows arrive sorted by their first columns (the bucket); the last column is the fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("simhash")
         held_key, held = None, np.empty(0, np.uint64)
         out: list[tuple[int, int]] = []
 
