@@ -146,7 +146,7 @@ def converse(turns: DataFrame, guide: Guide, conv: str = "conv_id", order: str =
     Conversations are read in sorted partitions one turn at a time, so that none is gathered whole.
     """
     rows = turns.select(F.col(conv).alias("conv_id"), F.col(order).alias("turn"), F.col(text).alias("text"))
-    schema = rows.select("conv_id", "turn", *[F.lit("").alias(c) for c in ("reply", "place", "category", "pending")]).schema
+    schema = rows.select("conv_id", "turn", *[F.lit(None).cast("string").alias(c) for c in ("reply", "place", "category", "pending")]).schema
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, memory = object(), Memory()

@@ -15,9 +15,9 @@ REPLY = "conv_id long, turn long, reply string, place string, category string, p
 STATE = "place string, category string, pending string"
 
 
-def converse_stream(turns: DataFrame, guide: Guide, idle_ms: int = 3_600_000) -> DataFrame:
+def converse_stream(turns: DataFrame, guide: Guide, idle_ms: int | None = 3_600_000) -> DataFrame:
     """R9 on a stream (conv_id, turn, text): a reply for each turn; turns of one trigger are taken in order, and an idle
-    conversation's memory goes after idle_ms. The state is three strings, whatever the conversation's length."""
+    conversation's memory goes after idle_ms (None: it stays). The state is three strings, whatever the conversation's length."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -29,10 +29,11 @@ def converse_stream(turns: DataFrame, guide: Guide, idle_ms: int = 3_600_000) ->
         for t, x in zip(rows["turn"], rows["text"], strict=True):
             out.append((key[0], t, turn(guide, memory, x or ""), memory.place, memory.category, memory.pending))
         state.update((memory.place, memory.category, memory.pending))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["conv_id", "turn", "reply", "place", "category", "pending"])
 
-    return turns.groupBy("conv_id").applyInPandasWithState(run, REPLY, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return turns.groupBy("conv_id").applyInPandasWithState(run, REPLY, STATE, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def event_rates(events: DataFrame, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
