@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import has_columns, worker_cache
+from tessera.llm.common import has_columns, release_memory, worker_cache
 
 GROUP_TOKENS = 4_000_000
 CACHE_WORDS = 600_000
@@ -62,10 +62,9 @@ class WordTokenizer:
     def _empty(self) -> None:
         self.known: dict[str, int] = {}
         self.pool, self.used = np.empty(1 << 16, np.uint32), 0
-        self.lens = np.empty(1 << 14, np.int64)
+        self.lens = np.empty(1 << 14, np.int32)
 
-    def _keep(self, words: list[str], ids: list[np.ndarray]) -> None:
-        flat, lens = np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
+    def _keep(self, words: list[str], flat: np.ndarray, lens: np.ndarray) -> None:
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate((self.pool, np.empty_like(self.pool)))
         n = len(self.known)
@@ -87,15 +86,15 @@ class WordTokenizer:
                 ids = np.array(e.ids, np.uint32)
                 cuts = np.flatnonzero(ids == self.separator[0])
                 if len(cuts) == len(group) - 1:
-                    starts, ends = np.concatenate(([0], cuts + 1)), np.concatenate((cuts, [len(ids)]))
-                    self._keep(group, [ids[s:t] for s, t in zip(starts.tolist(), ends.tolist(), strict=True)])
+                    self._keep(group, np.delete(ids, cuts), np.diff(cuts, prepend=-1, append=len(ids)) - 1)
                 else:
                     alone += group
         if len(self.separator) != 1:
             alone = words
         for lo in range(0, len(alone), 1000):
             part = alone[lo : lo + 1000]
-            self._keep(part, [np.array(e.ids, np.uint32) for e in self.encode(part, add_special_tokens=False)])
+            ids = [e.ids for e in self.encode(part, add_special_tokens=False)]
+            self._keep(part, np.array([x for own in ids for x in own], np.uint32), np.fromiter(map(len, ids), np.int32, len(ids)))
 
     def _places(self, words: pa.Array) -> np.ndarray:
         """Numbers of the words in the store, which takes in those that are new."""
@@ -105,11 +104,11 @@ class WordTokenizer:
         if new:
             self._encode(new)
         known = self.known
-        return np.fromiter((known[w] for w in vocab), np.int64, len(vocab))[each.indices.to_numpy(zero_copy_only=False)]
+        return np.fromiter(map(known.__getitem__, vocab), np.int32, len(vocab))[each.indices.to_numpy(zero_copy_only=False)]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, sizes): the ids of all texts, each with its end id, and their numbers."""
-        words = pc.split_pattern_regex(pc.fill_null(texts.cast(pa.large_string()), ""), "[ \t\n\v\f\r]+")
+        words = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         offsets = words.offsets.to_numpy()
         flat = words.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         vocab = flat.dictionary
@@ -119,18 +118,18 @@ class WordTokenizer:
         low = pc.if_else(pc.match_substring(vocab, "<|"), vocab, pc.ascii_lower(vocab))
         core = pc.utf8_rtrim(low, characters=self.END)
         core = pc.if_else(pc.match_substring_regex(core, r"[\p{L}\p{N}]$"), core, low)
-        pairs = np.empty((len(vocab), 2), np.int64)
+        pairs = np.empty((len(vocab), 2), np.int32)
         pairs[:, 0], pairs[:, 1] = self._places(core), self._places(_tails(low, core))
-        starts = np.concatenate(([0], np.cumsum(self.lens[: len(self.known)])))
+        starts = np.concatenate(([0], np.cumsum(self.lens[: len(self.known)]))).astype(np.int32)  # a slice has far fewer than 2^31 ids
         codes = pairs[flat.indices.to_numpy(zero_copy_only=False)].ravel()
         # after each text comes the end id, which stands behind the store
         finish = len(self.known)
-        lens = np.append(self.lens[:finish], 1)
+        lens = np.append(self.lens[:finish], np.int32(1))
         pool = np.append(self.pool[: self.used], np.uint32(self.end))
         codes = np.insert(codes, 2 * (offsets[1:].astype(np.int64) - offsets[0]), finish)
         n = lens[codes]
-        after = np.cumsum(n)
-        ids = pool[np.arange(after[-1] if len(after) else 0) + np.repeat(starts[codes] - after + n, n)]
+        after = np.cumsum(n, dtype=np.int32)
+        ids = pool[np.arange(after[-1] if len(after) else 0, dtype=np.int32) + np.repeat(starts[codes] - after + n, n)]
         ends = 2 * (offsets[1:].astype(np.int64) - offsets[0]) + np.arange(len(offsets) - 1)
         return ids, np.diff(np.concatenate(([0], after[ends])))
 
@@ -341,5 +340,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
                     held, size = [], 0
         if held:
             yield from made()
+        held = []
+        release_memory()
 
     return rows.mapInArrow(run, schema)
