@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -26,6 +27,16 @@ def worker_cache(owner: str) -> dict:
     return _caches.setdefault(owner, {})
 
 
+def release_memory() -> None:
+    """Give what the allocators of this worker hold unused back to the system; an idle worker would keep it."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one only where that is unset (local runs and tests)."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)

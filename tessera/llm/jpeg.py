@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import has_columns
+from tessera.llm.common import has_columns, worker_cache
 
 UNIT = 576
 
@@ -443,6 +443,7 @@ def to_media(docs: DataFrame, text: str = "text", media: str = "media", unit: in
     schema = source.select(*keep, F.lit(b"").alias(media)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("jpeg")
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
@@ -475,6 +476,7 @@ def read_media(stored: DataFrame, media: str = "media", tensor: bool = True, pay
         return out + (list(decode_payload(image))[::-1] if payload else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("jpeg")
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)

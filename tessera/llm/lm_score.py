@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import has_columns, materialize
+from tessera.llm.common import has_columns, materialize, release_memory, worker_cache
 
 ORDER = 2
 ALPHA = 0.4
@@ -84,6 +84,7 @@ def text_blocks(docs: DataFrame, doc_id: str, text: str, block: int = BLOCK) ->
     schema = rows.select(F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("n_words"), F.array("doc_id").alias("ids"), *[F.lit(b"").alias(c) for c in ("sizes", "vocab", "codes")]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("lm_score")
         number = TaskContext.get().partitionId() << 33
         kind, ids, sizes, hashes, count = pa.int64(), [], [], [], 0
 
@@ -100,7 +101,7 @@ def text_blocks(docs: DataFrame, doc_id: str, text: str, block: int = BLOCK) ->
             kind = batch.schema.types[0]
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                words = pc.split_pattern_regex(pc.fill_null(part.column(1).cast(pa.large_string()), ""), "[ \t\n\v\f\r]+")
+                words = pc.ascii_split_whitespace(pc.fill_null(part.column(1).cast(pa.large_string()), ""))
                 offsets = words.offsets.to_numpy()
                 flat = words.values.slice(offsets[0], offsets[-1] - offsets[0])
                 real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
@@ -115,6 +116,7 @@ def text_blocks(docs: DataFrame, doc_id: str, text: str, block: int = BLOCK) ->
                     ids, sizes, hashes, count, number = [], [], [], 0, number + 1
         if ids:
             yield made()
+        release_memory()
 
     return rows.mapInArrow(run, schema)
 
@@ -194,6 +196,7 @@ def _scores(order: int, alpha: float, min_count: int, words_all: int, kind: pa.D
             ids += own
             n_words.append(sizes)
             scores.append(micro[ends] - micro[ends - sizes])
+        release_memory()
         return pa.table({"doc_id": pa.array(ids, kind), "n_words": pa.array(np.concatenate(n_words)), "score": pa.array(np.concatenate(scores) / 1e6)})
 
     return run

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, has_columns, materialize, worker_cache
+from tessera.llm.common import fresh, has_columns, materialize, release_memory, worker_cache
 from tessera.llm.graph import components
 
 BUCKET = 20_000
@@ -101,6 +101,7 @@ def fingerprints(docs: DataFrame, text: str = "text", name: str = "fp", shingle:
             if held:
                 prints[at:] = majority(held)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(prints.view(np.int64))], names=[*keep, name])
+        release_memory()
 
     return source.mapInArrow(run, schema)
 
