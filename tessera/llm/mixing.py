@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import has_columns, materialize, word_count, worker_cache
+from tessera.llm.common import fresh, has_columns, materialize, word_count, worker_cache
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -128,8 +128,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
 def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """docs with each row repeated as often as the mix takes it. Rows of an id are matched by their size; rows of equal
     id and size share the copies of all of them."""
-    copies = mix(docs, doc_id, source, text, weights, cap).groupBy(F.col("doc_id").alias("_id"), F.col("src").alias("_src"), F.col("size").alias("_size")).agg(F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_rows"))
-    joined = docs.alias("d").join(copies, F.col(f"d.{doc_id}").eqNullSafe(F.col("_id")) & F.col(f"d.{source}").eqNullSafe(F.col("_src")) & (word_count(F.col(f"d.{text}")) == F.col("_size")))
-    turn = F.row_number().over(Window.partitionBy("_id", "_src", "_size").orderBy(F.col(f"d.{text}")))
-    counted = joined.withColumn("_turn", turn).withColumn("_mine", F.floor(F.col("_sum") * F.col("_turn") / F.col("_rows")) - F.floor(F.col("_sum") * (F.col("_turn") - 1) / F.col("_rows")))
-    return counted.where("_mine > 0").withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_mine").cast("int")))).select(*[F.col(f"d.{c}").alias(c) for c in docs.columns])
+    i, s, n, total, rows, turn, mine, each = (fresh(docs, f"_mix_{x}") for x in ("id", "src", "size", "sum", "rows", "turn", "mine", "each"))
+    copies = mix(docs, doc_id, source, text, weights, cap).groupBy(F.col("doc_id").alias(i), F.col("src").alias(s), F.col("size").alias(n)).agg(F.sum("copies").alias(total), F.count(F.lit(1)).alias(rows))
+    joined = docs.join(copies, F.col(doc_id).eqNullSafe(F.col(i)) & F.col(source).eqNullSafe(F.col(s)) & (word_count(F.col(text)) == F.col(n)))
+    counted = joined.withColumn(turn, F.row_number().over(Window.partitionBy(i, s, n).orderBy(F.col(text))))
+    upto = lambda k: F.floor(F.col(total) * k / F.col(rows))
+    counted = counted.withColumn(mine, upto(F.col(turn)) - upto(F.col(turn) - 1)).where(F.col(mine) > 0)
+    return counted.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(mine).cast("int")))).select(*docs.columns)
