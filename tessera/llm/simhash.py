@@ -190,8 +190,8 @@ def links(prints: DataFrame, name: str, radius: int, bucket: int = BUCKET) -> Da
     spark = prints.sparkSession
     spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     keyed = (
-        prints.select(F.col(name).alias("fp")).distinct()
-        .repartition(spread, "fp")  # a small table would be one task, and each row becomes one for each mask
+        prints.select(F.col(name).alias("fp"))
+        .repartition(spread, "fp").distinct()  # a small table would be one task, and each row becomes one for each mask
         .select("fp", F.posexplode(table).alias("t", "mask"))
         .select(F.col("t").cast("short").alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("k"), "fp")
     )
