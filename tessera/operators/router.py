@@ -55,7 +55,7 @@ def prepared(rows: DataFrame, text: str, target: Column | None = None) -> DataFr
     return out if target is None else out.withColumn("target", target.cast("double"))
 
 
-def route(model: PipelineModel, rows: DataFrame, text: str, threshold: float = THRESHOLD, positive: str = "rag", negative: str = "eliza_rude") -> DataFrame:
+def route(model: PipelineModel, rows: DataFrame, text: str, threshold: float = THRESHOLD, positive: str = "rag", negative: str = "small_talk") -> DataFrame:
     """rows plus probability (of the positive label) and route: positive from the threshold on."""
     p = F.get(vector_to_array("probability"), F.lit(1))
     scored = model.transform(prepared(rows, text)).select(*rows.columns, p.alias("probability"))

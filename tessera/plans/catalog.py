@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import places as P
 from tessera.functions import text as X
 from tessera.functions import web
-from tessera.operators import chunks, dialogue, evaluation, html, records, retrieval, router, similarity
+from tessera.operators import chunks, dialogue, evaluation, html, records, retrieval, router, services, similarity
 from tessera.sources import files, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -793,6 +793,52 @@ def p_classify_pages(pages: DataFrame) -> DataFrame:
     return records.classify_pages(rows, (), "en").select("page_id", "status")
 
 
+def _gazetteer(nation: DataFrame) -> DataFrame:
+    """Nations as places, two of each name."""
+    n = F.col("n_nationkey")
+    return nation.select(
+        F.initcap("n_name").alias("name"), F.concat("n_name", F.lit(" "), F.col("i").cast("string")).alias("display_name"), F.when(F.col("i") == 0, "pt").otherwise("es").alias("country_code"),
+        ((n * 7 + F.col("i") * 11) % 180 - 90.0).alias("latitude"), ((n * 31) % 360 - 180.0).alias("longitude"), (F.lit(1.0) - F.col("i") * 0.5).alias("importance"),
+    )
+
+
+_PLACES = """
+g AS (SELECT lower(n_name) AS name, i, CASE i WHEN 0 THEN 'pt' ELSE 'es' END AS cc, (n_nationkey * 7 + i * 11) % 180 - 90.0 AS lat, n_nationkey * 31 % 360 - 180.0 AS lon, n_nationkey FROM nation, (VALUES (0), (1)) v(i)),
+r AS (SELECT s.s_suppkey AS key, lower(n.n_name) AS q, lower(m.n_name) AS q2, CASE WHEN s.s_suppkey % 3 = 0 THEN 'es' END AS cc FROM supplier s JOIN nation n ON s_nationkey = n.n_nationkey JOIN nation m ON m.n_nationkey = s.s_suppkey % 25)"""
+
+
+def _place_requests(supplier: DataFrame, nation: DataFrame) -> DataFrame:
+    other = nation.select(F.col("n_nationkey").alias("m"), F.col("n_name").alias("destination"))
+    named = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(other, F.col("s_suppkey") % 25 == F.col("m"))
+    return named.select("s_suppkey", F.concat(F.lit("  "), "n_name", F.lit(" ")).alias("query"), F.col("n_name").alias("origin"), "destination", F.when(F.col("s_suppkey") % 3 == 0, "ES").alias("country_code"))
+
+
+@query("supplier", "nation", sql=f"""
+WITH {_PLACES}, f AS (SELECT r.key, g.lat, g.lon, row_number() OVER (PARTITION BY key ORDER BY i) AS rank, count(*) OVER (PARTITION BY key) AS candidates FROM r JOIN g ON r.q = g.name AND (r.cc IS NULL OR r.cc = g.cc))
+SELECT key, CAST(rank AS INTEGER) AS rank, CAST(lat AS DOUBLE) AS latitude, CAST(lon AS DOUBLE) AS longitude, candidates FROM f WHERE rank <= 3""")
+def r19_j12_place_search(supplier: DataFrame, nation: DataFrame) -> DataFrame:
+    places = _gazetteer(nation.withColumn("i", F.explode(F.array(F.lit(0), F.lit(1)))))
+    return services.search_places(_place_requests(supplier, nation), places, "s_suppkey").drop("name")
+
+
+@query("supplier", "nation", sql=f"""
+WITH {_PLACES}, o AS (SELECT r.key, r.q2, r.cc, arg_min(g.lat, i) AS la1, arg_min(g.lon, i) AS lo1, count(*) AS n1 FROM r JOIN g ON r.q = g.name AND (r.cc IS NULL OR r.cc = g.cc) GROUP BY 1, 2, 3),
+d AS (SELECT o.key, la1, lo1, n1, arg_min(g.lat, i) AS la2, arg_min(g.lon, i) AS lo2, count(*) AS n2 FROM o JOIN g ON o.q2 = g.name AND (o.cc IS NULL OR o.cc = g.cc) GROUP BY 1, 2, 3, 4)
+SELECT key, round(2 * 6371.0088 * asin(least(1, sqrt(pow(sin(radians(la2 - la1) / 2), 2) + cos(radians(la1)) * cos(radians(la2)) * pow(sin(radians(lo2 - lo1) / 2), 2)))), 3) AS straight_line_distance_km, n1 AS origin_candidates, n2 AS destination_candidates FROM d""")
+def r20_distances(supplier: DataFrame, nation: DataFrame) -> DataFrame:
+    places = _gazetteer(nation.withColumn("i", F.explode(F.array(F.lit(0), F.lit(1)))))
+    return services.distances(_place_requests(supplier, nation), places, "s_suppkey")
+
+
+@query("benchmark", sql="""
+SELECT item_id, 'ctx ' || item_id AS rag, CASE WHEN item_id % 2 = 0 THEN 'sunny' END AS weather FROM benchmark""")
+def r17_final_prompt(benchmark: DataFrame) -> DataFrame:
+    """The prompt, and its blocks read back from it."""
+    i = F.col("item_id")
+    prompt = services.final_prompt(F.lit("2026-01-01"), F.lit("q?"), F.concat(F.lit("ctx "), i.cast("string")), F.when(i % 2 == 0, "sunny"), F.lit(None).cast("string"))
+    return benchmark.select("item_id", X.block(prompt, "RAG CONTEXT").alias("rag"), X.block(prompt, "WEATHER DATA").alias("weather"))
+
+
 # --- extensions ----------------------------------------------------------------------------------------------------------------
 
 
