@@ -60,6 +60,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def widened(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores. Only a bare scan with fewer is dealt out, which is a table of a few
+    file splits; anything larger, or already exchanged, is returned as it is."""
+    plan = df._jdf.queryExecution()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Adaptive" in plan.executedPlan().getClass().getSimpleName() or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, however often body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

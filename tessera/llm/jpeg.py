@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import has_columns, worker_cache
+from tessera.llm.common import has_columns, widened, worker_cache
 
 UNIT = 576
 
@@ -439,7 +439,7 @@ def to_media(docs: DataFrame, text: str = "text", media: str = "media", unit: in
     """docs with text replaced by media: its UTF-8 bytes, filled with bytes of 255 to a positive multiple of unit, as a JPEG file."""
     has_columns(docs, text)
     keep = [c for c in docs.columns if c != text]
-    source = docs.select(*keep, F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8").alias(text))
+    source = widened(docs.select(*keep, F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8").alias(text)))
     schema = source.select(*keep, F.lit(b"").alias(media)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

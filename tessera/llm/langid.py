@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, has_columns, worker_cache
+from tessera.llm.common import fresh, has_columns, widened, worker_cache
 
 ORDER = 3
 PER_LANGUAGE = 400
@@ -194,7 +194,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang
     has_columns(docs, text)
     keep = [c for c in docs.columns if c != text]
     letters = fresh(docs, "_letters")
-    source = docs.select(*keep, F.col(text).cast("binary").alias(text), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(letters))
+    source = widened(docs.select(*keep, F.col(text).cast("binary").alias(text), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(letters)))
     schema = source.select(*keep, F.lit("").alias(pred), F.lit(0.0).alias(score)).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: the sample's different grams
 

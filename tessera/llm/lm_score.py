@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import has_columns, materialize, release_memory, worker_cache
+from tessera.llm.common import has_columns, materialize, release_memory, widened, worker_cache
 
 ORDER = 2
 ALPHA = 0.4
@@ -80,7 +80,7 @@ def _wide(data: bytes) -> np.ndarray:
 
 def text_blocks(docs: DataFrame, doc_id: str, text: str, block: int = BLOCK) -> DataFrame:
     """(block, n_words, ids, sizes, vocab, codes): texts as positions in a block's own list of word hashes."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = widened(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     schema = rows.select(F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("n_words"), F.array("doc_id").alias("ids"), *[F.lit(b"").alias(c) for c in ("sizes", "vocab", "codes")]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

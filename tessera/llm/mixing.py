@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, has_columns, materialize, word_count, worker_cache
+from tessera.llm.common import fresh, has_columns, materialize, widened, word_count, worker_cache
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -104,7 +104,7 @@ def _round(cap: int):
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """For each row: doc_id, src, size, source_size, target, copies (0 to cap), taken (copies * size)."""
     has_columns(docs, doc_id, source, text)
-    sized = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("src"), word_count(F.col(text)).alias("size")))
+    sized = materialize(widened(docs).select(F.col(doc_id).alias("doc_id"), F.col(source).alias("src"), word_count(F.col(text)).alias("size")))
     hist = materialize(sized.groupBy(F.col("src").alias("hsrc"), F.col("size").alias("len")).agg(F.count(F.lit(1)).alias("docs")))
     totals = hist.groupBy(F.col("hsrc").alias("src")).agg(F.sum(F.col("len") * F.col("docs")).alias("size"), F.sum("docs").alias("n"))
     goals = materialize(source_targets(totals, weights, cap).join(totals.select(F.col("src").alias("_s"), "n"), F.col("src").eqNullSafe(F.col("_s"))).drop("_s"))

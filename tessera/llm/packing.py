@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import has_columns, release_memory, worker_cache
+from tessera.llm.common import has_columns, release_memory, widened, worker_cache
 
 GROUP_TOKENS = 4_000_000
 CACHE_WORDS = 600_000
@@ -298,7 +298,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
     document bears loss.
     """
     has_columns(docs, doc_id, text)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = widened(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     schema = rows.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")], F.lit(b"").alias("ids_le")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

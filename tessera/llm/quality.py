@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, has_columns, let, materialize, word_array, word_count
+from tessera.llm.common import fresh, has_columns, let, materialize, widened, word_array, word_count
 
 SYMBOLS = r"[#*$%&|<>]"
 SAMPLE_ROWS = 2_000
@@ -118,6 +118,7 @@ def first_reject(rules: list[Rule]) -> Column:
 def quality_filter(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Rows of docs that no rule rejects, with docs' columns."""
     has_columns(docs, text)
+    docs = widened(docs)
     rules = [*base_rules(F.col(text)), *default_rules(F.col(text))] if rules is None else rules
     return docs.where(first_reject(ordered(docs, rules, text, sample_rows)).isNull())
 
@@ -126,6 +127,7 @@ def quality_report(docs: DataFrame, text: str = "text", sample_rows: int = SAMPL
     """docs plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept (existing columns of
     these names are replaced)."""
     has_columns(docs, text)
+    docs = widened(docs)
     t = F.col(text)
     cascade = first_reject(ordered(docs, default_rules(t), text, sample_rows))
     out = docs

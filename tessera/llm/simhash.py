@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, has_columns, materialize, release_memory, worker_cache
+from tessera.llm.common import fresh, has_columns, materialize, release_memory, widened, worker_cache
 from tessera.llm.graph import components
 
 BUCKET = 20_000
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, text: str = "text", name: str = "fp", shingle:
     """docs' other columns plus name: the fingerprint as a signed long. Texts are read as UTF-8, in slices of bounded size."""
     has_columns(docs, text)
     keep = [c for c in docs.columns if c != text]
-    source = docs.select(*keep, F.col(text).cast("binary").alias(text))
+    source = widened(docs.select(*keep, F.col(text).cast("binary").alias(text)))
     schema = source.select(*keep, F.lit(0).cast("long").alias(name)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
