@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, mixing, packing, quality, simhash
+from tessera.llm import line_dedup, mixing, near_dedup, packing, quality
 from tessera.llm.common import materialize
 from tessera.llm.queries import tokenizer_path
 
@@ -22,8 +22,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word SimHash neighbours stays."""
-    return simhash.simhash_dedup(docs, shingle=5, radius=6)
+    """One document of each group that links of five-word Jaccard similarity 0.8 or more connect stays."""
+    return near_dedup.near_dedup(docs, shingle=5, threshold=0.8)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +37,9 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packed.select("doc_id", "start", "length", F.crc32("ids_le").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-STAGES = [("quality_rules", quality_stage), ("line_dedup", line_stage), ("simhash_near_dedup", near_dedup_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
+STAGES = [("quality_rules", quality_stage), ("line_dedup", line_stage), ("near_dedup", near_dedup_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
 
-# Fingerprints, tilted rates and tokenizer ids have no SQL form.
+# Shingle links, tilted rates and tokenizer ids have no SQL form.
 ORACLE_SQL = None
 
 
