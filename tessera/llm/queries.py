@@ -37,6 +37,11 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_scores(_table(spark, sf_dir, "documents"))
 
 
+def op4_lm_score_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trigrams with two backoff steps. It has no SQL: OP4_SQL is of order 2."""
+    return lm_score.lm_scores(_table(spark, sf_dir, "documents"), order=3)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -77,7 +82,7 @@ def op10_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_langid, op3_packing, op4_lm_score, op5_simhash, op6_line_dedup, op7_chat, op8_sharding, op9_quality, op10_jpeg)}
+    return {f.__name__: f for f in (op1_mixing, op2_langid, op3_packing, op4_lm_score, op4_lm_score_order3, op5_simhash, op6_line_dedup, op7_chat, op8_sharding, op9_quality, op10_jpeg)}
 
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"

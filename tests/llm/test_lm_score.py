@@ -37,3 +37,14 @@ def test_empty(empty, spark):
     assert lm_score.lm_scores(empty).count() == 0
     df = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert sorted(map(tuple, lm_score.lm_scores(df).collect())) == [(1, 0, 0.0), (2, 0, 0.0)]
+
+
+def test_registered_at_order_3(spark, docs, tmp_path):
+    from tessera.llm.queries import queries
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = docs.collect()
+    want = brute([r["text"] for r in rows], 3, 0.4, 2)
+    key = lambda r: (str(r[0]), r[1], round(r[2], 3))
+    got = queries()["op4_lm_score_order3"](spark, str(tmp_path)).collect()
+    assert sorted(map(key, ((r["doc_id"], n, s) for r, (n, s) in zip(rows, want, strict=True)))) == sorted(map(key, (tuple(r) for r in got)))
