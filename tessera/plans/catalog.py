@@ -678,14 +678,14 @@ def a17_confusion(labels: DataFrame) -> DataFrame:
 # --- retrieval, rules, routing ----------------------------------------------------------------------------------------------
 
 
-def flagship(embeddings: DataFrame, documents: DataFrame) -> DataFrame:
-    """Top three documents of each query vector and the context that is built from them."""
+def flagship(embeddings: DataFrame, documents: DataFrame, chars: int | None = None) -> DataFrame:
+    """Top three documents of each query vector and the context that is built from them; chars cuts the texts."""
     found = retrieval.top_k(embeddings.where("vec_id % 100 = 0"), "vec_id", "embedding", embeddings, "vec_id", "embedding", 3)
     i = F.col("doc_id")
     meta = documents.select(
         i.alias("key"), F.concat(F.lit("D"), i.cast("string")).alias("title"), i.alias("document_id"), F.col("source").alias("section"), (i % 2 == 0).alias("is_pdf"),
         F.when(i % 2 == 0, F.concat(F.lit("p. "), (i % 9 + 1).cast("string"))).otherwise(F.concat(F.lit("https://x/"), i.cast("string"))).alias("place"),
-        F.substring("text", 1, 80).alias("text"), F.when(i % 3 == 0, "two dates differ").alias("conflict_notes"),
+        (F.substring("text", 1, chars) if chars else F.col("text")).alias("text"), F.when(i % 3 == 0, "two dates differ").alias("conflict_notes"),
     )
     return retrieval.context(found.join(meta, "key"))
 
@@ -700,6 +700,12 @@ SELECT q AS query_id,
        string_agg('- D' || k || ' [' || k || '] — ' || source || ' — ' || replace(place, 'p. ', 'páginas '), chr(10) ORDER BY rank) AS sources
 FROM m GROUP BY q""")
 def r3_r6_context(embeddings: DataFrame, documents: DataFrame) -> DataFrame:
+    """Texts are cut as in the SQL; r3_r6_context_whole has all of them."""
+    return flagship(embeddings, documents, 80)
+
+
+@query("embeddings", "documents")
+def r3_r6_context_whole(embeddings: DataFrame, documents: DataFrame) -> DataFrame:
     return flagship(embeddings, documents)
 
 

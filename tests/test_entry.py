@@ -27,3 +27,13 @@ def test_the_library_does_not_import_the_training_operators():
             if n.endswith(".py"):
                 with open(os.path.join(folder, n), encoding="utf-8") as f:
                     assert "tessera.llm" not in f.read()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="driver tables are missing")
+def test_flagship_has_whole_texts(spark):
+    import __spark_entry__ as e
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = e.entry(spark).collect()
+    found = [(r["context"], int(line.split("]")[0].split("[")[1])) for r in rows for line in r["sources"].split("\n")]
+    assert max(len(texts[d]) for _, d in found) > 80 and all(texts[d] in c for c, d in found)
