@@ -1,13 +1,13 @@
 """Vector top-k and what is built from its results: context, notes, messages, sources.
 
-The query side of a search is small by contract; it is joined to all vectors by a broadcast nested loop only up to
-BROADCAST_QUERIES queries, counted first, and in blocks of queries beyond. Each task keeps the best k of each query
+Queries are sent to all vectors in blocks of at most BROADCAST_QUERIES, as many as there are. Each task keeps the best k of each query
 (partial top-k by a window group limit) before anything is exchanged.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -38,16 +38,24 @@ def normalize(vectors: DataFrame, vector: str) -> DataFrame:
 def top_k(queries: DataFrame, query_id: str, query_vector: str, vectors: DataFrame, key: str, vector: str, k: int = 3) -> DataFrame:
     """(query_id, rank, key, cosine_distance), best first; ties go to the lesser key. Vectors of other length,
     zero vectors and nulls are never found."""
-    few = [(r["q"], r["v"]) for r in queries.select(F.col(query_id).alias("q"), F.col(query_vector).alias("v")).limit(BROADCAST_QUERIES + 1).collect()]
-    if len(few) > BROADCAST_QUERIES:
-        raise ValueError(f"more than {BROADCAST_QUERIES} queries: search them in blocks with top_k_blocks")
-    few = [(q, v) for q, v in few if v and any(v)]
+    rows = ((r["q"], r["v"]) for r in queries.select(F.col(query_id).alias("q"), F.col(query_vector).alias("v")).toLocalIterator())
+    real = ((q, v) for q, v in rows if v and any(v))
     schema = vectors.select(F.lit(0).cast(queries.schema[query_id].dataType).alias("query_id"), F.col(key).alias("key"), F.lit(0.0).alias("cosine_distance")).schema
-    if not few:
+    found, width = None, None
+    while few := list(islice(real, BROADCAST_QUERIES)):
+        width = width or len(few[0][1])
+        some = _search(few, width, vectors, key, vector, k, schema)
+        found = some if found is None else found.unionByName(some)
+    if found is None:
         return vectors.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0)).select("query_id", "rank", "key", "cosine_distance")
-    width = len(few[0][1])
+    order = Window.partitionBy("query_id").orderBy(F.round("cosine_distance", 9), "key")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "key", "cosine_distance")
+
+
+def _search(few: list, width: int, vectors: DataFrame, key: str, vector: str, k: int, schema) -> DataFrame:
+    """(query_id, key, cosine_distance): the k nearest of each task to each of few queries of that width."""
     ids = [q for q, v in few if len(v) == width]
-    unit = np.array([v for _, v in few if len(v) == width], np.float64)
+    unit = np.array([v for _, v in few if len(v) == width], np.float64).reshape(-1, width)
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
 
     def best(frames):
@@ -72,9 +80,7 @@ def top_k(queries: DataFrame, query_id: str, query_vector: str, vectors: DataFra
         if held:
             yield _cut(pd.concat(held), k)
 
-    found = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v")).mapInPandas(best, schema)
-    order = Window.partitionBy("query_id").orderBy(F.round("cosine_distance", 9), "key")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "key", "cosine_distance")
+    return vectors.select(F.col(key).alias("key"), F.col(vector).alias("v")).mapInPandas(best, schema)
 
 
 def _cut(rows: pd.DataFrame, k: int) -> pd.DataFrame:

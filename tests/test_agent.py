@@ -167,3 +167,11 @@ def test_execution_failure_does_not_change_capabilities(spark):
     pred = evaluation.predicted_capabilities
     assert tuple(df.select(pred(F.col("ok"), F.col("rag"), F.col("calls"))).first()[0]) == (True, True, False)
     assert tuple(df.select(pred(F.lit(False), F.col("rag"), F.col("calls"))).first()[0]) == (False, False, False)
+
+
+def test_top_k_takes_more_queries_than_a_block(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(25)], "id long, v array<double>")
+    whole = sorted(map(tuple, retrieval.top_k(df, "id", "v", df, "id", "v", 3).collect()))
+    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 4)
+    blocks = sorted(map(tuple, retrieval.top_k(df, "id", "v", df, "id", "v", 3).collect()))
+    assert [r[:3] for r in blocks] == [r[:3] for r in whole] and len(blocks) == 75
