@@ -6,17 +6,28 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors share; a temporary folder only where it is unset."""
+    """spark.checkpoint.dir, which all executors share, or the folder of setCheckpointDir. A temporary folder only where both
+    are unset and the executors are threads of this process; elsewhere an error, as they would not see one another's files."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    context = spark.sparkContext
+    placed = context._jsc.sc().getCheckpointDir()
+    if placed.isDefined():
+        return placed.get().rstrip("/")
+    master = context.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="tessera-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -31,10 +42,22 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs in this block go with its query, not when the driver next collects garbage."""
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(DROP_SHUFFLES) if before is None else spark.conf.set(DROP_SHUFFLES, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df, written once and read back: its lineage is cut and the planner knows its size."""
+    """df, written once and read back: its lineage is cut, it survives lost executors, and the planner knows its size."""
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
