@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.store import scratch, shuffles_dropped, widened  # noqa: F401 widened is used through this module
+from tessera.sources.store import stored as materialize  # noqa: F401
+
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 ROWS_PER_BUCKET = 20_000
 
-_own_dir: list[str] = []
 _caches: dict[str, dict] = {}
 
 
@@ -37,37 +35,18 @@ def release_memory() -> None:
         trim(0)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset (local runs and tests)."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir.rstrip("/")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="tessera-"))
-        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
-    return f"file://{_own_dir[0]}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors, and gives
-    the planner true sizes. The files go when the Spark application ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def widened(df: DataFrame) -> DataFrame:
-    """df over at least as many partitions as there are cores. Only a bare scan with fewer is dealt out, which is a table of a few
-    file splits; anything larger, or already exchanged, is returned as it is."""
-    plan = df._jdf.queryExecution()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if "Adaptive" in plan.executedPlan().getClass().getSimpleName() or plan.toRdd().getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+def appended(parts: Iterable[DataFrame]) -> DataFrame:
+    """All parts in one written table, as materialize does. Each part's shuffles go before the next one runs, so that disk
+    holds those of one part at a time."""
+    path, schema = None, None
+    for df in parts:
+        spark = df.sparkSession
+        path, schema = path or scratch(spark), df.schema
+        with shuffles_dropped(spark):
+            df.write.mode("append").parquet(path)
+    if path is None:
+        raise ValueError("no parts")
+    return spark.read.schema(schema).parquet(path)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

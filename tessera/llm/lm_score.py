@@ -1,18 +1,26 @@
-"""Stupid-backoff language-model scores over the corpus's own n-gram counts.
+"""Stupid-backoff language-model scores from the corpus's own n-gram counts, computed by joins.
 
 S(w | context) is count(context w) / count(context) where the n-gram occurs min_count times or more, and otherwise
 alpha * S(w | shorter context), down to count(w) / words. A text's score is the sum of ln S over its words, each
 rounded to a millionth so that sums agree in any order.
 
-The join is relational, with rows that hold blocks instead of single n-grams. Texts become blocks of about BLOCK words
-(written once). Each block sends its different n-grams, as sorted 64-bit hashes with counts, to the partition of their
-leading bits; a partition adds up its counts, and answers every block with the totals of what it sent; a block joins
-the answers to its texts' n-grams and adds up per document. An n-gram is sent once a block however often it occurs
-there, and partitions are even, so that no frequent n-gram makes a hot key. Within a partition hashes travel as 48 bits
-after the leading ones, in partitions of about PART n-grams.
+Tables: each order's n-grams are exploded, counted by a hash-partitioned aggregation, and kept from min_count on (words
+always). What an n-gram adds to a text is a property of the n-gram alone: its own value less the value of its shorter
+suffix, which the word would have had without it. Joins of the count tables with each other give this weight, for each
+number of backoffs that a position allows (fewer at a text's start). A text's score is then the sum of the weights of
+all its n-grams: exploded n-grams joined to the weights by hash, and summed per document.
+
+An n-gram is a 64-bit hash of its two halves (the n-grams without its last and its first word); counts are kept by both
+halves in full. Two of g n-grams share a hash with probability g^2 / 2^65, and are then scored by one another's weight.
+
+Hot keys: n-grams of a share 1 / FREQUENT or more, at most FREQUENT an order, are answered from a broadcast table where
+they stand, so that only rarer ones are dealt out by hash. Disk: counting and scoring go through the hash range in
+PASSES parts, each over all texts, whose shuffles are dropped before the next. Texts are read once and kept as blocks of
+about BLOCK words; rows, n-grams and answers all grow in proportion to the words.
 
 Defined results: null and empty texts have no words and score 0; words are runs of non-blank characters, case as it
-is; repeated rows are documents of their own and add to the counts; an empty table gives an empty one.
+is; repeated rows are documents of their own and add to the counts; ids may be of any type; an empty table gives an
+empty one; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,36 +34,52 @@ import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import has_columns, materialize, release_memory, widened, worker_cache
+from tessera.llm.common import appended, has_columns, materialize, release_memory, widened, worker_cache
 
-ORDER = 2
+ORDER = 3
 ALPHA = 0.4
 MIN_COUNT = 2
 BLOCK = 1_000_000
-PART = 1_000_000
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+PASSES = 4
+FREQUENT = 1 << 17
+_TEXTS = 1 << 16  # texts of a block at most: 16 bits of a document's number
+_LEVELS = 8
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # constants of XXH64
+
+
+def _turn(x: np.ndarray, n: int) -> np.ndarray:
+    return x << np.uint64(n) | x >> np.uint64(64 - n)
+
 
+def _hash_long(x: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
+    """XXH64 of eight bytes."""
+    h = (seed + _P5 + np.uint64(8)) ^ _turn(x * _P2, 31) * _P1
+    h = _turn(h, 27) * _P1 + _P4
+    h = (h ^ h >> np.uint64(33)) * _P2
+    h = (h ^ h >> np.uint64(29)) * _P3
+    return h ^ h >> np.uint64(32)
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * _A
-    h = (h ^ (h >> np.uint64(29))) * _B
-    return h ^ (h >> np.uint64(32))
 
+def join_halves(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """What F.xxhash64(prefix, suffix) gives for two longs."""
+    return _hash_long(suffix, _hash_long(prefix, np.uint64(42)))
 
-def gram_hashes(words: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For k = 1 to order: (positions of words that end a k-gram inside their text, the k-grams' hashes)."""
+
+def gram_hashes(words: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For k = 1 to order: (positions of words that end a k-gram inside their text, its hash, its prefix, its suffix)."""
     place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    h = _mix(words)
-    for k in range(1, order + 1):
-        if k > 1:
-            grown = np.zeros_like(h)
-            grown[1:] = _mix(h[:-1] * _B + words[1:] + np.uint64(k))
-            h = grown
+    at, h = np.arange(len(words)), words
+    yield at, h, h, np.zeros_like(h)
+    for k in range(2, order + 1):
+        full = np.zeros(len(words), np.uint64)
+        full[at] = h
         at = np.flatnonzero(place >= k - 1)
-        yield at, h[at]
+        prefix, suffix = full[at - 1], full[at]
+        h = join_halves(prefix, suffix)
+        yield at, h, prefix, suffix
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -67,17 +91,6 @@ def _from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def _narrow(hashes: np.ndarray, bits: int) -> bytes:
-    low = (hashes << np.uint64(bits)) >> np.uint64(16)
-    return np.ascontiguousarray(low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _wide(data: bytes) -> np.ndarray:
-    raw = np.zeros((len(data) // 6, 8), np.uint8)
-    raw[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return raw.view("<u8").ravel()
-
-
 def text_blocks(docs: DataFrame, doc_id: str, text: str, block: int = BLOCK) -> DataFrame:
     """(block, n_words, ids, sizes, vocab, codes): texts as positions in a block's own list of word hashes."""
     rows = widened(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
@@ -85,20 +98,20 @@ def text_blocks(docs: DataFrame, doc_id: str, text: str, block: int = BLOCK) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("lm_score")
-        number = TaskContext.get().partitionId() << 33
-        kind, ids, sizes, hashes, count = pa.int64(), [], [], [], 0
+        number = TaskContext.get().partitionId() << 22
+        ids, sizes, hashes, count, texts = [], [], [], 0, 0
 
         def made() -> pa.RecordBatch:
             vocab, codes, often = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
             order = np.argsort(-often, kind="stable")  # frequent words get the low numbers, whose upper bytes are zero
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
-            cols = [pa.array([number]), pa.array([count]), pa.array([[x for part in ids for x in part]], pa.list_(kind))]
+            own = pa.concat_arrays(ids)
+            cols = [pa.array([number]), pa.array([count]), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)]
             cols += [pa.array([x], pa.binary()) for x in (_planes(np.concatenate(sizes)), vocab[order].astype("<u8").tobytes(), _planes(rank[codes]))]
             return pa.RecordBatch.from_arrays(cols, names=schema.names)
 
         for batch in batches:
-            kind = batch.schema.types[0]
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 words = pc.ascii_split_whitespace(pc.fill_null(part.column(1).cast(pa.large_string()), ""))
@@ -109,11 +122,12 @@ def text_blocks(docs: DataFrame, doc_id: str, text: str, block: int = BLOCK) ->
                 table = np.fromiter((xxhash.xxh64_intdigest(w) for w in known.dictionary.to_pylist()), np.uint64, len(known.dictionary))
                 hashes.append(table[known.indices.to_numpy(zero_copy_only=False)][real])
                 sizes.append(np.diff(np.concatenate(([0], np.cumsum(real)))[offsets - offsets[0]]))
-                ids.append(part.column(0).to_pylist())
+                ids.append(part.column(0))
                 count += len(hashes[-1])
-                if count >= block:
+                texts += part.num_rows
+                if count >= block or texts > _TEXTS - 1000:
                     yield made()
-                    ids, sizes, hashes, count, number = [], [], [], 0, number + 1
+                    ids, sizes, hashes, count, texts, number = [], [], [], 0, 0, number + 1
         if ids:
             yield made()
         release_memory()
@@ -125,91 +139,151 @@ def _block(sizes: bytes, vocab: bytes, codes: bytes) -> tuple[np.ndarray, np.nda
     return np.frombuffer(vocab, "<u8")[_from_planes(codes)], _from_planes(sizes).astype(np.int64)
 
 
-def _requests(order: int, bits: int):
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(block, words, sizes, *others) of rows (block, sizes, vocab, codes, *others)."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            number, *packed = (batch.column(c)[i].as_py() for c in range(4))
+            yield (number, *_block(*packed), *(batch.column(c)[i] for c in range(4, batch.num_columns)))
+
+
+def _in_pass(grams: np.ndarray, turn: int, passes: int) -> np.ndarray:
+    return (grams >> np.uint64(32)) % np.uint64(passes) == turn
+
+
+def _column_in_pass(gram: str, turn: int, passes: int) -> Column:
+    return F.shiftrightunsigned(gram, 32) % passes == turn
+
+
+def _counted(order: int, turn: int, passes: int):
+    """mapInArrow body: the n-grams of each block, once each with its number there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, *packed in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                words, sizes = _block(*packed)
-                for k, (_, hashes) in enumerate(gram_hashes(words, sizes, order), 1):
-                    grams, counts = np.unique(hashes, return_counts=True)
-                    cuts = np.concatenate((np.searchsorted(grams, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), [len(grams)])) if bits else np.array([0, len(grams)])
-                    parts = np.flatnonzero(np.diff(cuts))
-                    for lo in range(0, len(parts), 256):
-                        own = parts[lo : lo + 256]
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(own.astype(np.int32)), pa.array([block] * len(own)), pa.array([k] * len(own), pa.int32()),
-                                pa.array([_narrow(grams[cuts[p] : cuts[p + 1]], bits) for p in own], pa.binary()),
-                                pa.array([_planes(counts[cuts[p] : cuts[p + 1]]) for p in own], pa.binary()),
-                            ],
-                            names=["part", "block", "k", "grams", "counts"],
-                        )
+        worker_cache("lm_score")
+        for _, words, sizes in _blocks(batches):
+            for k, (_, grams, prefix, suffix) in enumerate(gram_hashes(words, sizes, order), 1):
+                mine = _in_pass(grams, turn, passes)
+                _, first, n = np.unique(grams[mine], return_index=True, return_counts=True)
+                cols = [np.full(len(first), k, np.int8), prefix[mine][first].view(np.int64), suffix[mine][first].view(np.int64), n]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["k", "prefix", "suffix", "n"])
+        release_memory()
 
     return run
 
 
-def _answers(table: pa.Table) -> pa.Table:
-    """Totals of one partition's n-grams, for each block that asked."""
-    keys = [_wide(x) for x in table.column("grams").to_pylist()]
-    counts = np.concatenate([_from_planes(x) for x in table.column("counts").to_pylist()]).astype(np.int64)
-    # the order of the n-grams takes part, so that those of different length never meet
-    kinds = np.repeat(np.array(table.column("k").to_pylist(), np.uint64), [len(x) for x in keys])
-    flat = np.concatenate(keys) | kinds << np.uint64(48)
-    order = np.argsort(flat, kind="stable")
-    ranked = flat[order]
-    first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-    sums = np.add.reduceat(counts[order], first)
-    totals = np.empty(len(flat), np.int64)
-    totals[order] = np.repeat(sums, np.diff(np.append(first, len(flat))))
-    totals = np.minimum(totals, 0xFFFFFFFF)
-    ends = np.cumsum([len(x) for x in keys])
-    return pa.table(
-        {
-            "block": table.column("block"), "k": table.column("k"), "part": table.column("part"),
-            "totals": pa.array([_planes(totals[e - len(x) : e]) for x, e in zip(keys, ends, strict=True)], pa.binary()),
-        }
-    )
-
-
-def _scores(order: int, alpha: float, min_count: int, words_all: int, kind: pa.DataType):
-    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        by_kind: dict[int, list[tuple[int, bytes]]] = {}
-        for k, part, totals in zip(*(answers.column(c).to_pylist() for c in ("k", "part", "totals")), strict=True):
-            by_kind.setdefault(k, []).append((part, totals))
-        ids, n_words, scores = [], [], []
-        for own, *packed in zip(*(blocks.column(c).to_pylist() for c in ("ids", "sizes", "vocab", "codes")), strict=True):
-            words, sizes = _block(*packed)
-            value, shorter = np.zeros(len(words)), np.zeros(len(words))
-            for k, (at, hashes) in enumerate(gram_hashes(words, sizes, order), 1):
-                count = np.zeros(len(words))
-                if len(at):
-                    totals = np.concatenate([_from_planes(t) for _, t in sorted(by_kind[k])])
-                    count[at] = totals[np.unique(hashes, return_inverse=True)[1]]
-                if k == 1:
-                    value[at] = np.log(count[at] / words_all)
-                else:
-                    seen = count[at] >= min_count
-                    value[at] = np.where(seen, np.log(np.maximum(count[at], 1) / np.maximum(shorter[at - 1], 1)), log(alpha) + value[at])
-                shorter = count
-            micro = np.concatenate(([0], np.cumsum(np.rint(value * 1e6).astype(np.int64))))
-            ends = np.cumsum(sizes)
-            ids += own
-            n_words.append(sizes)
-            scores.append(micro[ends] - micro[ends - sizes])
+def count_tables(blocks: DataFrame, order: int, min_count: int = MIN_COUNT, passes: int = PASSES) -> DataFrame:
+    """(k, gram, prefix, suffix, n) of all words and of longer n-grams that occur min_count times or more."""
+    own = blocks.select("block", "sizes", "vocab", "codes")
+
+    def part(turn: int) -> DataFrame:
+        rows = own.mapInArrow(_counted(order, turn, passes), "k byte, prefix long, suffix long, n long")
+        sums = rows.groupBy("k", "prefix", "suffix").agg(F.sum("n").alias("n")).where((F.col("k") == 1) | (F.col("n") >= min_count))
+        return sums.select("k", F.when(F.col("k") == 1, F.col("prefix")).otherwise(F.xxhash64("prefix", "suffix")).alias("gram"), "prefix", "suffix", "n")
+
+    return appended(part(turn) for turn in range(passes))
+
+
+def weights(counts: DataFrame, order: int, words_all: int, alpha: float = ALPHA) -> DataFrame:
+    """(k, gram, n, w0, w1, ...): what an n-gram adds to a text, in millionths, where it could be lengthened by 0, 1, ...
+    words more within the order and the text, each of which was backed off from."""
+
+    def backed_off(value: Column, times: int) -> Column:
+        for _ in range(times):
+            value = F.lit(log(alpha)) + value
+        return value
+
+    micro = lambda v: F.rint(v * 1e6).cast("long")
+    out, below = None, None
+    for k in range(1, order + 1):
+        own = counts.where(F.col("k") == k)
+        if k == 1:
+            own = own.withColumn("value", F.log(F.col("n") / F.lit(float(words_all)))).withColumn("less", F.lit(None).cast("double"))
+        else:
+            halves = lambda key, **cols: below.select(F.col("gram").alias(key), *[F.col(c).alias(a) for a, c in cols.items()])  # noqa: E731, B023
+            own = own.join(halves("prefix", context="n"), "prefix").join(halves("suffix", less="value"), "suffix")
+            own = own.withColumn("value", F.log(F.col("n") / F.col("context")))
+        below = materialize(own.select("k", "gram", "n", "value", "less"))
+        levels = [micro(backed_off(F.col("value"), i)) - (micro(backed_off(F.col("less"), i + 1)) if k > 1 else 0) for i in range(order - k + 1)]
+        levels += [F.lit(None).cast("long")] * (k - 1)
+        made = below.select("k", "gram", "n", *[c.alias(f"w{i}") for i, c in enumerate(levels)])
+        out = made if out is None else out.unionAll(made)
+    return materialize(out)
+
+
+def _levels(at: np.ndarray, sizes: np.ndarray, k: int, order: int) -> np.ndarray:
+    """By how many words the k-grams that end at these places could be lengthened."""
+    place = at - np.repeat(np.cumsum(sizes) - sizes, sizes)[at]
+    return np.minimum(place + 1, order) - k
+
+
+def _frequent(order: int, shared):
+    """mapInArrow body: for each text its number, id, words and the sum over its frequent n-grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("lm_score")
+        known, table = shared.value
+        for number, words, sizes, ids in _blocks(batches):
+            micro = np.zeros(len(words) + 1, np.int64)
+            for k, (at, grams, _, _) in enumerate(gram_hashes(words, sizes, order), 1):
+                if len(known) and len(at):
+                    place = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+                    hit = known[place] == grams
+                    micro[at[hit] + 1] += table[_levels(at, sizes, k, order)[hit], place[hit]]
+            total, ends = np.cumsum(micro), np.cumsum(sizes)
+            docs = number << 16 | np.arange(len(sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(docs), ids.values, pa.array(sizes), pa.array(total[ends] - total[ends - sizes])], names=["doc", "doc_id", "n_words", "micro"])
+        release_memory()
+
+    return run
+
+
+def _rare(order: int, shared, turn: int, passes: int):
+    """mapInArrow body: each n-gram of a pass that isn't frequent, with its text and level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("lm_score")
+        known, _ = shared.value
+        for number, words, sizes in _blocks(batches):
+            owner = np.repeat(number << 16 | np.arange(len(sizes)), sizes)
+            for k, (at, grams, _, _) in enumerate(gram_hashes(words, sizes, order), 1):
+                mine = _in_pass(grams, turn, passes)
+                level, at, grams = _levels(at, sizes, k, order)[mine], at[mine], grams[mine]
+                if len(known):
+                    new = known[np.minimum(np.searchsorted(known, grams), len(known) - 1)] != grams
+                    level, at, grams = level[new], at[new], grams[new]
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(owner[at] * _LEVELS + level)], names=["gram", "doc"])
         release_memory()
-        return pa.table({"doc_id": pa.array(ids, kind), "n_words": pa.array(np.concatenate(n_words)), "score": pa.array(np.concatenate(scores) / 1e6)})
 
     return run
 
 
-def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, block: int = BLOCK, part: int = PART) -> DataFrame:
+def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, block: int = BLOCK, passes: int = PASSES, frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, n_words, score) for each row."""
     has_columns(docs, doc_id, text)
+    if not 1 <= order <= _LEVELS:
+        raise ValueError(f"the order must be 1 to {_LEVELS}")
     blocks = materialize(text_blocks(docs, doc_id, text, block))
     words_all = blocks.agg(F.sum("n_words")).first()[0] or 0
-    bits = max(0, (words_all * order // part).bit_length())
-    requests = blocks.select("block", "sizes", "vocab", "codes").mapInArrow(_requests(order, bits), "part int, block long, k int, grams binary, counts binary")
-    answers = requests.groupBy("part").applyInArrow(_answers, "block long, k int, part int, totals binary")
-    schema = docs.select(F.col(doc_id).alias("doc_id"), F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("score")).schema
-    kind = pa.int64() if dict(docs.dtypes)[doc_id] == "bigint" else pa.string() if dict(docs.dtypes)[doc_id] == "string" else pa.int32()
-    return blocks.drop("n_words").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(order, alpha, min_count, words_all, kind), schema)
+    table = weights(count_tables(blocks, order, min_count, passes), order, words_all, alpha)
+    often = F.col("n") * frequent >= F.lit(words_all)
+    found = table.where(often).select("gram", *[f"w{i}" for i in range(order)]).toArrow()  # at most `frequent` rows an order
+    known = found.column("gram").to_numpy().view(np.uint64)
+    rank = np.argsort(known)
+    answers = np.stack([pc.fill_null(found.column(f"w{i}"), 0).to_numpy()[rank] for i in range(order)])
+    shared = docs.sparkSession.sparkContext.broadcast((known[rank], answers))
+    schema = docs.select(F.lit(0).cast("long").alias("doc"), F.col(doc_id).alias("doc_id"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("micro")).schema
+    base = materialize(blocks.select("block", "sizes", "vocab", "codes", "ids").mapInArrow(_frequent(order, shared), schema))
+    own = blocks.select("block", "sizes", "vocab", "codes")
+
+    def part(turn: int) -> DataFrame:
+        rows = own.mapInArrow(_rare(order, shared, turn, passes), "gram long, doc long")
+        rest = table.where(~often & _column_in_pass("gram", turn, passes)).drop("k", "n")
+        level = F.col("doc") % _LEVELS
+        weight = F.col("w0")
+        for i in range(1, order):
+            weight = F.when(level == i, F.col(f"w{i}")).otherwise(weight)
+        return rows.join(rest, "gram").select(F.shiftright("doc", 3).alias("doc"), weight.alias("micro")).groupBy("doc").agg(F.sum("micro").alias("micro"))
+
+    sums = appended(part(turn) for turn in range(passes)).groupBy("doc").agg(F.sum("micro").alias("more"))
+    total = F.col("micro") + F.coalesce(F.col("more"), F.lit(0))
+    return base.join(sums, "doc", "left").select("doc_id", "n_words", (total / F.lit(1e6)).alias("score"))

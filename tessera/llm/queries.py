@@ -37,9 +37,9 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_scores(_table(spark, sf_dir, "documents"))
 
 
-def op4_lm_score_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trigrams with two backoff steps. It has no SQL: OP4_SQL is of order 2."""
-    return lm_score.lm_scores(_table(spark, sf_dir, "documents"), order=3)
+def op4_lm_score_order2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigrams with one backoff step."""
+    return lm_score.lm_scores(_table(spark, sf_dir, "documents"), order=2)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,7 @@ def op10_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_langid, op3_packing, op4_lm_score, op4_lm_score_order3, op5_simhash, op6_line_dedup, op7_chat, op8_sharding, op9_quality, op10_jpeg)}
+    return {f.__name__: f for f in (op1_mixing, op2_langid, op3_packing, op4_lm_score, op4_lm_score_order2, op5_simhash, op6_line_dedup, op7_chat, op8_sharding, op9_quality, op10_jpeg)}
 
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -134,7 +134,7 @@ FROM judged
 """
 
 
-OP4_SQL = rf"""
+OP4_ORDER2_SQL = rf"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
 uni AS (SELECT rid, unnest(range(1, len(w) + 1)) AS i, w FROM docs),
 tok AS (SELECT rid, i, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a FROM uni),
@@ -151,6 +151,29 @@ SELECT d.doc_id, CAST(coalesce(p.n, 0) AS BIGINT) AS n_words, coalesce(CAST(p.m
 FROM docs d LEFT JOIN per p USING (rid)
 """
 
+OP4_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+uni AS (SELECT rid, unnest(w) AS c, unnest(range(1, len(w) + 1)) AS i FROM docs),
+tok AS (SELECT rid, i, c, lag(c) OVER p AS b, lag(c, 2) OVER p AS a FROM uni WINDOW p AS (PARTITION BY rid ORDER BY i)),
+one AS (SELECT c, count(*) AS n FROM tok GROUP BY c),
+two AS (SELECT b, c, count(*) AS n FROM tok WHERE i >= 2 GROUP BY b, c),
+three AS (SELECT a, b, c, count(*) AS n FROM tok WHERE i >= 3 GROUP BY a, b, c),
+allw AS (SELECT sum(n) AS n FROM one),
+one_value AS (SELECT c, one.n, ln(CAST(one.n AS DOUBLE) / allw.n) AS v FROM one CROSS JOIN allw),
+two_value AS (SELECT two.b, two.c, two.n, ln(CAST(two.n AS DOUBLE) / o.n) AS v FROM two JOIN one o ON two.b = o.c WHERE two.n >= 2),
+three_value AS (
+  SELECT t.a, t.b, t.c, ln(CAST(t.n AS DOUBLE) / w.n) AS v FROM three t JOIN two w ON t.a = w.b AND t.b = w.c WHERE t.n >= 2),
+sc AS (
+  SELECT t.rid, CASE WHEN t.i = 1 THEN o.v
+                     WHEN t.i = 2 THEN coalesce(w.v, ln(CAST(0.4 AS DOUBLE)) + o.v)
+                     ELSE coalesce(h.v, ln(CAST(0.4 AS DOUBLE)) + coalesce(w.v, ln(CAST(0.4 AS DOUBLE)) + o.v)) END AS s
+  FROM tok t JOIN one_value o ON t.c = o.c LEFT JOIN two_value w ON t.b = w.b AND t.c = w.c
+  LEFT JOIN three_value h ON t.a = h.a AND t.b = h.b AND t.c = h.c),
+per AS (SELECT rid, count(*) AS n, sum(CAST(round(s * 1e6) AS BIGINT)) AS m FROM sc GROUP BY rid)
+SELECT d.doc_id, CAST(coalesce(p.n, 0) AS BIGINT) AS n_words, coalesce(CAST(p.m AS DOUBLE), 0) / 1e6 AS score
+FROM docs d LEFT JOIN per p USING (rid)
+"""
+
 OP7_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, role IS NULL AS none, coalesce(text, '') AS t, text FROM conversations
@@ -177,4 +200,4 @@ FROM e GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_lm_score": OP4_SQL, "op6_line_dedup": OP6_SQL, "op7_chat": OP7_SQL, "op9_quality": OP9_SQL}
+    return {"op4_lm_score": OP4_SQL, "op4_lm_score_order2": OP4_ORDER2_SQL, "op6_line_dedup": OP6_SQL, "op7_chat": OP7_SQL, "op9_quality": OP9_SQL}

@@ -24,27 +24,55 @@ def brute(texts, order, alpha, least):
     return out
 
 
-@pytest.mark.parametrize(("order", "block", "part"), [(2, 1_000_000, 4_000_000), (3, 500, 1_000), (1, 2_000, 50)])
-def test_against_brute(docs, order, block, part):
+key = lambda r: (str(r[0]), r[1], round(r[2], 3))
+
+
+@pytest.mark.parametrize(("order", "options"), [(3, {}), (2, {"block": 500, "passes": 3, "frequent": 20}), (3, {"block": 700, "passes": 2, "frequent": 50}), (1, {"passes": 1, "frequent": 1}), (2, {"min_count": 1}), (4, {"min_count": 3, "frequent": 5})])
+def test_against_brute(docs, order, options):
     rows = docs.collect()
-    want = brute([r["text"] for r in rows], order, 0.4, 2)
-    got = lm_score.lm_scores(docs, order=order, block=block, part=part).collect()
-    key = lambda r: (str(r[0]), r[1], round(r[2], 3))
+    want = brute([r["text"] for r in rows], order, 0.4, options.get("min_count", 2))
+    got = lm_score.lm_scores(docs, order=order, **options).collect()
     assert sorted(map(key, ((r["doc_id"], n, s) for r, (n, s) in zip(rows, want, strict=True)))) == sorted(map(key, (tuple(r) for r in got)))
 
 
+def test_hash_is_that_of_the_joins(spark):
+    import numpy as np
+
+    dice = np.random.default_rng(2)
+    a, b = (dice.integers(0, 1 << 64, 50, np.uint64) for _ in range(2))
+    df = spark.createDataFrame(list(zip(a.view(np.int64).tolist(), b.view(np.int64).tolist(), strict=True)), "a long, b long")
+    assert [r[0] for r in df.selectExpr("xxhash64(a, b)").collect()] == lm_score.join_halves(a, b).view(np.int64).tolist()
+
+
+def test_counts_beyond_32_bits(spark):
+    big = 7 << 33
+    table = spark.createDataFrame([(1, 11, 11, 0, 2 * big), (1, 12, 12, 0, big), (2, 21, 11, 12, big // 2)], "k byte, gram long, prefix long, suffix long, n long")
+    got = {(r["k"], r["gram"]): r for r in lm_score.weights(table, 2, 3 * big).collect()}
+    assert got[1, 11]["w0"] == round(1e6 * log(2 / 3)) and got[1, 12]["w1"] == round(1e6 * (log(0.4) + log(1 / 3)))
+    assert got[2, 21]["w0"] == round(1e6 * log(1 / 4)) - got[1, 12]["w1"] and got[2, 21]["w1"] is None
+
+
+@pytest.mark.parametrize("kind", ["smallint", "decimal(10,2)", "string", "int", "binary", "date"])
+def test_ids_of_any_type(spark, kind):
+    value = {"date": "date'2020-01-02'", "binary": "X'0102'"}.get(kind, f"cast(7 as {kind})")
+    df = spark.sql(f"select {value} as ident, 'a b a b' as body, 1 as micro union all select null, 'a', 2")
+    got = lm_score.lm_scores(df, "ident", "body")
+    assert dict(got.dtypes)["doc_id"] == kind
+    assert sorted((r["doc_id"] is None, r["n_words"]) for r in got.collect()) == [(False, 4), (True, 1)]
+
+
 def test_empty(empty, spark):
     assert lm_score.lm_scores(empty).count() == 0
     df = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert sorted(map(tuple, lm_score.lm_scores(df).collect())) == [(1, 0, 0.0), (2, 0, 0.0)]
 
 
-def test_registered_at_order_3(spark, docs, tmp_path):
+@pytest.mark.parametrize(("name", "order"), [("op4_lm_score", 3), ("op4_lm_score_order2", 2)])
+def test_registered(spark, docs, tmp_path, name, order):
     from tessera.llm.queries import queries
 
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     rows = docs.collect()
-    want = brute([r["text"] for r in rows], 3, 0.4, 2)
-    key = lambda r: (str(r[0]), r[1], round(r[2], 3))
-    got = queries()["op4_lm_score_order3"](spark, str(tmp_path)).collect()
+    want = brute([r["text"] for r in rows], order, 0.4, 2)
+    got = queries()[name](spark, str(tmp_path)).collect()
     assert sorted(map(key, ((r["doc_id"], n, s) for r, (n, s) in zip(rows, want, strict=True)))) == sorted(map(key, (tuple(r) for r in got)))
