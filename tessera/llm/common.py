@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from tessera.sources.store import stored as materialize  # noqa: F401
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 ROWS_PER_BUCKET = 20_000
+SLICE_BYTES = 8_000_000
 
 _caches: dict[str, dict] = {}
 
@@ -27,14 +31,22 @@ def worker_cache(owner: str) -> dict:
 
 def release_memory() -> None:
     """Give what the allocators of this worker hold unused back to the system; an idle worker would keep it."""
-    import pyarrow as pa
-
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of the batch with about `most` bytes of the column each."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    bins = np.cumsum(sizes, dtype=np.int64) // most
+    cuts = [0, *(np.flatnonzero(np.diff(bins)) + 1).tolist(), batch.num_rows]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        if lo < hi:
+            yield batch.slice(lo, hi - lo)
+
+
 def appended(parts: Iterable[DataFrame]) -> DataFrame:
     """All parts in one written table, as materialize does. Each part's shuffles go before the next one runs, so that disk
     holds those of one part at a time."""

@@ -1,14 +1,24 @@
-"""Near-duplicates at a Jaccard similarity of word shingles: MinHash bands find candidates, exact sets confirm each link.
-
-Shingles are those of simhash, as sets. Texts of equal sets are one node (copies cost nothing). A node has BANDS keys of
-ROWS minima each; nodes that share a key are candidates, with probability 1 - (1 - s^ROWS)^BANDS at similarity s. Bands
-link a bucket's nodes to its least one only, so that no pairs are made; the components of these links are groups, outside
-of which no candidates are. The sets of a group meet in one task, where a spanning forest of exactly the links of the
-threshold or more is found, whether or not two of its nodes shared a key. Groups of over GROUP shingles are cut into
-blocks, and each pair of blocks is compared in a task of its own.
-
-Defined results: texts without words (null ones too) have equal sets, the empty one, and link to each other only; ids are
-treated as in simhash. A component holds chains of links: each of its texts is similar to another one of it.
+"""SimHash near-dedup of texts: covering locality-sensitive hashing finds candidates, exact shingle sets confirm each link.
+
+Two texts are linked if the sets of their five-word shingles (those of simhash) have a Jaccard similarity of the
+threshold or more. Texts of equal sets are one node, so that copies cost nothing.
+
+Candidates: a node has PRINTS SimHash fingerprints of 64 bits, each over its two-word shingles under another rehash of
+them: an edit changes fewer short shingles than long ones, so that similar texts differ in fewer bits. For each
+fingerprint the covering masks of simhash guarantee that nodes within RADIUS bits meet in a bucket, and nodes of a bucket
+within REACH bits are candidates. The components of these candidates are groups, outside of which no candidates are.
+Links are then exact: the sets of a group meet in one task, where a spanning forest of the links of the threshold or more
+is found, whether or not two of its nodes were candidates. Groups of over GROUP shingles are cut into blocks, and each
+pair of blocks is compared in a task of its own. Fingerprints are taken one after another, and the shuffles of one go
+before the next.
+
+Recall is a matter of probability, as the fingerprints of similar texts may all differ in more bits: the README has the
+measured share by similarity. No unlike texts are linked.
+
+Defined results: texts without words (null ones too) have the empty set, and link to each other only; rows of an id with
+unlike texts are different texts, each of which is kept or goes on its own; a null id is an id as any other and is kept
+only where its component has no other; repeated rows leave one; an empty table gives an empty one; other columns pass
+through, whatever their names. A component holds chains of links: each of its texts is similar to another one of it.
 """
 
 from __future__ import annotations
@@ -18,19 +28,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, has_columns, materialize, release_memory, widened, worker_cache
+from tessera.llm.common import appended, fresh, has_columns, materialize, release_memory, widened, worker_cache
 from tessera.llm.graph import components
-from tessera.llm.simhash import shingle_hashes
+from tessera.llm.simhash import links as covered
+from tessera.llm.simhash import majority, shingle_hashes
 
+SHINGLE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 32, 6
+PRINTS, PRINT_WORDS = 8, 2
+RADIUS, REACH = 4, 5
 GROUP = 2_000_000
-_dice = np.random.default_rng(64)
-_TURNS, _SHIFTS = (_dice.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1) for _ in range(2))
-_FOLD = _dice.integers(0, 1 << 64, (BANDS, ROWS), np.uint64) | np.uint64(1)
+_HASHES = 300_000
+_TURNS = np.random.default_rng(64).integers(0, 1 << 64, (PRINTS, 2), np.uint64) | np.uint64(1)
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
@@ -41,35 +53,57 @@ def node_name(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """One key for each band."""
-    least = np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for lo in range(0, len(hashes), 1024):
-        np.minimum(least, (hashes[lo : lo + 1024, None] * _TURNS + _SHIFTS).min(axis=0), out=least)
-    folded = (least.reshape(BANDS, ROWS) ^ (least.reshape(BANDS, ROWS) >> np.uint64(29))) * _FOLD
-    return np.bitwise_xor.reduce(folded ^ (folded >> np.uint64(32)), axis=1)
+def prints_of(hashes: list[np.ndarray]) -> np.ndarray:
+    """texts x PRINTS fingerprints from the texts' shingle hashes."""
+
+    def again(h: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        h = (h ^ (h >> np.uint64(31))) * turn[0]
+        h = (h ^ (h >> np.uint64(29))) * turn[1]
+        return h ^ (h >> np.uint64(32))
+
+    sizes = np.cumsum([0, *map(len, hashes)])
+    flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+    cuts = list(zip(sizes[:-1].tolist(), sizes[1:].tolist(), strict=True))
+    rehashed = (again(flat, turn) for turn in _TURNS)
+    return np.stack([majority([x[s:e] for s, e in cuts]) for x in rehashed], axis=1)
+
+
+def _text_key(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, node, keys) of docs (doc_id, text)."""
-    source = widened(docs.select("doc_id", F.col("text").cast("binary").alias("text")))
-    schema = source.select("doc_id", F.lit(b"").alias("node"), F.array(F.lit(0).cast("long")).alias("keys")).schema
+    """(doc_id, text_key, node, n, prints) of docs (doc_id, text): n is the size of the set."""
+    source = widened(docs.select("doc_id", _text_key(F.col("text")).alias("text_key"), F.col("text").cast("binary").alias("text")))
+    schema = source.select("doc_id", "text_key", F.lit(b"").alias("node"), F.lit(0).cast("long").alias("n"), F.array(F.lit(0).cast("long")).alias("prints")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("near_dedup")
+
+        def made(part: pa.RecordBatch, names: list[bytes], sizes: list[int], short: list[np.ndarray]) -> pa.RecordBatch:
+            prints = prints_of(short).view(np.int64).ravel()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(prints) + 1, PRINTS, dtype=np.int32)), pa.array(prints))
+            return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), lists], names=schema.names)
+
         for batch in batches:
-            sets = (shingle_set(x.as_py() or b"", shingle) for x in batch.column(1))
-            made = [(node_name(s), band_keys(s)) for s in sets]
-            keys = np.concatenate([k for _, k in made]).view(np.int64) if made else np.empty(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32)), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in made], pa.binary()), lists], names=["doc_id", "node", "keys"])
+            names, sizes, short, held, at = [], [], [], 0, 0
+            for i in range(batch.num_rows):
+                text = batch.column(2)[i].as_py() or b""
+                full = shingle_set(text, shingle)
+                names.append(node_name(full))
+                sizes.append(len(full))
+                short.append(shingle_hashes(text, PRINT_WORDS))
+                held += len(short[-1])
+                if held > _HASHES or i + 1 == batch.num_rows:
+                    yield made(batch.slice(at, i + 1 - at), names, sizes, short)
+                    names, sizes, short, held, at = [], [], [], 0, i + 1
         release_memory()
 
     return source.mapInArrow(run, schema)
 
 
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(node, set, n): set holds sorted 64-bit hashes."""
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, set, n) of texts (text): set holds sorted 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("near_dedup")
@@ -79,7 +113,7 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([node_name(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], names=["node", "set", "n"])
         release_memory()
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "node binary, set binary, n long")
+    return texts.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "node binary, set binary, n long")
 
 
 def forest(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
@@ -141,15 +175,29 @@ def _confirmed(threshold: float):
     return run
 
 
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(a, b): nodes that a fingerprint links, as a forest of each fingerprint's links. nodes: (node, prints)."""
+
+    def of_print(at: int) -> DataFrame:
+        own = nodes.select("node", F.get("prints", F.lit(at)).alias("fp"))
+        first = own.groupBy("fp").agg(F.min("node").alias("first"))
+        equal = own.join(first, "fp").where(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b"))
+        pairs = covered(own, "fp", RADIUS, reach=REACH)
+        for side in ("a", "b"):
+            pairs = pairs.join(first.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_node")), side)
+        return equal.unionAll(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
+
+    return appended(of_print(at) for at in range(PRINTS)).distinct()
+
+
 def links(rows: DataFrame, docs: DataFrame, shingle: int, threshold: float, group: int = GROUP) -> DataFrame:
-    """(a, b): confirmed links between nodes. rows: (doc_id, node, keys); docs: (doc_id, text)."""
-    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("keys").alias("keys")))
-    keyed = nodes.select("node", F.posexplode("keys").alias("t", "k"))
-    firsts = keyed.groupBy("t", "k").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    near = components(keyed.join(firsts, ["t", "k"]).select("node", "first"), "node", "first")
-    groups = materialize(near.select("node", "root").unionAll(near.select(F.col("root").alias("node"), "root").distinct()).join(nodes.drop("keys"), "node"))
-    key = "least"
-    texts = docs.join(groups.select(key).distinct(), docs["doc_id"].eqNullSafe(F.col(key)), "left_semi")
+    """(a, b): confirmed links between nodes. rows: (doc_id, text_key, node, n, prints); docs: (doc_id, text)."""
+    one = F.min(F.struct("doc_id", "text_key")).alias("one")
+    nodes = materialize(rows.where("n > 0").groupBy("node").agg(one, F.any_value("prints").alias("prints")))
+    near = components(candidates(nodes), "a", "b")
+    groups = materialize(near.select("node", "root").unionAll(near.select(F.col("root").alias("node"), "root").distinct()).join(nodes.select("node", "one.*"), "node"))
+    read = groups.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    texts = docs.join(read, docs["doc_id"].eqNullSafe(F.col("_id")) & (_text_key(docs["text"]) == F.col("_key")), "left_semi")
     sets = materialize(shingle_sets(texts, shingle).join(groups.select("node", "root"), "node"))
     cuts = sets.groupBy("root").agg(F.sum("n").alias("all")).select("root", F.when(F.col("all") > group, F.ceil(F.col("all") / F.lit(group / 2))).otherwise(1).cast("int").alias("m"))
     dealt = sets.join(cuts, "root").withColumn("x", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
@@ -157,25 +205,30 @@ def links(rows: DataFrame, docs: DataFrame, shingle: int, threshold: float, grou
     return pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_confirmed(threshold), "a binary, b binary")
 
 
-def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, threshold: float = THRESHOLD, group: int = GROUP) -> DataFrame:
-    """(doc_id, node, component_id) for each row: component_id is the least id that confirmed links reach."""
+def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, group: int = GROUP) -> DataFrame:
+    """(doc_id, text_key, node, component, component_id) for each row: component is the name of a node, component_id the
+    least id that confirmed links reach."""
     has_columns(docs, doc_id, text)
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = materialize(sketches(plain, shingle))
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
-    roots = components(links(rows, plain, shingle, threshold, group), "a", "b")
-    linked = roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
-    names = linked.join(nodes, "node").groupBy("root").agg(F.min("least").alias("name"), F.lit(True).alias("linked"))
-    named = linked.join(names, "root").select("node", "name", "linked")
-    named = materialize(nodes.join(named, "node", "left").select("node", F.when(F.col("linked"), F.col("name")).otherwise(F.col("least")).alias("component_id")))
-    return rows.join(named, "node").select("doc_id", "node", "component_id")
-
-
-def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one row for each component: the least id's (of equal ids the first by text)."""
-    found = near_components(docs, doc_id, text, shingle, threshold)
-    kept = found.groupBy("component_id").agg(F.min("doc_id").alias("_kept")).select("_kept")
-    key, at = fresh(docs, "_kept_id"), fresh(docs, "_at")
-    firsts = docs.join(kept.select(F.col("_kept").alias(key)), F.col(doc_id).eqNullSafe(F.col(key)), "left_semi")
-    once = firsts.groupBy(doc_id).agg(F.min_by(F.struct(*docs.columns), F.struct(F.coalesce(F.col(text), F.lit("")))).alias(at))
-    return once.select(*[F.col(at)[c].alias(c) for c in docs.columns])
+    rows = materialize(sketches(plain, shingle).select("doc_id", "text_key", "node", "n", "prints"))
+    roots = materialize(components(links(rows, plain, shingle, threshold, group), "a", "b"))
+    placed = rows.drop("n", "prints").join(roots, "node", "left").select("doc_id", "text_key", "node", F.coalesce("root", "node").alias("component"))
+    names = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return placed.join(names, "component").select("doc_id", "text_key", "node", "component", "component_id")
+
+
+def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """docs with one row for each component: the least id's (null last), of its texts the first by digest, of its repeated rows
+    the first by all columns that can be ordered."""
+    found = materialize(near_components(docs, doc_id, text, shingle, threshold).select("doc_id", "text_key", "component"))
+    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("one"), F.count(F.lit(1)).alias("n"))
+    often = found.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows"))
+    key, digest, rows, turn = (fresh(docs, n) for n in ("_kept_id", "_digest", "_rows", "_turn"))
+    kept = kept.select(F.col("one.doc_id").alias(key), F.col("one.text_key").alias(digest))
+    kept = kept.join(often.select(F.col("doc_id").alias("_i"), F.col("text_key").alias("_t"), F.col("rows").alias(rows)), F.col(key).eqNullSafe(F.col("_i")) & (F.col(digest) == F.col("_t"))).select(key, digest, rows)
+    own = docs.join(kept, F.col(doc_id).eqNullSafe(F.col(key)) & (_text_key(F.col(text)) == F.col(digest)))
+    once = own.where(F.col(rows) == 1).select(*docs.columns)
+    # only rows that are repeated move a second time
+    order = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    again = own.where(F.col(rows) > 1).withColumn(turn, F.row_number().over(Window.partitionBy(key, digest).orderBy(*order)))
+    return once.unionAll(again.where(F.col(turn) == 1).select(*docs.columns))

@@ -10,7 +10,9 @@ Packing is local: each task packs its rows in groups of bounded size, without a
 partition in their upper bits. They are stable for the same input partitions.
 
 Defined results: null text is an empty one and still ends with the end id, so that every row gives a piece; rows of
-equal ids are packed on their own; an empty table gives an empty one.
+equal ids are packed on their own; an empty table gives an empty one; other columns are not read, whatever their names.
+An example that no sequence can hold has null as sequence_id and offset. A tokenizer whose ids of a whole text aren't
+those of its words raises ValueError.
 """
 
 from __future__ import annotations
@@ -26,11 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import has_columns, release_memory, widened, worker_cache
+from tessera.llm.common import fresh, has_columns, release_memory, slices, widened, worker_cache
 
 GROUP_TOKENS = 4_000_000
 CACHE_WORDS = 600_000
-SLICE_BYTES = 8_000_000
+
+
+PROBES = ("", "Two words", "A  b\n\nc\td ", " lead, trail. ", "It's YOU'RE e.g. x_y 12,345.60!", "Ünï ÉCOLE ß (q)", "a-b/c: #d; 'e' \"f\"?!")
 
 
 @dataclass(frozen=True)
@@ -58,6 +62,10 @@ class WordTokenizer:
         self.encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)  # without places in the text
         self.separator = self.tok.encode(self.SEPARATOR, add_special_tokens=False).ids
         self._empty()
+        ids, sizes = self(pa.array(PROBES))
+        for text, own in zip(PROBES, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+            if own.tolist() != [*self.tok.encode(text, add_special_tokens=False).ids, end_id]:
+                raise ValueError(f"{path}: the ids of a whole text aren't those of its words (at {text!r})")
 
     def _empty(self) -> None:
         self.known: dict[str, int] = {}
@@ -242,32 +250,41 @@ def split_powers(bin_: list[tuple]) -> list[list[tuple]]:
     return out
 
 
+def oversized(n: int, loss: int, segments: int, limits: Limits, cut: bool) -> bool:
+    """Whether no sequence can hold an example; with cut, one of a single segment is divided where its loss tokens allow it."""
+    if cut and segments == 1 and loss <= n and n >= limits.tokens:
+        return -(-loss * limits.tokens // n) > limits.loss_tokens
+    return n > limits.tokens or loss > limits.loss_tokens or segments > limits.segments
+
+
 def pack_examples(examples: DataFrame, key: str, tokens: str, loss_tokens: str, segments: str, limits: Limits = Limits(), cut: bool = False) -> DataFrame:
-    """For instruction data that is tokenized elsewhere: (key, start, length, sequence_id, offset) under the limits."""
+    """For instruction data that is tokenized elsewhere: (key, start, length, loss_tokens, segments, sequence_id, offset) under the
+    limits. Null numbers count as 0, and segments as 1 at least; an example without tokens gives no row."""
     has_columns(examples, key, tokens, loss_tokens, segments)
     rows = examples.select(key, *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(f"_{i}") for i, c in enumerate((tokens, loss_tokens, segments))])
-    schema = rows.select(key, *[F.lit(0).cast("long").alias(c) for c in ("start", "length", "sequence_id", "offset")]).schema
+    schema = rows.select(key, *[F.lit(None).cast("long").alias(c) for c in ("start", "length", "loss_tokens", "segments", "sequence_id", "offset")]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
+        kind = pa.null()
 
         def made(held: list[tuple]) -> pa.RecordBatch:
             nonlocal number
-            out = []
-            for sequence in pack(held, limits, cut):
+            fit = [p for p in held if not oversized(p[2], p[3], p[4], limits, cut)]
+            out = [(*p, None, None) for p in held if oversized(p[2], p[3], p[4], limits, cut)]
+            for sequence in pack(fit, limits, cut):
                 at = 0
-                for k, start, n, _, _ in sequence:
-                    out.append((k, start, n, number, at))
-                    at += n
+                for p in sequence:
+                    out.append((*p, number, at))
+                    at += p[2]
                 number += 1
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], batches_type), *(pa.array(c, pa.int64()) for c in cols[1:])], names=schema.names)
+            cols = list(zip(*out, strict=True)) or [()] * 7
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), *(pa.array(c, pa.int64()) for c in cols[1:])], names=schema.names)
 
         held: list[tuple] = []
         size = 0
-        batches_type = None
         for batch in batches:
-            batches_type = batch.schema.types[0]
+            kind = batch.schema.types[0]
             k, n, loss, seg = (batch.column(i).to_pylist() for i in range(4))
             held += [(a, 0, b, c, max(1, d)) for a, b, c, d in zip(k, n, loss, seg, strict=True)]
             size += sum(n)
@@ -280,26 +297,17 @@ def pack_examples(examples: DataFrame, key: str, tokens: str, loss_tokens: str,
     return rows.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of the batch with about `most` bytes of text each."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    bins = np.cumsum(sizes, dtype=np.int64) // most
-    cuts = [0, *(np.flatnonzero(np.diff(bins)) + 1).tolist(), batch.num_rows]
-    for lo, hi in zip(cuts, cuts[1:], strict=False):
-        if lo < hi:
-            yield batch.slice(lo, hi - lo)
-
-
 def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 2, limits: Limits = Limits(), ids: bool = True) -> DataFrame:
     """Pieces of tokenized texts in packed sequences.
 
     tokenizer: the vocabulary file, which each executor has at this path. Columns: doc_id, start, length, doc_tokens,
-    sequence_id, offset (long) and ids_le (binary: the piece's ids, unsigned 32-bit little-endian). Every token of a
-    document bears loss.
+    sequence_id, offset, loss_tokens, segments (long) and ids_le (binary: the piece's ids, unsigned 32-bit little-endian).
+    Every token of a document bears loss and a piece is one segment, so that a piece's vector grows with its length: the
+    dot product then takes the longest piece that fits, until the segments run out.
     """
     has_columns(docs, doc_id, text)
     rows = widened(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
-    schema = rows.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")], F.lit(b"").alias("ids_le")).schema
+    schema = rows.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in ("start", "length", "doc_tokens", "sequence_id", "offset", "loss_tokens", "segments")], F.lit(b"").alias("ids_le")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _tokenizer(tokenizer, end_id)
@@ -312,9 +320,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
             rows: list[tuple] = []
             for sequence in pack([(i, 0, len(x), len(x), 1) for i, (_, x) in enumerate(held)], limits):
                 at = 0
-                for i, start, n, _, _ in sequence:
+                for i, start, n, loss, segments in sequence:
                     d, x = held[i]
-                    rows.append((d, start, n, len(x), number, at, x[start : start + n].astype("<u4").tobytes()))
+                    rows.append((d, start, n, len(x), number, at, loss, segments, x[start : start + n].astype("<u4").tobytes()))
                     at += n
                 number += 1
                 if len(rows) >= 4096:
@@ -325,7 +333,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
 
         def as_batch(rows: list[tuple]) -> pa.RecordBatch:
             cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), *(pa.array(c, pa.int64()) for c in cols[1:6]), pa.array(cols[6], pa.binary())], names=schema.names)
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), *(pa.array(c, pa.int64()) for c in cols[1:8]), pa.array(cols[8], pa.binary())], names=schema.names)
 
         size = 0
         for batch in batches:

@@ -18,6 +18,7 @@ and never names one, unless all ids of the component are null; an empty table gi
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,25 +31,44 @@ from tessera.llm.common import fresh, has_columns, materialize, release_memory,
 from tessera.llm.graph import components
 
 BUCKET = 20_000
+SEGMENT = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _LANES = np.uint64(0x0101010101010101)
 _WHITE = bytes(range(9, 14)) + b" "
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _BLANK = bytes.maketrans(bytes(range(9, 14)), b" " * 5)
 
 
+def _runs(text: bytes, size: int) -> Iterator[list[bytes]]:
+    """The words in runs of about SEGMENT bytes, which overlap by size - 1 words; a last one of fewer than size is new to none."""
+    words: list[bytes] = []
+    at = 0
+    while at < len(text):
+        end = at + SEGMENT
+        if end < len(text):
+            found = _SPACE.search(text, end)
+            end = found.end() if found else len(text)
+        words += [w for w in text[at:end].translate(_LOWER).translate(_BLANK).split(b" ") if w]
+        at = end
+        if len(words) >= size or at >= len(text):
+            yield words
+            words = words[len(words) - size + 1 :] if size > 1 else []
+
+
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
-    """XXH64 (seed 42) of each shingle, repeats included."""
-    words = text.translate(_LOWER).translate(_BLANK).split(b" ")
-    words = [w for w in words if w]
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(words) <= size:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = len(words) - size + 1
-    return np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts[:n].tolist(), ends[size - 1 :].tolist(), strict=True)), np.uint64, n)
+    """XXH64 (seed 42) of each shingle, repeats included. Long texts are read in segments, so that memory is that of the hashes."""
+    digest, parts = xxhash.xxh64_intdigest, []
+    for words in _runs(text, size):
+        n = len(words) - size + 1
+        if n < 1:
+            if words and not parts:
+                return np.array([digest(b" ".join(words), 42)], np.uint64)
+            continue
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        parts.append(np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts[:n].tolist(), ends[size - 1 :].tolist(), strict=True)), np.uint64, n))
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
 
 
 def majority(hashes: list[np.ndarray]) -> np.ndarray:
@@ -78,10 +98,11 @@ def majority(hashes: list[np.ndarray]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", name: str = "fp", shingle: int = 4) -> DataFrame:
-    """docs' other columns plus name: the fingerprint as a signed long. Texts are read as UTF-8, in slices of bounded size."""
+    """docs' other columns plus name: the fingerprint as a signed long (an existing column of that name is replaced). Texts are
+    read as UTF-8, in slices of bounded size."""
     has_columns(docs, text)
-    keep = [c for c in docs.columns if c != text]
-    source = widened(docs.select(*keep, F.col(text).cast("binary").alias(text)))
+    keep = [c for c in docs.columns if c != text and c.lower() != name.lower()]
+    source = widened(docs.select(*keep, F.col(text).cast("binary").alias(fresh(docs, "_text"))))
     schema = source.select(*keep, F.lit(0).cast("long").alias(name)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,9 +205,11 @@ def _links(radius: int, keys: int):
     return run
 
 
-def links(prints: DataFrame, name: str, radius: int, bucket: int = BUCKET) -> DataFrame:
-    """(a, b): links that connect exactly what the relation "radius or fewer differing bits" connects."""
+def links(prints: DataFrame, name: str, radius: int, bucket: int = BUCKET, reach: int | None = None) -> DataFrame:
+    """(a, b): links that connect exactly what the relation "radius or fewer differing bits" connects. With a greater reach, also
+    those up to reach bits that happen to share a bucket."""
     table = F.array(*[F.lit(m) for m in masks(radius)])
+    near = reach or radius
     spark = prints.sparkSession
     spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     keyed = (
@@ -198,11 +221,11 @@ def links(prints: DataFrame, name: str, radius: int, bucket: int = BUCKET) -> Da
     sizes = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     met = keyed.join(sizes, ["t", "k"])
     small = met.where(F.col("n") <= bucket).select("t", "k", "fp").repartition("t", "k").sortWithinPartitions("t", "k")
-    out = small.mapInArrow(_links(radius, 2), "a long, b long")
+    out = small.mapInArrow(_links(near, 2), "a long, b long")
     # beyond the bucket size: every pair of blocks is a group of its own, so none is larger than two blocks
     blocks = met.where(F.col("n") > bucket).withColumn("m", F.ceil(F.col("n") / F.lit(bucket / 2)).cast("int")).withColumn("x", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
     pairs = blocks.select("t", "k", "x", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("y"), "fp").select("t", "k", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "fp")
-    large = pairs.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j").mapInArrow(_links(radius, 4), "a long, b long")
+    large = pairs.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j").mapInArrow(_links(near, 4), "a long, b long")
     return out.unionAll(large)
 
 
@@ -217,13 +240,3 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     named = linked.join(names, "root").select("fp", "name", "linked")
     named = materialize(nodes.join(named, "fp", "left").select("fp", F.when(F.col("linked"), F.col("name")).otherwise(F.col("least")).alias("component_id")))
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def simhash_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 4) -> DataFrame:
-    """docs with one row for each component: the least id's (of equal ids the first by text)."""
-    found = simhash_components(docs, doc_id, text, shingle, radius)
-    kept = found.groupBy("component_id").agg(F.min("doc_id").alias("_kept")).select("_kept")
-    key, at = fresh(docs, "_kept_id"), fresh(docs, "_at")
-    firsts = docs.join(kept.select(F.col("_kept").alias(key)), F.col(doc_id).eqNullSafe(F.col(key)), "left_semi")
-    once = firsts.groupBy(doc_id).agg(F.min_by(F.struct(*docs.columns), F.struct(F.coalesce(F.col(text), F.lit("")))).alias(at))
-    return once.select(*[F.col(at)[c].alias(c) for c in docs.columns])

@@ -72,6 +72,40 @@ def test_the_stage_keeps_one_of_each_component(spark, empty):
     assert near_dedup.near_dedup(empty).count() == 0
 
 
+def test_repeated_ids_with_unlike_texts(spark):
+    dice = random.Random(3)
+    a, b, c, d = (" ".join(f"w{dice.randrange(900)}" for _ in range(80)) for _ in range(4))
+    rows = [(5, a, 1), (5, b, 1), (3, a, 1), (7, c, 1), (None, c, 1), (None, d, 1), (9, d.upper(), 2), (9, d.upper(), 1), (11, None, 0), (10, "", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _rows int")
+    out = near_dedup.near_dedup(df)
+    assert out.columns == df.columns
+    assert sorted(tuple(r) for r in out.collect()) == sorted([(3, a, 1), (5, b, 1), (7, c, 1), (9, d.upper(), 1), (10, "", 0)])
+
+
+def test_documents(docs):
+    rows = sorted({(r["doc_id"], r["text"]) for r in docs.where("doc_id is not null").collect()}, key=str)
+    got = near_dedup.near_dedup(docs.where("doc_id is not null")).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted({least for _, least in brute(rows)})
+
+
+@pytest.mark.parametrize(("low", "least"), [(0.80, 0.9), (0.85, 0.9), (0.90, 0.95), (0.95, 0.99)])
+def test_recall_by_similarity(low, least):
+    """The share of pairs of changed copies that a fingerprint brings together."""
+    from tessera.llm.simhash import masks
+
+    dice, table, met = random.Random(int(low * 100)), np.array([m % (1 << 64) for m in masks(near_dedup.RADIUS)], np.uint64), []
+    while len(met) < 300:
+        words = [f"w{dice.randrange(5000)}" for _ in range(300)]
+        own = words[:]
+        for i in dice.sample(range(300), dice.randint(1, 8)):
+            own[i] = f"x{dice.randrange(10**6)}"
+        texts = [" ".join(words), " ".join(own)]
+        if low <= jaccard(*map(shingle_set, texts)) < low + 0.05:
+            x, y = near_dedup.prints_of([near_dedup.shingle_hashes(t.encode(), near_dedup.PRINT_WORDS) for t in texts])
+            met.append(bool(((((x ^ y)[:, None] & table) == 0).any(axis=1) & (np.bitwise_count(x ^ y) <= near_dedup.REACH)).any()))
+    assert sum(met) / len(met) >= least
+
+
 def test_forest_against_all_pairs():
     dice = np.random.default_rng(2)
     base = dice.integers(0, 1 << 62, 200, np.uint64)

@@ -95,6 +95,63 @@ def test_examples(spark):
     assert max(by.values()) <= 128
 
 
+def test_oversized_examples(spark):
+    rows = [("ok", 100, 10, 2, "x"), ("long", 129, 1, 1, "x"), ("loss", 50, 41, 1, "x"), ("many", 50, 1, 9, "x"), ("none", 0, 0, 0, "x"), (None, 28, 3, 1, "x")]
+    df = spark.createDataFrame(rows, "ex string, tokens int, loss int, segs int, sequence_id string")
+    for cut in (False, True):
+        got = {}
+        for r in packing.pack_examples(df, "ex", "tokens", "loss", "segs", packing.Limits(128, 8, 40), cut).collect():
+            got.setdefault(r["ex"], []).append((r["start"], r["length"], r["loss_tokens"], r["segments"], r["sequence_id"] is None, r["offset"] is None))
+        assert got["loss"] == [(0, 50, 41, 1, True, True)] and got["many"] == [(0, 50, 1, 9, True, True)] and "none" not in got
+        assert sum(x[1] for x in got["ok"]) == 100 and not any(x[4] for x in got["ok"] + got[None])
+        assert got["long"] == [(0, 129, 1, 1, True, True)] if not cut else sum(x[1] for x in got["long"]) == 129 and not any(x[4] for x in got["long"])
+
+
+def test_choice_is_that_of_the_dot_product():
+    """Each choice, replayed against all pieces that are left, without cutting."""
+    dice = random.Random(5)
+    for _ in range(30):
+        limits = packing.Limits(64, 5, 30)
+        left = {i: (i, 0, dice.randint(1, 64), dice.randint(0, 30), dice.randint(1, 5)) for i in range(40)}
+        cap = (limits.tokens, limits.loss_tokens, limits.segments)
+        for seq in packing.pack(list(left.values()), limits, cut=False):
+            room = list(cap)
+            fits = lambda: [p for p in left.values() if all(x <= r for x, r in zip(p[2:], room, strict=True))]  # noqa: B023, E731
+            dot = lambda p: sum(x / c * (r / c) for x, c, r in zip(p[2:], cap, room, strict=True))  # noqa: B023, E731
+            for p in seq:
+                assert p in fits() and dot(p) >= max(map(dot, fits())) - 1e-9
+                del left[p[0]]
+                room = [r - x for r, x in zip(room, p[2:], strict=True)]
+            assert not fits()
+        assert not left
+
+
+def test_segments_bind():
+    out = packing.pack([(i, 0, 1 + i % 3, 1 + i % 3, 1) for i in range(1000)], packing.Limits(4096, 64, 4096))
+    assert max(sum(p[4] for p in seq) for seq in out) == 64 and all(sum(p[2] for p in seq).bit_count() == 1 for seq in out)
+
+
+def test_a_tokenizer_of_another_kind_is_refused():
+    P = pytest.importorskip("public_tokenizers")
+    import glob
+    import os
+
+    refused = 0
+    for path in glob.glob(os.path.join(os.path.dirname(P.path("word_bpe_49k.json")), "*.json")):
+        from tokenizers import Tokenizer
+
+        try:
+            tok = Tokenizer.from_file(path)
+        except Exception:  # noqa: BLE001 not a tokenizer file
+            continue
+        low = tok.encode("Two Words", add_special_tokens=False).ids == tok.encode("two words", add_special_tokens=False).ids
+        if not low:
+            with pytest.raises(ValueError, match="whole text"):
+                packing.WordTokenizer(path, 2)
+            refused += 1
+    assert refused
+
+
 def test_empty(empty):
     P = pytest.importorskip("public_tokenizers")
     assert packing.pack_documents(empty, P.path("word_bpe_49k.json")).count() == 0

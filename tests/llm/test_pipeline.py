@@ -7,9 +7,9 @@ import numpy as np
 import pytest
 
 from tests.llm.test_mixing import brute_targets
+from tests.llm.test_near_dedup import brute as near_brute
 from tests.llm.test_packing import check_sequences
 from tests.llm.test_quality import brute
-from tests.llm.test_simhash import brute_components, brute_print
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -46,12 +46,9 @@ def test_stages(spark, docs):
     assert sorted(map(key, lines)) == sorted((str(r["doc_id"]), "\n".join(x for x in r["text"].split("\n") if (r["source"], x) not in bad)) for r in good)
     assert all(r["n_chars"] == len(r["text"]) for r in lines)
 
-    prints = {key(r): brute_print(r["text"], 5) for r in lines}
-    roots = brute_components(set(prints.values()), 6)
-    groups = {}
-    for r in lines:
-        groups.setdefault(roots[prints[key(r)]], []).append(r)
-    assert sorted(str(r["doc_id"]) for r in unique) == sorted(str(min((r for r in g if r["doc_id"] is not None), key=lambda r: r["doc_id"])["doc_id"]) for g in groups.values())
+    last = lambda d: (d is None, d or 0)
+    least = near_brute([(last(r["doc_id"]), r["text"]) for r in lines])
+    assert sorted(last(r["doc_id"]) for r in unique) == sorted({d for _, d in least})
 
     sizes = Counter()
     for r in unique:

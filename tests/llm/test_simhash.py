@@ -87,11 +87,22 @@ def test_large_buckets_and_chains(spark):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
 
 
-def test_dedup_keeps_one_of_each(docs, empty):
-    out = simhash.simhash_dedup(docs)
-    assert out.columns == docs.columns
-    want = {r["component_id"] for r in simhash.simhash_components(docs).collect()}
-    got = [r["doc_id"] for r in out.collect()]
-    assert len(got) == len(want) and set(got) == want
-    assert simhash.simhash_dedup(empty).count() == 0
+def test_existing_columns_are_replaced(spark):
+    df = spark.createDataFrame([(1, "a b c", 5, "x"), (2, None, 6, "y")], "doc_id long, text string, FP int, _text string")
+    out = simhash.fingerprints(df)
+    assert out.columns == ["doc_id", "_text", "fp"] and dict(out.dtypes)["fp"] == "bigint"
+    assert {r["doc_id"]: r["fp"] % (1 << 64) for r in out.collect()} == {1: brute_print("a b c", 4), 2: 0}
+
+
+def test_long_texts_in_segments(monkeypatch):
+    dice = random.Random(8)
+    texts = [" ".join("".join(dice.choices("abC", k=dice.randint(1, 9))) + dice.choice(["", " ", "\n\t"]) for _ in range(n)) for n in (0, 1, 3, 4, 5, 40, 200)]
+    texts += [" " * 50 + "a b c d e", "a" * 200, "a b" + " " * 90]
+    whole = [[simhash.shingle_hashes(t.encode(), k).tolist() for k in (1, 4, 5)] for t in texts]
+    for size in (1, 7, 30):
+        monkeypatch.setattr(simhash, "SEGMENT", size)
+        assert [[simhash.shingle_hashes(t.encode(), k).tolist() for k in (1, 4, 5)] for t in texts] == whole
+
+
+def test_empty(empty):
     assert simhash.simhash_components(empty).count() == 0
