@@ -44,8 +44,8 @@ def test_code_lengths_are_exact():
                     own = counts[one].setdefault(data[i - k : i], {})
                     own[data[i]] = own.get(data[i], 0) + 1
     grams = np.array(sorted(table), np.uint32)
-    model = langid.Model(tuple(langs), grams, np.array([table[g] for g in grams.tolist()]))
-    tables = langid.Tables(model)
+    model = langid.Model.of_grams(tuple(langs), grams, np.array([table[g] for g in grams.tolist()]))
+    tables = langid.Tables(model, langid.Contexts(model))
     queries = [b"abra banana", b"zzz", b"", bytes(range(256)), b"a" * 50]
     got = langid.code_lengths(tables, queries)
     for t, row in zip(queries, got, strict=True):
@@ -55,13 +55,42 @@ def test_code_lengths_are_exact():
 
 def test_slices_do_not_matter(monkeypatch):
     grams = np.unique(langid._grams(b"the cat sat on the mat " * 9))
-    tables = langid.Tables(langid.Model(("a", "b"), grams, np.ones((len(grams), 2), np.int64)))
+    model = langid.Model.of_grams(("a", "b"), grams, np.ones((len(grams), 2), np.int64))
+    tables = langid.Tables(model, langid.Contexts(model))
     texts = [b"the mat " * k for k in range(40)]
     whole = langid.code_lengths(tables, texts)
     monkeypatch.setattr(langid, "SLICE", 8 * 50)
     assert np.allclose(whole, langid.code_lengths(tables, texts))
 
 
+def test_languages_in_parts(monkeypatch):
+    dice = np.random.default_rng(1)
+    grams = np.unique(langid._grams(b"the cat sat on the mat " * 3 + bytes(dice.integers(97, 110, 200, np.uint8))))
+    counts = dice.integers(0, 3, (len(grams), 11))
+    model = langid.Model.of_grams(tuple("abcdefghijk"), grams, counts, 40)
+    texts = [b"the mat", b"zz", b"abcabc" * 9]
+    whole = langid._all_lengths(model, texts)
+    monkeypatch.setattr(langid, "CELLS", 3 * 40 * langid.Contexts(model).classes)
+    assert langid.languages_at_once(model, langid.Contexts(model)) == 3
+    assert whole.shape == (3, 11) and np.allclose(whole, langid._all_lengths(model, texts))
+
+
+def test_more_than_256_languages(spark):
+    letters = [chr(0x4E00 + i) for i in range(300)]
+    rows = [(i * 300 + j, letters[j] * 9 + " " + letters[j] * 5, f"l{j}") for j in range(300) for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert len(model.langs) == 300
+    assert df.count() == sum(r["lang"] == r["lang_pred"] for r in langid.predict(df, model).collect())
+
+
+def test_existing_columns_are_replaced(spark):
+    df = spark.createDataFrame([(1, "abab", "x", 1, "u"), (2, "cdcd", "y", 2, "v")], "doc_id long, text string, Lang_Pred string, score int, _text string")
+    out = langid.predict(df, langid.fit(df, lang="Lang_Pred"))
+    assert out.columns == ["doc_id", "_text", "lang_pred", "score"]
+    assert [r["lang_pred"] for r in out.orderBy("doc_id").collect()] == ["x", "y"]
+
+
 def table(spark, n=300):
     dice = random.Random(4)
     parts = {"en": ["the", "ing", "ed", "th", "ou"], "fr": ["le", "ét", "eau", "que", "oi"], "de": ["sch", "ung", "ein", "ü", "ich"]}
