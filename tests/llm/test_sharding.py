@@ -39,3 +39,38 @@ def test_groups_stay_together_and_a_hot_one_is_split(spark):
     hot = Counter(r["shard"] for r in got if 1000 <= r["doc_id"] < 2000)
     assert len(hot) >= 3
     assert sorted(map(str, got)) == sorted(map(str, sharding.shard_documents(df, 10).collect()))
+
+
+def test_groups_that_fit_a_shard_stay_whole(spark):
+    rows = [(i, f"copy {i % 4}") for i in range(480)] + [(1000 + i, f"single {i}") for i in range(520)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert cut(got) == 0 and sorted(Counter(r["shard"] for r in got).values()) == [250] * 4
+    # sizes of a fifth to a whole shard, with little room left
+    sizes = [100, 100, 90, 80, 70, 60, 50, 40, 30, 20, 20, 20]
+    rows = [(100 * g + i, f"group {g}") for g, n in enumerate(sizes) for i in range(n)] + [(5000 + i, f"single {i}") for i in range(120)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    check(got, [dict(doc_id=d, text=t) for d, t in rows], 8)
+    assert cut(got) <= 1
+
+
+def test_large_moves_against_capacity():
+    import random
+
+    dice = random.Random(3)
+    for _ in range(200):
+        shards, room = dice.randint(2, 6), 20
+        parts = [[dice.randint(0, 5) for _ in range(shards)] for _ in range(dice.randint(1, 8))]
+        load = [sum(p[s] for p in parts) + 3 for s in range(shards)]
+        after = load[:]
+        moves = sharding._large_moves([dict(part=i, shard=s, n=n) for i, p in enumerate(parts) for s, n in enumerate(p) if n], after, room)
+        want = load[:]
+        for part, goal in moves.items():
+            want = [x - n for x, n in zip(want, parts[part], strict=True)]
+            want[goal] += sum(parts[part])
+        assert after == want
+        # the parts that are whole afterwards fit their shards
+        whole = [0] * shards
+        for i, p in enumerate(parts):
+            if i in moves:
+                whole[moves[i]] += sum(p)
+        assert max(whole) <= room
