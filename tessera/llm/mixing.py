@@ -77,6 +77,8 @@ def tilts(hist: DataFrame, totals: DataFrame, cap: float = CAP, steps: int = STE
         worst = state.agg(F.max(F.when((F.col("hi") - F.col("lo")) > 1e-12 * (1 + F.abs("tilt")), F.col("off")))).first()[0]
         if worst is None or worst < CLOSE:
             break
+    else:
+        raise ValueError(f"the tilts did not converge in {steps} steps (off by {worst:.3g} of a target)")
     return state.select("src", "mean", "tilt", "full")
 
 
@@ -127,11 +129,12 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """docs with each row repeated as often as the mix takes it. Rows of an id are matched by their size; rows of equal
-    id and size share the copies of all of them."""
+    id and size share the copies of all of them. Texts move once, to meet their copies; only such repeated keys move again."""
     i, s, n, total, rows, turn, mine, each = (fresh(docs, f"_mix_{x}") for x in ("id", "src", "size", "sum", "rows", "turn", "mine", "each"))
-    copies = mix(docs, doc_id, source, text, weights, cap).groupBy(F.col("doc_id").alias(i), F.col("src").alias(s), F.col("size").alias(n)).agg(F.sum("copies").alias(total), F.count(F.lit(1)).alias(rows))
-    joined = docs.join(copies, F.col(doc_id).eqNullSafe(F.col(i)) & F.col(source).eqNullSafe(F.col(s)) & (word_count(F.col(text)) == F.col(n)))
-    counted = joined.withColumn(turn, F.row_number().over(Window.partitionBy(i, s, n).orderBy(F.col(text))))
+    copies = materialize(mix(docs, doc_id, source, text, weights, cap).groupBy(F.col("doc_id").alias(i), F.col("src").alias(s), F.col("size").alias(n)).agg(F.sum("copies").alias(total), F.count(F.lit(1)).alias(rows)))
+    joined = docs.join(copies.where(F.col(total) > 0), F.col(doc_id).eqNullSafe(F.col(i)) & F.col(source).eqNullSafe(F.col(s)) & (word_count(F.col(text)) == F.col(n)))
+    once = joined.where(F.col(rows) == 1).withColumn(mine, F.col(total))
+    shared = joined.where(F.col(rows) > 1).withColumn(turn, F.row_number().over(Window.partitionBy(i, s, n).orderBy(F.col(text))))
     upto = lambda k: F.floor(F.col(total) * k / F.col(rows))
-    counted = counted.withColumn(mine, upto(F.col(turn)) - upto(F.col(turn) - 1)).where(F.col(mine) > 0)
-    return counted.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(mine).cast("int")))).select(*docs.columns)
+    shared = shared.withColumn(mine, upto(F.col(turn)) - upto(F.col(turn) - 1)).where(F.col(mine) > 0).drop(turn)
+    return once.unionByName(shared).withColumn(each, F.explode(F.sequence(F.lit(1), F.col(mine).cast("int")))).select(*docs.columns)

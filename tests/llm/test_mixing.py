@@ -1,3 +1,4 @@
+import random
 import re
 
 from tessera.llm import mixing
@@ -59,3 +60,40 @@ def test_filling(spark):
     want = brute_targets(sizes, (5, 2, 1), 3)
     for r in mixing.source_targets(totals).collect():
         assert abs(r["target"] - want[r["src"]]) < 1e-6
+
+
+def test_rates_and_copies_against_brute(spark):
+    """The dual by bisection, one source at a time, and the copies by the same rounding in one row loop."""
+    from math import exp
+
+    dice = random.Random(6)
+    rows = [(i, " ".join(["w"] * dice.choice([0, 1, 2, 5, 9, 30, 200])), dice.choice("aabbbbc")) for i in range(700)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 4, 1)).collect()
+    for one in "abc":
+        own = [r for r in got if r["src"] == one]
+        size, target = own[0]["source_size"], own[0]["target"]
+        mean = size / len(own)
+        rate = lambda tilt, n: min(3.0, exp(min(tilt * n / mean, 50)))  # noqa: B023, E731
+        lo, hi = -200.0, 200.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(rate(mid, r["size"]) * r["size"] for r in own) < target else (lo, mid)
+        full = target >= 3 * size * (1 - 1e-9)
+        carry = sum((3.0 if full else rate(lo, r["size"])) * r["size"] for r in own) - sum(r["taken"] for r in own)
+        assert abs(carry) <= max(r["size"] for r in own) / 2 + 1
+        # within a size, copies are whole numbers around the rate, and their mean follows it
+        for n in {r["size"] for r in own} - {0}:
+            copies = [r["copies"] for r in own if r["size"] == n]
+            want = 3.0 if full else rate(lo, n)
+            assert abs(sum(copies) / len(copies) - want) <= 1.5 / len(copies) + 200 / 2 / n / len(copies), (one, n, want)
+            assert max(copies) <= 3
+
+
+def test_no_silent_stop(spark):
+    import pytest
+
+    df = spark.createDataFrame([(i, " ".join(["w"] * (i + 1)), "ab"[i % 2]) for i in range(50)], "doc_id long, text string, source string")
+    hist = df.selectExpr("source as hsrc", "doc_id + 1 as len", "1 as docs")
+    totals = hist.groupBy("hsrc").agg({"len": "sum", "docs": "count"}).selectExpr("hsrc as src", "`sum(len)` as size", "`count(docs)` as n", "0.3d * `sum(len)` as target")
+    with pytest.raises(ValueError, match="converge"):
+        mixing.tilts(hist, totals, steps=1)
