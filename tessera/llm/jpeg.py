@@ -1,5 +1,8 @@
 """Progressive JPEG media columns: a decoder in numpy, and a lossless carrier for byte payloads.
 
+Memory: files are done one by one and in slices of SLICE_BLOCKS blocks, in batches of a few megabytes; the README has the
+peak for a long text.
+
 decode() accumulates all scans of a progressive file (DC and AC, first passes and refinements, spectral selection,
 interleaved DC scans, restart intervals) into coefficient arrays. rgb() dequantizes, inverse-transforms, upsamples the
 chroma and gives the full-resolution RGB tensor. Scans in which every symbol is the same are read by array
@@ -30,9 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import has_columns, widened, worker_cache
+from tessera.llm.common import fresh, has_columns, release_memory, slices, widened, worker_cache
 
 UNIT = 576
+SLICE_BLOCKS = 1 << 14  # a multiple of 8, so that slices of a scan begin at whole bytes
 
 
 def _zigzag() -> np.ndarray:
@@ -226,7 +230,7 @@ def _dc(parts: list, which: np.ndarray, blocks: np.ndarray, data: bytes, tables:
     symbol, signed = reader.symbol, reader.signed
     look = [tables[t] for _, t, _ in parts]
     each = which.tolist()
-    diffs = np.array([[signed(symbol(look[i])) for i in each] for _ in range(len(blocks))], np.int64).reshape(blocks.shape)
+    diffs = np.fromiter((signed(symbol(look[i])) for _ in range(len(blocks)) for i in each), np.int64, blocks.size).reshape(blocks.shape)
     for i in range(len(parts)):
         own = which == i
         flat[i][blocks[:, own].ravel(), 0] = np.cumsum(diffs[:, own].ravel()) << low
@@ -239,18 +243,10 @@ def _ac_first(coefs: np.ndarray, blocks: np.ndarray, data: bytes, table: Huffman
     size = begins & 15
     if begins >> 4 == 0 and size:  # perhaps all symbols are this one
         code, length = table.codes[begins]
-        stride, count = length + size, len(blocks) * wide
-        if len(data) == ceil(stride * count / 8):
-            if stride == 8:
-                raw = np.frombuffer(data, np.uint8)
-                same, extra = raw >> size == code, (raw & (1 << size) - 1).astype(np.int32)
-            else:
-                raw = np.unpackbits(np.frombuffer(data, np.uint8), count=stride * count).reshape(count, stride).astype(np.int32) @ (1 << np.arange(stride)[::-1])
-                same, extra = raw >> size == code, raw & (1 << size) - 1
-            if same.all():
-                value = np.where(extra >> size - 1, extra, extra - (1 << size) + 1)
-                coefs[blocks, first : last + 1] = (value << low).reshape(-1, wide)
-                return
+        stride = length + size
+        if len(data) == ceil(stride * len(blocks) * wide / 8) and _alike(coefs, blocks, data, code, stride, size, first, wide, low):
+            return
+        coefs[blocks, first : last + 1] = 0
     reader, ends = Bits(data), 0
     for b in blocks.tolist():
         if ends:
@@ -271,17 +267,44 @@ def _ac_first(coefs: np.ndarray, blocks: np.ndarray, data: bytes, table: Huffman
                 break
 
 
+def _alike(coefs: np.ndarray, blocks: np.ndarray, data: bytes, code: int, stride: int, size: int, first: int, wide: int, low: int) -> bool:
+    """Read a first scan whose symbols are all code, with size extra bits; False if they aren't."""
+    for lo in range(0, len(blocks), SLICE_BLOCKS):
+        part = blocks[lo : lo + SLICE_BLOCKS]
+        count, at = len(part) * wide, lo * wide * stride // 8
+        if stride == 8:
+            raw = np.frombuffer(data, np.uint8, count, at)
+        else:
+            raw = np.unpackbits(np.frombuffer(data, np.uint8, ceil(stride * count / 8), at), count=stride * count).reshape(count, stride).astype(np.int32) @ (1 << np.arange(stride)[::-1])
+        if not (raw >> size == code).all():
+            return False
+        extra = (raw & (1 << size) - 1).astype(np.int32)
+        value = np.where(extra >> size - 1, extra, extra - (1 << size) + 1)
+        coefs[part, first : first + wide] = (value << low).reshape(-1, wide)
+    return True
+
+
+def _ends_alike(coefs: np.ndarray, blocks: np.ndarray, data: bytes, code: int, length: int, first: int, wide: int, low: int) -> bool:
+    """Read a refinement in which each block is an end of block and one bit for each coefficient; False if it isn't that."""
+    stride = length + wide
+    for write in (False, True):  # nothing is changed before all of it is seen to be so
+        for lo in range(0, len(blocks), SLICE_BLOCKS):
+            part = blocks[lo : lo + SLICE_BLOCKS]
+            band = coefs[part, first : first + wide]
+            bits = np.unpackbits(np.frombuffer(data, np.uint8, ceil(stride * len(part) / 8), lo * stride // 8), count=stride * len(part)).reshape(-1, stride)
+            if write:
+                coefs[part, first : first + wide] = band + np.sign(band) * (bits[:, length:].astype(np.int16) << low)
+            elif not band.all() or (bits[:, :length] != [code >> length - 1 - i & 1 for i in range(length)]).any():
+                return False
+    return True
+
+
 def _ac_refine(coefs: np.ndarray, blocks: np.ndarray, data: bytes, table: Huffman, first: int, last: int, low: int) -> None:
     wide = last - first + 1
-    band = coefs[blocks, first : last + 1]
-    if 0 in table.codes and band.all():  # perhaps each block is an end of block and one bit for each coefficient
+    if 0 in table.codes:
         code, length = table.codes[0]
-        stride = length + wide
-        if len(data) == ceil(stride * len(blocks) / 8):
-            bits = np.unpackbits(np.frombuffer(data, np.uint8), count=stride * len(blocks)).reshape(-1, stride)
-            if (bits[:, :length] == [code >> length - 1 - i & 1 for i in range(length)]).all():
-                coefs[blocks, first : last + 1] = band + np.sign(band) * (bits[:, length:].astype(np.int16) << low)
-                return
+        if len(data) == ceil((length + wide) * len(blocks) / 8) and _ends_alike(coefs, blocks, data, code, length, first, wide, low):
+            return
     reader, ends, one = Bits(data), 0, 1 << low
 
     def correct(b: int, k: int) -> None:
@@ -324,33 +347,40 @@ def planes(image: Image) -> list[np.ndarray]:
         rows, cols = c.coefs.shape[:2]
         if c.table not in image.quant:
             raise ValueError("a quantization table is missing")
-        square = np.empty((rows * cols, 64))
-        square[:, ZIGZAG] = c.coefs.reshape(-1, 64) * image.quant[c.table]
-        half = (square.reshape(-1, 8) @ _BASIS.T).reshape(-1, 8, 8)
-        full = np.ascontiguousarray(half.transpose(0, 2, 1)).reshape(-1, 8) @ _BASIS.T
-        samples = np.clip(np.floor((full + (1 << 2 * _SCALE - 1)) * 2.0 ** (-2 * _SCALE)) + 128, 0, 255).astype(np.uint8)
-        # the second product leaves (block, x, y)
-        out.append(samples.reshape(rows, cols, 8, 8).transpose(0, 3, 1, 2).reshape(rows * 8, cols * 8))
+        plane = np.empty((rows * 8, cols * 8), np.uint8)
+        step = max(1, SLICE_BLOCKS // cols)
+        for lo in range(0, rows, step):  # bounded memory
+            part = c.coefs[lo : lo + step]
+            square = np.empty((len(part) * cols, 64))
+            square[:, ZIGZAG] = part.reshape(-1, 64) * image.quant[c.table]
+            half = (square.reshape(-1, 8) @ _BASIS.T).reshape(-1, 8, 8)
+            full = np.ascontiguousarray(half.transpose(0, 2, 1)).reshape(-1, 8) @ _BASIS.T
+            samples = np.clip(np.floor((full + (1 << 2 * _SCALE - 1)) * 2.0 ** (-2 * _SCALE)) + 128, 0, 255).astype(np.uint8)
+            # the second product leaves (block, x, y)
+            plane[lo * 8 : (lo + len(part)) * 8] = samples.reshape(len(part), cols, 8, 8).transpose(0, 3, 1, 2).reshape(len(part) * 8, cols * 8)
+        out.append(plane)
     return out
 
 
 def rgb(image: Image) -> np.ndarray:
     """uint8 tensor (height, width, 3) at full resolution."""
     h, v = max(c.h for c in image.components), max(c.v for c in image.components)
-    full = []
-    for c, p in zip(image.components, planes(image), strict=True):
-        if h % c.h or v % c.v:
-            raise ValueError("sampling factors must divide the largest")
-        p = np.repeat(np.repeat(p, v // c.v, axis=0), h // c.h, axis=1) if (h, v) != (c.h, c.v) else p
-        full.append(p[: image.height, : image.width])
-    if len(full) == 1:
-        return np.repeat(full[0][:, :, None], 3, axis=2)
-    y, cb, cr = full[0].astype(np.int32), full[1].astype(np.int32) - 128, full[2].astype(np.int32) - 128
-    # 1.402, 0.344136, 0.714136 and 1.772 times 2^16
-    out = np.empty((*y.shape, 3), np.uint8)
-    out[..., 0] = np.clip(y + (91881 * cr + 32768 >> 16), 0, 255)
-    out[..., 1] = np.clip(y - (22554 * cb + 46802 * cr + 32768 >> 16), 0, 255)
-    out[..., 2] = np.clip(y + (116130 * cb + 32768 >> 16), 0, 255)
+    if any(h % c.h or v % c.v for c in image.components):
+        raise ValueError("sampling factors must divide the largest")
+    parts = planes(image)
+    out = np.empty((image.height, image.width, 3), np.uint8)
+    step = v * max(1, (SLICE_BLOCKS << 6) // max(1, image.width * v))  # whole chroma rows
+    for lo in range(0, image.height, step):  # bounded memory
+        hi = min(image.height, lo + step)
+        full = [np.repeat(np.repeat(p[lo * c.v // v : -(-hi * c.v // v)], v // c.v, axis=0), h // c.h, axis=1)[: hi - lo, : image.width] for c, p in zip(image.components, parts, strict=True)]
+        if len(full) == 1:
+            out[lo:hi] = full[0][:, :, None]
+            continue
+        y, cb, cr = full[0].astype(np.int32), full[1].astype(np.int32) - 128, full[2].astype(np.int32) - 128
+        # 1.402, 0.344136, 0.714136 and 1.772 times 2^16
+        out[lo:hi, :, 0] = np.clip(y + (91881 * cr + 32768 >> 16), 0, 255)
+        out[lo:hi, :, 1] = np.clip(y - (22554 * cb + 46802 * cr + 32768 >> 16), 0, 255)
+        out[lo:hi, :, 2] = np.clip(y + (116130 * cb + 32768 >> 16), 0, 255)
     return out
 
 
@@ -420,10 +450,15 @@ def encode_payload(payload: bytes, n_bytes: int) -> bytes:
 def decode_payload(image: Image) -> tuple[bytes, int]:
     """(payload, n_bytes) of a file that encode_payload made, from its coefficients."""
     n_bytes, size = struct.unpack(">QQ", image.comments[0])
-    c = np.concatenate([x.coefs.reshape(-1, 64) for x in image.components])
-    b = np.where(c > 0, c, c + 255).astype(np.uint8)
-    b[:, 0] = c[:, 0] + 128
-    return b.tobytes()[:size], n_bytes
+    parts = []
+    for x in image.components:
+        flat = x.coefs.reshape(-1, 64)
+        for lo in range(0, len(flat), SLICE_BLOCKS):
+            c = flat[lo : lo + SLICE_BLOCKS]
+            b = np.where(c > 0, c, c + 255).astype(np.uint8)
+            b[:, 0] = c[:, 0] + 128
+            parts.append(b.tobytes())
+    return b"".join(parts)[:size], n_bytes
 
 
 def describe(tensor: np.ndarray) -> str:
@@ -436,22 +471,23 @@ def describe(tensor: np.ndarray) -> str:
 
 
 def to_media(docs: DataFrame, text: str = "text", media: str = "media", unit: int = UNIT) -> DataFrame:
-    """docs with text replaced by media: its UTF-8 bytes, filled with bytes of 255 to a positive multiple of unit, as a JPEG file."""
+    """docs with text replaced by media: its UTF-8 bytes, filled with bytes of 255 to a positive multiple of unit, as a JPEG file.
+    An existing column of that name is replaced."""
     has_columns(docs, text)
-    keep = [c for c in docs.columns if c != text]
-    source = widened(docs.select(*keep, F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8").alias(text)))
+    keep = [c for c in docs.columns if c != text and c.lower() != media.lower()]
+    source = widened(docs.select(*keep, F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8").alias(fresh(docs, "_text"))))
     schema = source.select(*keep, F.lit(b"").alias(media)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("jpeg")
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for part in slices(batch, len(keep)):
                 files = []
                 for x in part.column(len(keep)):
                     raw = x.as_py()
                     files.append(encode_payload(raw + b"\xff" * (max(1, ceil(len(raw) / unit)) * unit - len(raw)), len(raw)))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(files, pa.binary())], names=[*keep, media])
+        release_memory()
 
     return source.mapInArrow(run, schema)
 
@@ -478,9 +514,9 @@ def read_media(stored: DataFrame, media: str = "media", tensor: bool = True, pay
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("jpeg")
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for part in slices(batch, at):
                 cols = list(zip(*(row(x.as_py()) for x in part.column(at)), strict=True))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *(pa.array(c, kinds[t]) for c, t in zip(cols, new.values(), strict=True))], names=[*keep, *new])
+        release_memory()
 
     return source.mapInArrow(run, schema)
