@@ -29,8 +29,8 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
-    return packed.select("doc_id", "start", "length", F.crc32("ids_le").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    packed = packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), limits=packing.Limits(4096, 64, 4096))
+    return packed.select("doc_id", "start", "length", F.crc32("ids_le").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens", "segments")
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,11 +73,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tensor is a column of the operator's output, of height x width x 3 bytes; the query returns its digest."""
     stored = jpeg.to_media(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    read = jpeg.read_media(stored, tensor=False, payload=True)
+    read = jpeg.read_media(stored, tensor=True, payload=True)
     return read.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+        "height", "width", F.octet_length("rgb").cast("long").alias("rgb_bytes"), F.sha2("rgb", 256).alias("rgb_sha256"),
     )
 
 
