@@ -43,7 +43,7 @@ ORDER = 3
 ALPHA = 0.4
 MIN_COUNT = 2
 BLOCK = 1_000_000
-PASSES = 4
+PASSES = 6
 FREQUENT = 1 << 17
 _TEXTS = 1 << 16  # texts of a block at most: 16 bits of a document's number
 _LEVELS = 8
@@ -216,19 +216,41 @@ def _levels(at: np.ndarray, sizes: np.ndarray, k: int, order: int) -> np.ndarray
     return np.minimum(place + 1, order) - k
 
 
+class Frequent:
+    """Look-up of frequent n-grams; a bitmap over their lower bits turns most others away."""
+
+    BITS = 22
+
+    def __init__(self, known: np.ndarray, answers: np.ndarray):
+        rank = np.argsort(known)
+        self.known, self.answers = known[rank], answers[:, rank]
+        self.bitmap = np.zeros(1 << self.BITS, bool)
+        self.bitmap[self._low(known)] = True
+
+    def _low(self, grams: np.ndarray) -> np.ndarray:
+        return grams & np.uint64((1 << self.BITS) - 1)
+
+    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(those of the places that hold a frequent n-gram, its place in the table)."""
+        near = np.flatnonzero(self.bitmap[self._low(grams)])
+        if not len(near):
+            return near, near
+        place = np.minimum(np.searchsorted(self.known, grams[near]), len(self.known) - 1)
+        hit = self.known[place] == grams[near]
+        return near[hit], place[hit]
+
+
 def _frequent(order: int, shared):
     """mapInArrow body: for each text its number, id, words and the sum over its frequent n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("lm_score")
-        known, table = shared.value
+        table = shared.value
         for number, words, sizes, ids in _blocks(batches):
             micro = np.zeros(len(words) + 1, np.int64)
             for k, (at, grams, _, _) in enumerate(gram_hashes(words, sizes, order), 1):
-                if len(known) and len(at):
-                    place = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-                    hit = known[place] == grams
-                    micro[at[hit] + 1] += table[_levels(at, sizes, k, order)[hit], place[hit]]
+                hit, place = table.find(grams)
+                micro[at[hit] + 1] += table.answers[_levels(at, sizes, k, order)[hit], place]
             total, ends = np.cumsum(micro), np.cumsum(sizes)
             docs = number << 16 | np.arange(len(sizes))
             yield pa.RecordBatch.from_arrays([pa.array(docs), ids.values, pa.array(sizes), pa.array(total[ends] - total[ends - sizes])], names=["doc", "doc_id", "n_words", "micro"])
@@ -242,15 +264,14 @@ def _rare(order: int, shared, turn: int, passes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("lm_score")
-        known, _ = shared.value
+        table = shared.value
         for number, words, sizes in _blocks(batches):
             owner = np.repeat(number << 16 | np.arange(len(sizes)), sizes)
             for k, (at, grams, _, _) in enumerate(gram_hashes(words, sizes, order), 1):
                 mine = _in_pass(grams, turn, passes)
                 level, at, grams = _levels(at, sizes, k, order)[mine], at[mine], grams[mine]
-                if len(known):
-                    new = known[np.minimum(np.searchsorted(known, grams), len(known) - 1)] != grams
-                    level, at, grams = level[new], at[new], grams[new]
+                hit, _ = table.find(grams)
+                level, at, grams = (np.delete(x, hit) for x in (level, at, grams))
                 yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(owner[at] * _LEVELS + level)], names=["gram", "doc"])
         release_memory()
 
@@ -267,10 +288,8 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order
     table = weights(count_tables(blocks, order, min_count, passes), order, words_all, alpha)
     often = F.col("n") * frequent >= F.lit(words_all)
     found = table.where(often).select("gram", *[f"w{i}" for i in range(order)]).toArrow()  # at most `frequent` rows an order
-    known = found.column("gram").to_numpy().view(np.uint64)
-    rank = np.argsort(known)
-    answers = np.stack([pc.fill_null(found.column(f"w{i}"), 0).to_numpy()[rank] for i in range(order)])
-    shared = docs.sparkSession.sparkContext.broadcast((known[rank], answers))
+    answers = np.stack([pc.fill_null(found.column(f"w{i}"), 0).to_numpy() for i in range(order)])
+    shared = docs.sparkSession.sparkContext.broadcast(Frequent(found.column("gram").to_numpy().view(np.uint64), answers))
     schema = docs.select(F.lit(0).cast("long").alias("doc"), F.col(doc_id).alias("doc_id"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("micro")).schema
     base = materialize(blocks.select("block", "sizes", "vocab", "codes", "ids").mapInArrow(_frequent(order, shared), schema))
     own = blocks.select("block", "sizes", "vocab", "codes")
@@ -282,7 +301,8 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order
         weight = F.col("w0")
         for i in range(1, order):
             weight = F.when(level == i, F.col(f"w{i}")).otherwise(weight)
-        return rows.join(rest, "gram").select(F.shiftright("doc", 3).alias("doc"), weight.alias("micro")).groupBy("doc").agg(F.sum("micro").alias("micro"))
+        # keys of the rest are unique, so that a partition's share of it is a small hash table, and its n-grams need no sort
+        return rows.join(rest.hint("shuffle_hash"), "gram").select(F.shiftright("doc", 3).alias("doc"), weight.alias("micro")).groupBy("doc").agg(F.sum("micro").alias("micro"))
 
     sums = appended(part(turn) for turn in range(passes)).groupBy("doc").agg(F.sum("micro").alias("more"))
     total = F.col("micro") + F.coalesce(F.col("more"), F.lit(0))
