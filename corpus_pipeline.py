@@ -22,7 +22,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of five-word Jaccard similarity 0.8 or more connect stays."""
+    """One document of each group that links of five-word Jaccard similarity 0.8 or more connect stays; SimHash finds them."""
     return near_dedup.near_dedup(docs, shingle=5, threshold=0.8)
 
 
@@ -37,7 +37,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packed.select("doc_id", "start", "length", F.crc32("ids_le").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-STAGES = [("quality_rules", quality_stage), ("line_dedup", line_stage), ("near_dedup", near_dedup_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
+STAGES = [("quality_rules", quality_stage), ("line_dedup", line_stage), ("simhash_near_dedup", near_dedup_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
 
 # Shingle links, tilted rates and tokenizer ids have no SQL form.
 ORACLE_SQL = None
