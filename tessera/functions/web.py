@@ -13,11 +13,14 @@ from tessera.functions.expr import alternation
 # Parameters that track visits, and addresses that aren't fetched.
 TRACKING = r"(?i)^(?:utm_\w+|fbclid|gclid|mc_cid|mc_eid|_ga)$"
 NO_FETCH = (
-    r"/wp-(?:admin|json|login|content|includes)",
+    r"/wp-(admin|json|login|content|includes)",
     r"/feed/?$",
-    r"[?&](?:s|p|replytocom)=",
-    r"/(?:account|profile|register|registration|password-reset|lost-password)/?$",
-    r"\.(?:pdf|jpe?g|png|gif|webp|svg|zip|docx?|xlsx?|mp4)$",
+    r"[?&](s|p|replytocom)=",
+    r"/(account|profile|register|registration|password-reset|lost-password|sem-acesso)/?$",
+    r"/agentes-e-profissionais/(entrar|registo)/?$",
+    r"/(estrela|preco|tipos-de-alojamento|tipo-de-restaurante|ova_framework_hf_el)/",
+    r"/(alojamentos|restaurantes)/[^/]+/?$",
+    r"\.(pdf|jpe?g|png|gif|webp|svg|zip|docx?|xlsx?|mp4)$",
 )
 LANGUAGE_TOKEN = r"(?i)[_.-](esp?|fr|uk|en|de|it|pt)(?=[_.-])"
 
@@ -30,16 +33,27 @@ def path(url: Column) -> Column:
     return F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
+def _decoded(text: Column) -> Column:
+    """Form decoding; a % that begins no code stands for itself."""
+    return F.url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def _encoded(text: Column) -> Column:
+    """Form encoding in which letters, digits and _ . - ~ stand for themselves."""
+    return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def canonical(url: Column) -> Column:
     """Https, lower-case host without www., a closing slash unless the path has an extension, no fragment, no
-    tracking parameters and no parameters without a value."""
+    tracking parameters and no parameters without a value; the others are decoded and encoded anew."""
     url = F.trim(url)
     way = path(url)
     way = F.when(way == "", F.lit("/")).otherwise(way)
     way = F.when(way.rlike(r"(?i)\.[a-z0-9]{2,4}$") | way.endswith("/"), way).otherwise(F.concat(way, F.lit("/")))
-    pairs = F.split(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), "&")
-    kept = F.filter(pairs, lambda p: p.rlike(r"^[^=]*=.+$") & ~F.regexp_extract(p, r"^([^=]*)=", 1).rlike(TRACKING))
-    query = F.array_join(kept, "&")
+    pairs = F.filter(F.split(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: p.rlike(r"^[^=]*=.+$"))
+    read = F.transform(pairs, lambda p: F.struct(_decoded(F.regexp_extract(p, r"^([^=]*)=", 1)).alias("k"), _decoded(F.regexp_extract(p, r"^[^=]*=(.+)$", 1)).alias("v")))
+    kept = F.filter(read, lambda p: ~p["k"].rlike(TRACKING))
+    query = F.array_join(F.transform(kept, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
     return F.concat(F.lit("https://"), host(url), way, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -86,57 +86,95 @@ class Guide:
 
 @dataclass
 class Memory:
+    """The place last talked about, its category, and what a yes would mean (a key of PENDING)."""
+
     place: str | None = None
     category: str | None = None
     pending: str | None = None
-    answered: list[str] = field(default_factory=list)
 
 
-def turn(guide: Guide, memory: Memory, text: str) -> str | None:
-    """One reply; memory is the place last talked about, its category, and what a yes would mean.
+Outcome = tuple[str | None, Memory]
 
-    A yes or no is read only if something is pending, and anything else withdraws it. Asking for another place gives
-    those of the category. A bare category forgets the place. A vague reference means the place. One place named, in
-    the text or else in the reply, is remembered; several in the reply forget it.
-    """
-    said = text.strip()
-    pending, memory.pending = memory.pending, None
-    if pending and re.fullmatch(guide.yes, said, re.IGNORECASE):
-        if memory.place:
-            return guide.answer(f"{pending} {memory.place}")
-        return guide.fallback
-    if pending and re.fullmatch(guide.no, said, re.IGNORECASE):
-        return guide.fallback
-    asked = guide.sort_of(said)
-    if re.search(guide.other, said, re.IGNORECASE) and (asked or memory.category):
-        memory.category = asked or memory.category
-        rest = list(dict.fromkeys(n for _, n, c in guide.entities if c == memory.category and n != memory.place))
-        if not rest:
-            return guide.fallback
-        if len(rest) == 1:
-            memory.place, memory.pending = rest[0], "about"
-            return f"{rest[0]}. {guide.offer} {rest[0]}?"
-        return f"{', '.join(rest[:-1])} / {rest[-1]}"
-    if any(re.fullmatch(rf"\s*(?:{p})\s*", said, re.IGNORECASE) for p, _ in guide.categories):
-        memory.place, memory.category = None, asked
-    if memory.place and re.search(guide.vague, said, re.IGNORECASE):
-        said = f"{'where' if re.search(guide.where, said, re.IGNORECASE) else 'about'} {memory.place}"
-    named = guide.find(said)
-    reply = guide.answer(said)
-    if len(named) == 1:
-        memory.place, memory.category = named[0]
-    else:
-        shown = guide.find(reply or "")
-        if len(shown) == 1:
-            memory.place, memory.category = shown[0]
-        elif shown:
-            memory.place = None
-    offered = re.split(re.escape(guide.offer), reply or "", maxsplit=1, flags=re.IGNORECASE)
-    if len(offered) == 2:
-        asked_for = guide.find(offered[1])
-        if len(asked_for) == 1:
-            memory.place, memory.category = asked_for[0]
-            memory.pending = "about"
+
+def _whole(pattern: str, text: str) -> bool:
+    return re.fullmatch(rf"\s*(?:{pattern})\s*", text, re.IGNORECASE) is not None
+
+
+def _within(pattern: str, text: str) -> bool:
+    return re.search(pattern, text, re.IGNORECASE) is not None
+
+
+def _another(guide: Guide, memory: Memory) -> Outcome:
+    """The other places of the category: one is offered and remembered, several are listed."""
+    match list(dict.fromkeys(n for _, n, c in guide.entities if c == memory.category and n != memory.place)):
+        case []:
+            return guide.fallback, memory
+        case [only]:
+            return f"{only}. {guide.offer} {only}?", replace(memory, place=only, pending="about")
+        case [*most, last]:
+            return f"{', '.join(most)} / {last}", memory
+
+
+def _put(guide: Guide, memory: Memory, action: str) -> Outcome:
+    return (guide.answer(f"{action} {memory.place}") if memory.place else guide.fallback), memory
+
+
+# What a yes does, by what is pending.
+PENDING: dict[str, Callable[[Guide, Memory], Outcome]] = {
+    "about": lambda guide, memory: _put(guide, memory, "about"),
+    "where": lambda guide, memory: _put(guide, memory, "where"),
+    "another": lambda guide, memory: _another(guide, memory) if memory.category else (guide.fallback, memory),
+}
+
+
+def _ask(guide: Guide, memory: Memory, question: str) -> Outcome:
+    """The rules' answer, and the memory after it: one place in the question, or else in the answer, is remembered; several in
+    the answer forget the place; an offer about one place makes a yes mean it."""
+    reply = guide.answer(question)
+    named, shown = guide.find(question), guide.find(reply or "")
+    topic = named if len(named) == 1 else shown
+    if len(topic) == 1:
+        memory = replace(memory, place=topic[0][0], category=topic[0][1])
+    elif topic:
+        memory = replace(memory, place=None)
+    _, *offered = re.split(re.escape(guide.offer), reply or "", maxsplit=1, flags=re.IGNORECASE)
+    match [guide.find(x) for x in offered]:
+        case [[(place, category)]]:
+            memory = replace(memory, place=place, category=category, pending="about")
+    return reply, memory
+
+
+# What a message can be, the first that holds: (test, what follows). Nothing is pending any more when it follows, but the
+# test sees what was.
+Test, Move = Callable[[Guide, Memory, str], bool], Callable[[Guide, Memory, str, str | None], Outcome]
+INTENTS: dict[str, tuple[Test, Move]] = {
+    "confirm": (lambda guide, memory, said: bool(memory.pending) and _whole(guide.yes, said), lambda guide, memory, said, pending: PENDING.get(pending or "", lambda g, m: (g.fallback, m))(guide, memory)),
+    "decline": (lambda guide, memory, said: bool(memory.pending) and _whole(guide.no, said), lambda guide, memory, said, pending: (guide.fallback, memory)),
+    "another": (
+        lambda guide, memory, said: _within(guide.other, said) and bool(guide.sort_of(said) or memory.category),
+        lambda guide, memory, said, pending: _another(guide, replace(memory, category=guide.sort_of(said) or memory.category)),
+    ),
+    "category": (
+        lambda guide, memory, said: any(_whole(p, said) for p, _ in guide.categories),
+        lambda guide, memory, said, pending: _ask(guide, replace(memory, place=None, category=guide.sort_of(said)), said),
+    ),
+    "reference": (
+        lambda guide, memory, said: bool(memory.place) and _within(guide.vague, said),
+        lambda guide, memory, said, pending: _ask(guide, memory, f"{'where' if _within(guide.where, said) else 'about'} {memory.place}"),
+    ),
+    "plain": (lambda guide, memory, said: True, lambda guide, memory, said, pending: _ask(guide, memory, said)),
+}
+
+
+def intent(guide: Guide, memory: Memory, text: str) -> str:
+    return next(name for name, (test, _) in INTENTS.items() if test(guide, memory, text.strip()))
+
+
+def turn(guide: Guide, memory: Memory, text: str) -> str | None:
+    """One reply; memory is brought up to date."""
+    move = INTENTS[intent(guide, memory, text)][1]
+    reply, after = move(guide, replace(memory, pending=None), text.strip(), memory.pending)
+    memory.place, memory.category, memory.pending = after.place, after.category, after.pending
     return reply
 
 

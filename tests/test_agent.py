@@ -70,6 +70,29 @@ def test_guide():
         assert (memory.place, memory.pending) == (place, pending), said
 
 
+def test_what_a_yes_means():
+    """Each pending action, with and without what it is about, and what withdraws it."""
+    yes = "sim"
+    (name, category) = GUIDE.entities[0][1:]
+    for pending, memory, want in [
+        ("about", dialogue.Memory(name, category, "about"), GUIDE.answer(f"about {name}")),
+        ("where", dialogue.Memory(name, category, "where"), GUIDE.answer(f"where {name}")),
+        ("about", dialogue.Memory(None, category, "about"), GUIDE.fallback),
+        ("another", dialogue.Memory(name, None, "another"), GUIDE.fallback),
+        ("unheard of", dialogue.Memory(name, category, "unheard of"), GUIDE.fallback),
+    ]:
+        assert dialogue.intent(GUIDE, memory, yes) == "confirm"
+        assert dialogue.turn(GUIDE, memory, yes) == want and memory.pending is None, pending
+    others = list(dict.fromkeys(n for _, n, c in GUIDE.entities if c == category and n != name))
+    memory = dialogue.Memory(name, category, "another")
+    reply = dialogue.turn(GUIDE, memory, yes)
+    assert all(n in reply for n in others) if others else reply == GUIDE.fallback
+    assert (memory.place, memory.pending) == ((others[0], "about") if len(others) == 1 else (name, None))
+    memory = dialogue.Memory(name, category, "where")
+    assert dialogue.turn(GUIDE, memory, "não") == GUIDE.fallback and memory == dialogue.Memory(name, category)
+    assert dialogue.intent(GUIDE, dialogue.Memory(), yes) == "plain"
+
+
 def test_guide_in_batch_and_as_a_stream(spark, tmp_path):
     from tessera.streaming.conversations import converse_stream, event_rates, sessions
 

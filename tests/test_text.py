@@ -102,3 +102,27 @@ def test_days_and_forecasts(spark):
 
 def test_country_codes(spark):
     assert run(spark, lambda c: P.country_code(c)["value"], "PT", None, "p1") == ["pt", None, None]
+
+
+def test_canonical_queries_against_python(spark):
+    from urllib.parse import parse_qsl, urlencode
+
+    tracked = re.compile(r"^(utm_\w+|fbclid|gclid|mc_cid|mc_eid|_ga)$", re.IGNORECASE)
+    queries = ["a=1&b=", "q=a+b%20c", "utm_source=x&UTM_Medium=y&k=%C3%A9", "x=a%2Fb~c*d_e-f.g", "p=100%&r=%zz", "n", "=v", "a=b=c", "t=%E2%82%AC%26", "é=ü ", "%75tm_id=1&gclid=2&fbclidx=3", "a=1&a=2", "u=%2B+%25"]
+    df = spark.createDataFrame([(i, f"HTTP://WWW.Example.ORG/p?{q}#f") for i, q in enumerate(queries)], "i int, u string")
+    got = {r["i"]: r["c"] for r in df.select("i", web.canonical(F.col("u")).alias("c")).collect()}
+    for i, q in enumerate(queries):
+        query = urlencode([(k, v) for k, v in parse_qsl(q) if not tracked.match(k)])
+        assert got[i] == "https://example.org/p/" + (f"?{query}" if query else ""), q
+
+
+def test_each_address_that_is_not_fetched(spark):
+    no = [
+        "wp-admin", "wp-json/x", "wp-login.php", "wp-content/a", "wp-includes/b", "x/feed", "x/feed/", "?s=1", "a?x=1&p=2", "?replytocom=3",
+        *[f"{w}{end}" for w in ("account", "profile", "register", "registration", "password-reset", "lost-password", "sem-acesso") for end in ("", "/")],
+        "agentes-e-profissionais/entrar", "agentes-e-profissionais/registo/", "estrela/5", "preco/a", "tipos-de-alojamento/b", "tipo-de-restaurante/c", "ova_framework_hf_el/d",
+        "alojamentos/casa", "restaurantes/tasca/", *[f"f.{e}" for e in ("pdf", "jpg", "jpeg", "png", "gif", "webp", "svg", "zip", "doc", "docx", "xls", "xlsx", "mp4")],
+    ]
+    yes = ["", "feeds/x", "x?sp=1", "accounts", "account/x", "agentes-e-profissionais/", "estrela", "alojamentos/", "alojamentos/a/b", "f.pdfx", "wp-x"]
+    df = spark.createDataFrame([(f"https://e.org/{x}", x in no) for x in [*no, *yes]], "u string, want boolean")
+    assert [r["u"] for r in df.where(web.is_no_fetch(F.col("u")) != F.col("want")).collect()] == []
