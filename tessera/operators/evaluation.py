@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -185,8 +186,9 @@ def agency_notes(success: Column, gold: Column, predicted: Column) -> Column:
 
 
 def errors_by_stage(rows: DataFrame, key: str, stage: str) -> DataFrame:
-    """(stage, n, ids) of the rows with an error, ids in order."""
-    return rows.where(F.col(stage).isNotNull()).groupBy(stage).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(key)).alias("ids"))
+    """(stage, key, n) of the rows with an error; n counts those of the stage. Ids are rows, as a stage may have any number."""
+    failed = rows.where(F.col(stage).isNotNull()).select(stage, key)
+    return failed.join(failed.groupBy(stage).agg(F.count(F.lit(1)).alias("n")), stage)
 
 
 def score_summary(rows: DataFrame, score: str, top: int = 2) -> list[Column]:
@@ -258,7 +260,16 @@ def hash_problems(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return both.select("name", check.alias("problem")).where(F.col("problem").isNotNull())
 
 
+def content_digest(content: Column) -> Column:
+    """SHA-256 of a text or of bytes, as lower-case digits."""
+    return F.sha2(content.cast("binary"), 256)
+
+
 def tree_digest(files: DataFrame, path: str, content: str) -> DataFrame:
-    """One digest over all files: SHA-256 of the lines "digest  path" in path order."""
-    lines = files.select(F.concat(F.sha2(F.col(content).cast("binary"), 256), F.lit("  "), F.col(path)).alias("line"), F.col(path).alias("p"))
-    return lines.agg(F.sha2(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "line"))), lambda x: x["line"]), "\n"), F.lit("\n")), 256).alias("digest"))
+    """One digest over all files: SHA-256 of the lines "digest  path" in path order. The digest runs over one stream, so
+    the lines (not the contents) pass through the driver, partition by partition."""
+    lines = files.select(F.col(path).alias("p"), F.concat(content_digest(F.col(content)), F.lit("  "), F.col(path), F.lit("\n")).alias("line")).orderBy("p").select("line")
+    digest = hashlib.sha256()
+    for row in lines.toLocalIterator():
+        digest.update(row["line"].encode())
+    return files.sparkSession.createDataFrame([(digest.hexdigest(),)], "digest string")

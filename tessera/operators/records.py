@@ -81,6 +81,13 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], depth: int
     return seen
 
 
+def first_of_each(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The first row of each key in order, with all its columns. Rows are compared in a partially aggregated minimum, so that
+    a key of any size is no one task's."""
+    at = F.min_by(F.struct(*rows.columns), F.struct(*order))
+    return rows.groupBy(*key).agg(at.alias("_first")).select(*[F.col("_first")[c].alias(c) for c in rows.columns])
+
+
 def group_counts(df: DataFrame, column: str) -> DataFrame:
     """A1: (value, n) by the value as text, null as "None"."""
     return df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("None")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
