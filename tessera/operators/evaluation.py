@@ -151,6 +151,26 @@ def capability_match(rows: DataFrame, gold: str = "gold", predicted: str = "pred
     return out.withColumn("value", F.try_divide(F.col("correct"), F.col("total")))
 
 
+def planner_check(rows: DataFrame, expected: str = "expected", predicted: str = "predicted", category: str = "category") -> DataFrame:
+    """(category, matches, total) of a development set's labels; a failed plan (null) matches nothing. The row of null
+    category is the whole."""
+    hit = F.coalesce(F.col(expected) == F.col(predicted), F.lit(False))
+    return rows.rollup(category).agg(F.count_if(hit).alias("matches"), F.count(F.lit(1)).alias("total"))
+
+
+def capability_label(rag: Column, weather: Column, places: Column) -> Column:
+    """The capabilities that are used, as one label."""
+    return F.coalesce(F.nullif(F.concat_ws("+", F.when(rag, "rag"), F.when(weather, "weather"), F.when(places, "places")), F.lit("")), F.lit("none"))
+
+
+def joined_alike(left: DataFrame, right: DataFrame, key: str, same: str) -> DataFrame:
+    """Left with right's other columns by key. Fails if a key of left has no row on the right, or if same differs."""
+    other = right.select(F.col(key).alias("_key"), F.col(same).alias("_same"), *[c for c in right.columns if c not in (key, same)])
+    both = left.join(other, F.col(key) == F.col("_key"), "left")
+    checked = F.when(F.col("_key").isNull(), F.raise_error(F.concat(F.lit("no row for "), F.col(key).cast("string")))).when(~F.col(same).eqNullSafe(F.col("_same")), F.raise_error(F.concat(F.lit(f"{same} differs for "), F.col(key).cast("string")))).otherwise(F.col(same))
+    return both.withColumn(same, checked).drop("_key", "_same")
+
+
 def tool_accuracy(rows: DataFrame, needs: Sequence[tuple[str, str, str]]) -> DataFrame:
     """(server, correct, total, value) over the questions that need a server; the row of null server is the whole.
 

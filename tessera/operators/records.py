@@ -106,6 +106,23 @@ def corpus_statistics(chunks: DataFrame, size: int = 1000) -> DataFrame:
     )
 
 
+def corpus_counts(chunks: DataFrame) -> DataFrame:
+    """A3: (field, value, n) by document, category, unit role and source type, null as "None"; for documents also the pages of
+    labels, and notes on conflicts, where the table has them."""
+    fields = [f for f in ("document_id", "primary_category", "unit_role", "source_type") if f in chunks.columns]
+    each = [F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("string"), F.lit("None")).alias("value"), F.lit(True).alias("counts")) for f in fields]
+    if "conflict_notes" in chunks.columns:
+        each.append(F.struct(F.lit("conflict_notes").alias("field"), F.lit("with").alias("value"), (F.coalesce("conflict_notes", F.lit("")) != "").alias("counts")))
+    flat = chunks.select(F.explode(F.array(*each)).alias("x")).select("x.*").where("counts")
+    return flat.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def small_and_large(chunks: DataFrame, least: int = 100, most: int = 1000) -> DataFrame:
+    """A3: (chunk_id, body_chars, kind) of chunks whose body is under or over a size."""
+    kind = F.when(F.col("body_chars") < least, "small").when(F.col("body_chars") > most, "large")
+    return chunks.select("chunk_id", "body_chars", kind.alias("kind")).where(F.col("kind").isNotNull())
+
+
 def summary_counts(pages: DataFrame) -> DataFrame:
     """(field, value, n) of status, page type, category and language in one pass."""
     fields = [f for f in ("status", "page_type", "category", "html_lang") if f in pages.columns]
@@ -123,6 +140,39 @@ def merged_headings(lines: DataFrame, key: str, position: str, line: str) -> Dat
     return islands.groupBy(key, "_i").agg(F.min(position).alias(position), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), "line"))), lambda x: x["line"]), " ").alias("line")).drop("_i")
 
 
+# The line that runs along the edge of every page, and a place's position.
+RUNNING_HEADER = r"(?i)^(?:\d+\s+)?Coimbra,\s*Património Mundial(?:\s+\d+)?$"
+COORDINATES = r"(?i)^coordenadas\s*:\s*([+-]?\d+(?:\.\d+)?\s*,\s*[+-]?\d+(?:\.\d+)?)$"
+LIST_ITEM = r"^(?:[-•]|\d+[.)])\s+"
+
+
+def page_body(lines: DataFrame, key: str, position: str, line: str, section_headings: Sequence[str] = (), running_header: str = RUNNING_HEADER) -> DataFrame:
+    """(key, body, headings) of a page's lines: numbered headings, positions, headings and list items are blocks of their own,
+    runs of other lines are paragraphs without their line breaks, blank lines and the running header part them."""
+    merged = merged_headings(lines, key, position, line)
+    x = F.col(line)
+    number = X.numbered_heading(x)
+    known = x.isin(*section_headings) if section_headings else F.lit(False)
+    kind = (
+        F.when(x == "", "blank").when(x.rlike(running_header), "blank").when(number.isNotNull(), "route").when(x.rlike(COORDINATES), "coordinates")
+        .when(known, "section").when(X.is_heading(x), "heading").when(x.rlike(LIST_ITEM), "item").otherwise("text")
+    )
+    order = Window.partitionBy(key).orderBy(position)
+    rows = merged.withColumn("_kind", kind)
+    starts = (F.col("_kind") != "text") | (F.coalesce(F.lag("_kind").over(order), F.lit("")) != "text")
+    islands = rows.withColumn("_island", F.count(F.when(starts, 1)).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_kind") != "blank")
+    held = islands.groupBy(key, "_island").agg(F.any_value("_kind").alias("_kind"), F.transform(F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), x.alias("x")))), lambda e: e["x"]).alias("l"))
+    one = F.get("l", F.lit(0))
+    numbered = X.numbered_heading(one)
+    text = (
+        F.when(F.col("_kind") == "route", F.concat(F.lit("## "), numbered["number"].cast("string"), F.lit(". "), numbered["title"])).when(F.col("_kind") == "coordinates", F.concat(F.lit("**Coordenadas:** "), F.regexp_extract(one, COORDINATES, 1)))
+        .when(F.col("_kind") == "section", F.concat(F.lit("## "), one)).when(F.col("_kind") == "heading", F.concat(F.lit("### "), one)).when(F.col("_kind") == "item", one).otherwise(X.join_wrapped(F.col("l")))
+    )
+    told = held.select(key, "_island", text.alias("text"), F.col("_kind").isin("route", "section", "heading").alias("head"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_island", "text"))), lambda e: e["text"]), "\n\n")
+    return told.groupBy(key).agg(body.alias("body"), F.count_if("head").alias("headings"))
+
+
 def column_of(x0: Column, width: Column) -> Column:
     """The column (0 to 2) of a block on a three-column route page."""
     return F.least(F.lit(2), F.greatest(F.lit(0), ((x0 - width * 0.25) / (width * 0.24)).cast("int")))

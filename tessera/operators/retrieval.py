@@ -1,13 +1,12 @@
 """Vector top-k and what is built from its results: context, notes, messages, sources.
 
-Queries are sent to all vectors in blocks of at most BROADCAST_QUERIES, as many as there are. Each task keeps the best k of each query
-(partial top-k by a window group limit) before anything is exchanged.
+Queries of equal width are broadcast in blocks of at most BROADCAST_QUERIES, as many as there are, and each task multiplies
+its vectors with a block in numpy. It keeps the best k of each query before anything is exchanged.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -36,16 +35,24 @@ def normalize(vectors: DataFrame, vector: str) -> DataFrame:
 
 
 def top_k(queries: DataFrame, query_id: str, query_vector: str, vectors: DataFrame, key: str, vector: str, k: int = 3) -> DataFrame:
-    """(query_id, rank, key, cosine_distance), best first; ties go to the lesser key. Vectors of other length,
-    zero vectors and nulls are never found."""
+    """(query_id, rank, key, cosine_distance), best first; ties go to the lesser key. A query finds vectors of its own
+    width; zero vectors and nulls neither ask nor are found."""
     rows = ((r["q"], r["v"]) for r in queries.select(F.col(query_id).alias("q"), F.col(query_vector).alias("v")).toLocalIterator())
     real = ((q, v) for q, v in rows if v and any(v))
     schema = vectors.select(F.lit(0).cast(queries.schema[query_id].dataType).alias("query_id"), F.col(key).alias("key"), F.lit(0.0).alias("cosine_distance")).schema
-    found, width = None, None
-    while few := list(islice(real, BROADCAST_QUERIES)):
-        width = width or len(few[0][1])
-        some = _search(few, width, vectors, key, vector, k, schema)
-        found = some if found is None else found.unionByName(some)
+    found, waiting = None, {}
+
+    def searched(few: list) -> DataFrame:
+        some = _search(few, len(few[0][1]), vectors, key, vector, k, schema)
+        return some if found is None else found.unionByName(some)
+
+    for q, v in real:
+        few = waiting.setdefault(len(v), [])
+        few.append((q, v))
+        if len(few) == BROADCAST_QUERIES:
+            found = searched(waiting.pop(len(v)))
+    for few in waiting.values():
+        found = searched(few)
     if found is None:
         return vectors.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0)).select("query_id", "rank", "key", "cosine_distance")
     order = Window.partitionBy("query_id").orderBy(F.round("cosine_distance", 9), "key")
@@ -54,13 +61,14 @@ def top_k(queries: DataFrame, query_id: str, query_vector: str, vectors: DataFra
 
 def _search(few: list, width: int, vectors: DataFrame, key: str, vector: str, k: int, schema) -> DataFrame:
     """(query_id, key, cosine_distance): the k nearest of each task to each of few queries of that width."""
-    ids = [q for q, v in few if len(v) == width]
-    unit = np.array([v for _, v in few if len(v) == width], np.float64).reshape(-1, width)
+    unit = np.array([v for _, v in few], np.float64)
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    shared = vectors.sparkSession.sparkContext.broadcast(([q for q, _ in few], unit))  # at most BROADCAST_QUERIES vectors
 
     def best(frames):
         """The k nearest rows of this task to each query."""
         held: list[pd.DataFrame] = []
+        ids, unit = shared.value
         for pdf in frames:
             pdf = pdf[[v is not None and len(v) == width for v in pdf["v"]]]
             if not len(pdf):
@@ -88,16 +96,6 @@ def _cut(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     return rows.groupby("query_id", sort=False).head(k).drop(columns="_d")
 
 
-def top_k_blocks(queries: DataFrame, query_id: str, query_vector: str, vectors: DataFrame, key: str, vector: str, k: int = 3, blocks: int = 16) -> DataFrame:
-    """top_k for query tables of any size: one search for each hash block of queries."""
-    out = None
-    for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
-        found = top_k(part, query_id, query_vector, vectors, key, vector, k)
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
 def embed(df: DataFrame, text: str, vector: str, model: Callable[[list[str]], list[list[float]]], prompt: str = "") -> DataFrame:
     """Unit vectors from an injected model; line breaks become blanks, prompt is put before queries."""
 
@@ -163,6 +161,25 @@ def messages(question: Column, context: Column, note: Column) -> Column:
     return F.concat(F.lit("CONTEXTO:\n\n"), context, F.lit("\n\n"), middle, F.lit("PERGUNTA:\n\n"), question, F.lit("\n\nResponde apenas com base no contexto acima."))
 
 
+def plain_messages(question: Column, context: Column) -> Column:
+    """R5, older form: one message of context and question, without notes on conflicts."""
+    return F.concat(F.lit("CONTEXTO:\n\n"), context, F.lit("\n\nPERGUNTA:\n\n"), question)
+
+
+def bare_message(question: Column) -> Column:
+    """R5, without retrieval: the question alone."""
+    return F.concat(F.lit("PERGUNTA:\n\n"), question)
+
+
+def available(model: Callable[[str], str], probe: str = "ping") -> str | None:
+    """What is wrong with an injected model, or null: it has to answer a probe with a text that isn't blank."""
+    try:
+        said = model(probe)
+    except Exception as e:  # noqa: BLE001 any failure means that it can't be used
+        return str(e) or type(e).__name__
+    return None if isinstance(said, str) and said.strip() else "empty answer"
+
+
 def generate(df: DataFrame, prompt: str, answer: str, model: Callable[[str], str]) -> DataFrame:
     """An injected model answers each prompt; a failure gives null and its message in <answer>_error."""
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import fold
+from tessera.sources.store import stored
 
 THRESHOLD = 0.45
 TEST_SHARE = 0.3
@@ -98,6 +99,31 @@ def select_model(a: dict[str, float], b: dict[str, float], test_size: int) -> st
     return "A"
 
 
+EXPERIMENTS = {"A": lambda: counts_bayes(), "B": lambda: tfidf_logistic()}
+
+
+def class_scores(scored: DataFrame, labels: Sequence[str]) -> dict[str, float]:
+    """What select_model compares, from metrics()."""
+    rows = {r["label"]: r for r in scored.collect()}  # one row a label
+    f1 = [rows[str(x)]["f1"] for x in labels]
+    return {"macro_f1": rows["macro"]["f1"], "gap": max(f1) - min(f1), "accuracy": rows["macro"]["accuracy"]}
+
+
+def train_router(rows: DataFrame, text: str, label: str, key: str, labels: Sequence[int] = (0, 1)) -> tuple[str, PipelineModel, DataFrame, DataFrame]:
+    """(name of the selected experiment, its model refitted on the same training rows, metrics of all experiments
+    (experiment, label, ...), the split (label, train, test)). rows are labelled ones, checked by dataset_problems before."""
+    split = stored(stratified_split(rows, label, key))
+    train, test = (prepared(split.where(c), text, F.col(label)) for c in ("NOT is_test", "is_test"))
+    found, told = {}, None
+    for name, made in EXPERIMENTS.items():
+        guess = made().fit(train).transform(test).select(F.col("target").cast("int").alias("t"), F.col("prediction").cast("int").alias("p"))
+        scored = stored(metrics(guess, "t", "p", labels).withColumn("experiment", F.lit(name)))
+        found[name], told = class_scores(scored, labels), scored if told is None else told.unionByName(scored)
+    chosen = select_model(found["A"], found["B"], test.count())
+    sizes = split.groupBy(F.col(label).alias("label")).agg(F.count_if(~F.col("is_test")).alias("train"), F.count_if("is_test").alias("test"))
+    return chosen, EXPERIMENTS[chosen]().fit(train), told, sizes
+
+
 def dataset_problems(rows: DataFrame, text: str, label: str, line: str, labels: Sequence[str], max_share: float = MAX_SHARE) -> DataFrame:
     """(line, problem) in order of lines; line 0 stands for the whole set."""
     t = F.col(text)
@@ -125,7 +151,7 @@ def text_statistics(rows: DataFrame, text: str, terms: Sequence[str] = ()) -> Da
     body = rows.where(F.col(text).isNotNull()).select(words.alias("n"), tokens.alias("w"))
     flat = body.agg(F.count(F.lit(1)).alias("total"), F.min("n").alias("words_min"), F.max("n").alias("words_max"), F.bround(F.avg("n"), 2).alias("words_mean"), F.sum(F.size("w")).alias("tokens"), *[F.count_if(F.array_contains("w", x)).alias(f"mentions_{x}") for x in terms])
     distinct = body.select(F.explode("w").alias("w")).groupBy("w").agg(F.lit(1)).agg(F.count(F.lit(1)).alias("distinct_tokens"))
-    both = flat.withColumn("_one", F.lit(1)).join(distinct.withColumn("_one", F.lit(1)), "_one").drop("_one")  # one row each
+    both = flat.withColumn("distinct_tokens", F.lit(distinct.first()[0]))
     return both.withColumn("type_token_ratio", F.bround(F.try_divide(F.col("distinct_tokens"), F.col("tokens")), 3))
 
 

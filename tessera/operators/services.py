@@ -6,6 +6,10 @@ requests are looked up once; only answers are kept, so that a failure is asked a
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +31,36 @@ def pending(requests: DataFrame, answered: DataFrame, query: str = "query", coun
     return keys.join(done, (F.col("key") == F.col("_k")) & F.col("country").eqNullSafe(F.col("_c")), "left_anti")
 
 
+def looked_up(requests: DataFrame, cache: str, service: Callable[[str, str | None], str], pause: float = 0.0, query: str = "query", country: str = "country_code") -> DataFrame:
+    """(key, country, answer) of all successes so far, after asking an injected service for the keys that none answers yet.
+
+    Successes are appended to the table at cache, so that a failure is asked again next time. Keys are asked in one partition,
+    `pause` seconds apart, as the service allows one request at a time.
+    """
+    spark = requests.sparkSession
+    schema = "key string, country string, answer string"
+
+    def known() -> DataFrame:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
+        there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+        return spark.read.schema(schema).parquet(cache) if there else spark.createDataFrame([], schema)
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for key, place in pdf.itertuples(index=False):
+                try:
+                    out.append((key, place, service(key, place)))
+                except Exception:  # noqa: BLE001 a failure is asked again
+                    continue
+                finally:
+                    time.sleep(pause)
+            yield pd.DataFrame(out, columns=["key", "country", "answer"])
+
+    pending(requests, known(), query, country).coalesce(1).mapInPandas(ask, schema).where("answer IS NOT NULL").write.mode("append").parquet(cache)
+    return known()
+
+
 def search_places(requests: DataFrame, places: DataFrame, key: str, query: str = "query", country: str = "country_code", most: int = MAX_RESULTS) -> DataFrame:
     """(key, rank, name, latitude, longitude, candidates) of the places of the asked name, in the asked country if
     any, by importance, then display name."""

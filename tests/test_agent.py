@@ -10,7 +10,7 @@ def test_top_k(spark):
     got = retrieval.top_k(df.where("id in (0, 3)"), "id", "v", df, "id", "v", 3).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["rank"], r["key"]) for r in got] == [(0, 1, 0), (0, 2, 1), (0, 3, 2)]
     assert retrieval.top_k(df.where("id < 0"), "id", "v", df, "id", "v").count() == 0
-    both = retrieval.top_k_blocks(df.where("id in (0, 2)"), "id", "v", df, "id", "v", 1, 3).collect()
+    both = retrieval.top_k(df.where("id in (0, 2)"), "id", "v", df, "id", "v", 1).collect()
     assert sorted((r["query_id"], r["key"]) for r in both) == [(0, 0), (2, 2)]
 
 
