@@ -17,6 +17,7 @@ those of its words raises ValueError.
 
 from __future__ import annotations
 
+import os
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,8 +31,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import fresh, has_columns, release_memory, slices, widened, worker_cache
 
-GROUP_TOKENS = 4_000_000
-CACHE_WORDS = 600_000
+GROUP_TOKENS = 2_000_000
+CACHE_WORDS = 300_000
+SLICE_BYTES = 4_000_000
 
 
 PROBES = ("", "Two words", "A  b\n\nc\td ", " lead, trail. ", "It's YOU'RE e.g. x_y 12,345.60!", "Ünï ÉCOLE ß (q)", "a-b/c: #d; 'e' \"f\"?!")
@@ -56,6 +58,7 @@ class WordTokenizer:
     SEPARATOR = "|"
 
     def __init__(self, path: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would only hold memory of their own
         from tokenizers import Tokenizer
 
         self.tok, self.end = Tokenizer.from_file(path), end_id
@@ -338,7 +341,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
         size = 0
         for batch in batches:
             kind = batch.schema.types[0]
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SLICE_BYTES):
                 flat, sizes = encode(part.column(1))
                 cuts = np.cumsum(sizes)
                 held += [(d, flat[c - n : c]) for d, n, c in zip(part.column(0).to_pylist(), sizes.tolist(), cuts.tolist(), strict=True)]
