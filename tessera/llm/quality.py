@@ -67,14 +67,19 @@ class Rule:
     reject: Column  # never null
 
 
-def default_rules(text: Column) -> list[Rule]:
-    """Reject conditions of the method, all ratios of whole numbers."""
+def default_rules(text: Column, counted: dict[str, Column] | None = None) -> list[Rule]:
+    """Reject conditions of the method, all ratios of whole numbers. counted: columns that hold n_words, word_chars, n_symbols
+    and n_dup_lines already, which are then not counted again."""
+    have = counted or {}
+    words = lambda use: use(have["n_words"]) if have else let(word_count(text), use)
+    chars, symbols = have.get("word_chars", word_chars(text)), have.get("n_symbols", symbol_count(text))
+    lines = (lambda use: let(line_array(text), lambda s: use(F.size(s), have["n_dup_lines"]))) if have else (lambda use: let(line_array(text), lambda s: use(F.size(s), F.size(s) - F.size(F.array_distinct(s)))))
     return [
-        Rule("symbols", let(word_count(text), lambda n: symbol_count(text) * 10 > n)),
-        Rule("word_length", let(word_count(text), lambda n: let(word_chars(text), lambda c: (c < n * 2) | (c > n * 12)))),
+        Rule("symbols", words(lambda n: symbols * 10 > n)),
+        Rule("word_length", words(lambda n: let(chars, lambda c: (c < n * 2) | (c > n * 12)))),
         Rule("shouting", let(F.coalesce(F.regexp_count(text, F.lit(r"\p{L}")), F.lit(0)), lambda n: F.coalesce(F.regexp_count(text, F.lit(r"\p{Lu}")), F.lit(0)) * 10 > n * 3)),
-        Rule("letterless_words", let(word_count(text), lambda n: F.coalesce(F.regexp_count(text, F.lit(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}]*+\p{L}")), F.lit(0)) * 10 < n * 7)),
-        Rule("duplicate_lines", let(line_array(text), lambda s: (F.size(s) - F.size(F.array_distinct(s))) * 2 > F.size(s))),
+        Rule("letterless_words", words(lambda n: F.coalesce(F.regexp_count(text, F.lit(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}]*+\p{L}")), F.lit(0)) * 10 < n * 7)),
+        Rule("duplicate_lines", lines(lambda n, dup: dup * 2 > n)),
     ]
 
 
@@ -129,12 +134,13 @@ def quality_report(docs: DataFrame, text: str = "text", sample_rows: int = SAMPL
     has_columns(docs, text)
     docs = widened(docs)
     t = F.col(text)
-    cascade = first_reject(ordered(docs, default_rules(t), text, sample_rows))
+    order = [r.name for r in ordered(docs, default_rules(t), text, sample_rows)]
     out = docs
     counts = {"n_words": word_count(t), "word_chars": word_chars(t), "n_symbols": symbol_count(t), "n_dup_lines": duplicate_lines(t), "n_repeat_words": repeated_words(t)}
     names = {c: fresh(docs, f"_{c}") for c in counts}
     out = out.select("*", *[e.alias(names[c]) for c, e in counts.items()])
     failed = (F.col(names["n_words"]) < 50) | (F.col(names["n_repeat_words"]) * 100 > F.col(names["n_words"]) * 50)
-    kept = F.when(failed, F.lit(False)).otherwise(cascade.isNull())
+    rules = {r.name: r for r in default_rules(t, {c: F.col(n) for c, n in names.items()})}
+    kept = F.when(failed, F.lit(False)).otherwise(first_reject([rules[name] for name in order]).isNull())
     rest = [c for c in docs.columns if c.lower() not in {*counts, "base_failed", "kept"}]
     return out.select(*rest, *[F.col(n).alias(c) for c, n in names.items()], failed.alias("base_failed"), kept.alias("kept"))

@@ -42,3 +42,32 @@ def test_repeated_windows(spark):
 def test_empty(empty):
     assert quality.quality_report(empty).count() == 0
     assert quality.quality_filter(empty).count() == 0
+
+
+def test_order_is_by_rejection_per_cost(spark, monkeypatch):
+    """With a clock that gives each rule its cost: two rules of equal rejection by cost, then by rejection, names on ties."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(f"t{i}",) for i in range(40)], "text string")
+    n = F.substring("text", 2, 9).cast("int")
+    rules = [quality.Rule("dear_half", n < 20), quality.Rule("cheap_half", n < 20), quality.Rule("cheap_none", n < 0), quality.Rule("cheap_all", n < 99), quality.Rule("again_all", n < 99)]
+    costs = {"dear_half": 3.0, "cheap_half": 1.0, "cheap_none": 1.0, "cheap_all": 1.0, "again_all": 1.0}
+    # two runs of the bare scan, then two of each rule
+    steps, now = [0.5, 0.5] + [0.5 + costs[r.name] for r in rules for _ in range(2)], [0.0]
+    ticks = iter([x for s in steps for x in (0.0, s)])
+
+    def clock():
+        now[0] += next(ticks)
+        return now[0]
+
+    monkeypatch.setattr(quality.time, "perf_counter", clock)
+    assert [r.name for r in quality.ordered(df, rules)] == ["again_all", "cheap_all", "cheap_half", "dear_half", "cheap_none"]
+
+
+def test_counted_rules_are_the_same(docs):
+    from pyspark.sql import functions as F
+
+    t = F.col("text")
+    counts = {"n_words": quality.word_count(t), "word_chars": quality.word_chars(t), "n_symbols": quality.symbol_count(t), "n_dup_lines": quality.duplicate_lines(t)}
+    plain, counted = quality.default_rules(t), quality.default_rules(t, counts)
+    assert docs.where(F.exists(F.array(*[~a.reject.eqNullSafe(b.reject) for a, b in zip(plain, counted, strict=True)]), lambda x: x)).count() == 0
