@@ -38,6 +38,7 @@ PER_LANGUAGE = 400
 TEXT_BYTES = 65_536
 CONTEXTS = 24_000
 CELLS = 1 << 26
+BROADCAST_LANGUAGES = 100_000
 SLICE = 1 << 24
 _PAD = b"\n" * ORDER
 
@@ -81,7 +82,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order_by: str =
     """Count grams of the sample of docs; rows with null text or language are left out."""
     has_columns(docs, text, lang, order_by)
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("binary").alias("text"), F.xxhash64(order_by, F.lit(7)).alias("h")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= text_bytes))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    if sizes.count() <= BROADCAST_LANGUAGES:  # texts then stay where they are; beyond it the languages are joined by hash
+        sizes = F.broadcast(sizes)
     # a threshold on the hash leaves about twice the sample, before anything is ranked
     near = rows.join(sizes, "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) <= 2.0 * per_language / F.col("n") + 50 / F.col("n"))
     first = near.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("at") <= per_language)

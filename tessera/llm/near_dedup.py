@@ -176,7 +176,11 @@ def _confirmed(threshold: float):
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b): nodes that a fingerprint links, as a forest of each fingerprint's links. nodes: (node, prints)."""
+    """(a, b): edges that connect what the fingerprints link. nodes: (node, prints).
+
+    The first fingerprint's links are brought to components before the others' are taken: of those only what joins different
+    components is kept, so that a large group of near copies has about one edge a node, not one for each mask.
+    """
 
     def of_print(at: int) -> DataFrame:
         own = nodes.select("node", F.get("prints", F.lit(at)).alias("fp"))
@@ -187,7 +191,16 @@ def candidates(nodes: DataFrame) -> DataFrame:
             pairs = pairs.join(first.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_node")), side)
         return equal.unionAll(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
 
-    return appended(of_print(at) for at in range(PRINTS)).distinct()
+    found = materialize(components(of_print(0), "a", "b"))
+
+    def joining(at: int) -> DataFrame:
+        pairs = of_print(at)
+        for side in ("a", "b"):
+            pairs = pairs.join(found.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side, "left")
+        ends = pairs.select(*[F.coalesce(f"{side}_root", side).alias(side) for side in ("a", "b")])
+        return ends.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    return appended(joining(at) for at in range(1, PRINTS)).unionAll(found.select(F.col("root").alias("a"), F.col("node").alias("b"))).distinct()
 
 
 def links(rows: DataFrame, docs: DataFrame, shingle: int, threshold: float, group: int = GROUP) -> DataFrame:
