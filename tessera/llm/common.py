@@ -61,6 +61,15 @@ def appended(parts: Iterable[DataFrame]) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(written: DataFrame) -> None:
+    """Delete the files of a table that materialize or appended gave, before the application ends."""
+    spark = written.sparkSession
+    for path in {name.rsplit("/", 1)[0] for name in written.inputFiles()}:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getName().startswith("tessera-"):
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, however often body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import appended, has_columns, materialize, release_memory, widened, worker_cache
+from tessera.llm.common import appended, discard, has_columns, materialize, release_memory, widened, worker_cache
 
 ORDER = 3
 ALPHA = 0.4
@@ -172,20 +172,19 @@ def _counted(order: int, turn: int, passes: int):
 
 
 def count_tables(blocks: DataFrame, order: int, min_count: int = MIN_COUNT, passes: int = PASSES) -> DataFrame:
-    """(k, gram, prefix, suffix, n) of all words and of longer n-grams that occur min_count times or more."""
+    """(k, prefix, suffix, n) of all words (prefix) and of longer n-grams that occur min_count times or more."""
     own = blocks.select("block", "sizes", "vocab", "codes")
 
     def part(turn: int) -> DataFrame:
         rows = own.mapInArrow(_counted(order, turn, passes), "k byte, prefix long, suffix long, n long")
-        sums = rows.groupBy("k", "prefix", "suffix").agg(F.sum("n").alias("n")).where((F.col("k") == 1) | (F.col("n") >= min_count))
-        return sums.select("k", F.when(F.col("k") == 1, F.col("prefix")).otherwise(F.xxhash64("prefix", "suffix")).alias("gram"), "prefix", "suffix", "n")
+        return rows.groupBy("k", "prefix", "suffix").agg(F.sum("n").alias("n")).where((F.col("k") == 1) | (F.col("n") >= min_count))
 
     return appended(part(turn) for turn in range(passes))
 
 
-def weights(counts: DataFrame, order: int, words_all: int, alpha: float = ALPHA) -> DataFrame:
-    """(k, gram, n, w0, w1, ...): what an n-gram adds to a text, in millionths, where it could be lengthened by 0, 1, ...
-    words more within the order and the text, each of which was backed off from."""
+def weights(counts: DataFrame, order: int, words_all: int, alpha: float = ALPHA, passes: int = PASSES) -> DataFrame:
+    """(gram, n, w0, w1, ...): what an n-gram adds to a text, in millionths, where it could be lengthened by 0, 1, ... words
+    more within the order and the text, each of which was backed off from. Longer n-grams are joined in parts, too."""
 
     def backed_off(value: Column, times: int) -> Column:
         for _ in range(times):
@@ -193,21 +192,25 @@ def weights(counts: DataFrame, order: int, words_all: int, alpha: float = ALPHA)
         return value
 
     micro = lambda v: F.rint(v * 1e6).cast("long")
-    out, below = None, None
+    made, below = [], None
     for k in range(1, order + 1):
         own = counts.where(F.col("k") == k)
         if k == 1:
-            own = own.withColumn("value", F.log(F.col("n") / F.lit(float(words_all)))).withColumn("less", F.lit(None).cast("double"))
+            rows = own.select(F.col("prefix").alias("gram"), "n", F.log(F.col("n") / F.lit(float(words_all))).alias("value"), F.lit(None).cast("double").alias("less"))
+            rows = materialize(rows)
         else:
-            halves = lambda key, **cols: below.select(F.col("gram").alias(key), *[F.col(c).alias(a) for a, c in cols.items()])  # noqa: E731, B023
-            own = own.join(halves("prefix", context="n"), "prefix").join(halves("suffix", less="value"), "suffix")
-            own = own.withColumn("value", F.log(F.col("n") / F.col("context")))
-        below = materialize(own.select("k", "gram", "n", "value", "less"))
+            context, shorter = below.select(F.col("gram").alias("prefix"), F.col("n").alias("context")), below.select(F.col("gram").alias("suffix"), F.col("value").alias("less"))
+
+            def part(turn: int, own: DataFrame = own, context: DataFrame = context, shorter: DataFrame = shorter) -> DataFrame:
+                mine = own.select(F.xxhash64("prefix", "suffix").alias("gram"), "prefix", "suffix", "n").where(_column_in_pass("gram", turn, passes))
+                return mine.join(context, "prefix").join(shorter, "suffix").select("gram", "n", F.log(F.col("n") / F.col("context")).alias("value"), "less")
+
+            rows = appended(part(turn) for turn in range(passes))
         levels = [micro(backed_off(F.col("value"), i)) - (micro(backed_off(F.col("less"), i + 1)) if k > 1 else 0) for i in range(order - k + 1)]
         levels += [F.lit(None).cast("long")] * (k - 1)
-        made = below.select("k", "gram", "n", *[c.alias(f"w{i}") for i, c in enumerate(levels)])
-        out = made if out is None else out.unionAll(made)
-    return materialize(out)
+        made.append(rows.select("gram", "n", *[c.cast("int").alias(f"w{i}") for i, c in enumerate(levels)]))
+        below = rows
+    return appended(made)
 
 
 def _levels(at: np.ndarray, sizes: np.ndarray, k: int, order: int) -> np.ndarray:
@@ -285,10 +288,12 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order
         raise ValueError(f"the order must be 1 to {_LEVELS}")
     blocks = materialize(text_blocks(docs, doc_id, text, block))
     words_all = blocks.agg(F.sum("n_words")).first()[0] or 0
-    table = weights(count_tables(blocks, order, min_count, passes), order, words_all, alpha)
+    counts = count_tables(blocks, order, min_count, passes)
+    table = weights(counts, order, words_all, alpha, passes)
+    discard(counts)
     often = F.col("n") * frequent >= F.lit(words_all)
     found = table.where(often).select("gram", *[f"w{i}" for i in range(order)]).toArrow()  # at most `frequent` rows an order
-    answers = np.stack([pc.fill_null(found.column(f"w{i}"), 0).to_numpy() for i in range(order)])
+    answers = np.stack([pc.fill_null(found.column(f"w{i}"), 0).to_numpy().astype(np.int64) for i in range(order)])
     shared = docs.sparkSession.sparkContext.broadcast(Frequent(found.column("gram").to_numpy().view(np.uint64), answers))
     schema = docs.select(F.lit(0).cast("long").alias("doc"), F.col(doc_id).alias("doc_id"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("micro")).schema
     base = materialize(blocks.select("block", "sizes", "vocab", "codes", "ids").mapInArrow(_frequent(order, shared), schema))
@@ -296,7 +301,7 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order
 
     def part(turn: int) -> DataFrame:
         rows = own.mapInArrow(_rare(order, shared, turn, passes), "gram long, doc long")
-        rest = table.where(~often & _column_in_pass("gram", turn, passes)).drop("k", "n")
+        rest = table.where(~often & _column_in_pass("gram", turn, passes)).drop("n")
         level = F.col("doc") % _LEVELS
         weight = F.col("w0")
         for i in range(1, order):
