@@ -63,11 +63,12 @@ def attach_sources(fetched: DataFrame, links: DataFrame, key: str = "url") -> Da
     return fetched.withColumn("_f", F.lit(True)).join(sources, key, "full_outer").withColumn("fetched", F.coalesce("_f", F.lit(False))).withColumn("sources", F.coalesce("sources", F.array().cast("array<string>"))).drop("_f")
 
 
-def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], depth: int = 3, budget: int = 300) -> DataFrame:
+def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], depth: int = 3, budget: int = 300, site_map: DataFrame | None = None) -> DataFrame:
     """Breadth-first (url, depth) up to a depth and a page budget; fetch (injected) gives (url, link) for a frontier.
 
     Each level is an anti-join of the new links with all that was seen; of a level that passes the budget the first
-    addresses in order stay (the budget is the feature).
+    addresses in order stay (the budget is the feature). Addresses of site_map (url) that the links didn't reach follow, with
+    null as depth, as far as the budget goes.
     """
     seen = stored(seeds.select("url").distinct().orderBy("url").limit(budget).withColumn("depth", F.lit(0)))
     front = seen
@@ -78,7 +79,23 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], depth: int
         links = fetch(front.select("url")).select(F.col("link").alias("url")).distinct()
         front = stored(links.join(seen.select("url"), "url", "left_anti").orderBy("url").limit(left).withColumn("depth", F.lit(d)))
         seen = stored(seen.unionByName(front))
-    return seen
+    left = budget - seen.count()
+    if site_map is None or left <= 0:
+        return seen
+    gaps = site_map.select("url").distinct().join(seen.select("url"), "url", "left_anti").orderBy("url").limit(left)
+    return seen.unionByName(gaps.withColumn("depth", F.lit(None).cast("int")))
+
+
+def listing_samples(pages: DataFrame, kinds: Sequence[str], key: str = "url", kind: str = "page_type", each: int = 2) -> DataFrame:
+    """Of the pages of the named listing types the first few of each in order of address; pages of other types all stay."""
+    few = pages.where(F.col(kind).isin(*kinds))
+    # the first of each type by a minimum, then of the rest, so that no type is ranked in one task
+    out = pages.where(~F.coalesce(F.col(kind).isin(*kinds), F.lit(False)))
+    for _ in range(each):
+        first = few.groupBy(kind).agg(F.min(key).alias("_first"))
+        out = out.unionByName(few.join(first, (few[kind] == first[kind]) & (F.col(key) == F.col("_first")), "left_semi"))
+        few = few.join(first.select("_first"), F.col(key) == F.col("_first"), "left_anti")
+    return out
 
 
 def first_of_each(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -799,14 +799,6 @@ PLACES = ((r"\bthe\b", "the", "articles"), (r"\bof\b", "of", "prepositions"), (r
 CATEGORIES = ((r"\bthe\b", "articles"), (r"\b(?:of|in)\b", "prepositions"))
 
 
-@query("conversations")
-def r9_conversation_fold(conversations: DataFrame) -> DataFrame:
-    def answer(text: str) -> str:
-        return f"{text[:20]}. Queres saber mais sobre {'of' if 'of' in text else 'the'}?"
-
-    return dialogue.converse(conversations, dialogue.Guide(PLACES, CATEGORIES, answer))
-
-
 @query("conversations", sql=r"""
 SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN regexp_matches(t, '\bthe\b') THEN 'the' END, CASE WHEN regexp_matches(t, '\bof\b') THEN 'of' END, CASE WHEN regexp_matches(t, '\bin\b') THEN 'in' END], lambda x: x IS NOT NULL), ',') AS tags,
        CASE WHEN regexp_matches(t, '\bthe\b') THEN 'articles' WHEN regexp_matches(t, '\b(of|in)\b') THEN 'prepositions' END AS category FROM (SELECT conv_id, turn, lower(text) AS t FROM conversations)""")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import agent, chunks, dialogue, evaluation, html, records, router, similarity
-from tessera.plans.catalog import _scores, _SCORES, query
+from tessera.plans.catalog import _SCORES, _scores, CATEGORIES, PLACES, query
 from tessera.sources import store
 
 # A document's lines with their numbers, cleaned as the walk cleans them.
@@ -351,10 +351,6 @@ def r24_judged(benchmark: DataFrame) -> DataFrame:
     return out.select("id", "attempts", "automatic", F.col("judgement.relevance.score").alias("score"))
 
 
-PLACES = ((r"\bthe\b", "the", "articles"), (r"\bof\b", "of", "prepositions"), (r"\bin\b", "in", "prepositions"))
-CATEGORIES = ((r"\bthe\b", "articles"), (r"\b(?:of|in)\b", "prepositions"))
-
-
 def _echo(text: str) -> str:
     return f"{text}. Queres saber mais sobre {'of' if 'of' in text else 'the'}?"
 

@@ -119,3 +119,18 @@ def test_links_without_fetch_become_rows(spark):
     fetched = spark.createDataFrame([("a", 1)], "url string, n int")
     links = spark.createDataFrame([("a", "s2"), ("a", "s1"), ("b", "s1")], "url string, source string")
     assert {(r["url"], r["fetched"], tuple(r["sources"])) for r in records.attach_sources(fetched, links).collect()} == {("a", True, ("s1", "s2")), ("b", False, ("s1",))}
+
+
+def test_site_map_gaps_and_listing_samples(spark):
+    fetch = lambda front: front.select("url", F.concat("url", F.lit("a")).alias("link"))
+    seeds, gaps = spark.createDataFrame([("x",)], "url string"), spark.createDataFrame([("xa",), ("z",), ("y",), ("y",)], "url string")
+    assert sorted((tuple(r) for r in records.crawl(seeds, fetch, 1, 9, gaps).collect()), key=str) == [("x", 0), ("xa", 1), ("y", None), ("z", None)]
+    assert records.crawl(seeds, fetch, 1, 3, gaps).count() == 3
+    pages = spark.createDataFrame([("e", "shop"), ("a", "shop"), ("c", "shop"), ("b", "inn"), ("d", "topic"), ("f", None)], "url string, page_type string")
+    assert sorted(r["url"] for r in records.listing_samples(pages, ["shop", "inn"]).collect()) == ["a", "b", "c", "d", "f"]
+
+
+def test_other_lines_stay_byte_for_byte(spark):
+    old = spark.createDataFrame([(1, '{"document_id":  "b", "x":1}'), (2, '{"x": "é",   "document_id": "a"}')], "line_no long, line string")
+    new = spark.createDataFrame([("d", '{"document_id": "d"}'), ("c", '{"document_id": "c"}'), ("b", '{"document_id": "b", "x": 2}')], "document_id string, line string")
+    assert [r[0] for r in files.upsert_lines(old, new).collect()] == ['{"document_id": "b", "x": 2}', '{"x": "é",   "document_id": "a"}', '{"document_id": "c"}', '{"document_id": "d"}']
