@@ -38,8 +38,8 @@ from tessera.llm.simhash import majority, shingle_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
-PRINTS, PRINT_WORDS = 8, 2
-RADIUS, REACH = 4, 5
+PRINTS, PRINT_WORDS = 16, 2
+RADIUS, REACH = 4, 6
 GROUP = 2_000_000
 _HASHES = 300_000
 _TURNS = np.random.default_rng(64).integers(0, 1 << 64, (PRINTS, 2), np.uint64) | np.uint64(1)

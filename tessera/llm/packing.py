@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import fresh, has_columns, release_memory, slices, widened, worker_cache
 
 GROUP_TOKENS = 2_000_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 450_000
 SLICE_BYTES = 4_000_000
 
 
