@@ -200,3 +200,24 @@ def test_null_media_and_bad_files(spark):
     assert jpeg.read_media(df).first()["rgb"] is None
     with pytest.raises(ValueError):
         jpeg.decode(b"GIF89a")
+
+
+def test_slices_do_not_matter(monkeypatch):
+    dice = random.Random(4)
+    payloads = [bytes(dice.randrange(256) for _ in range(n)) for n in (1, 64, 600, 5000, 30_000)]
+    files = [jpeg.encode_payload(p, len(p)) for p in payloads]
+    whole = [(jpeg.rgb(jpeg.decode(f)).tobytes(), jpeg.decode_payload(jpeg.decode(f))) for f in files]
+    monkeypatch.setattr(jpeg, "SLICE_BLOCKS", 8)
+    for f, p, (pixels, payload) in zip(files, payloads, whole, strict=True):
+        image = jpeg.decode(f)
+        assert jpeg.rgb(image).tobytes() == pixels and jpeg.decode_payload(image) == payload == (p, len(p))
+
+
+def test_existing_columns_are_replaced_and_the_tensor_is_stored(spark):
+    df = spark.createDataFrame([(1, "some text", 7, "u"), (2, None, 8, "v")], "doc_id long, text string, MEDIA int, _text string")
+    stored = jpeg.to_media(df)
+    assert stored.columns == ["doc_id", "_text", "media"]
+    read = jpeg.read_media(stored.withColumn("Height", stored["doc_id"]), payload=True)
+    assert read.columns == ["doc_id", "_text", "media", "height", "width", "feature", "rgb", "n_bytes", "payload"]
+    for r in read.collect():
+        assert len(r["rgb"]) == 3 * r["height"] * r["width"] and r["payload"][: r["n_bytes"]] == (b"some text" if r["doc_id"] == 1 else b"")
