@@ -134,3 +134,19 @@ def test_other_lines_stay_byte_for_byte(spark):
     old = spark.createDataFrame([(1, '{"document_id":  "b", "x":1}'), (2, '{"x": "é",   "document_id": "a"}')], "line_no long, line string")
     new = spark.createDataFrame([("d", '{"document_id": "d"}'), ("c", '{"document_id": "c"}'), ("b", '{"document_id": "b", "x": 2}')], "document_id string, line string")
     assert [r[0] for r in files.upsert_lines(old, new).collect()] == ['{"document_id": "b", "x": 2}', '{"x": "é",   "document_id": "a"}', '{"document_id": "c"}', '{"document_id": "d"}']
+
+
+def test_work_folder_is_shared_or_an_error():
+    from types import SimpleNamespace as N
+
+    from tessera.sources import store
+
+    def session(master, named=None, placed=None):
+        option = N(isDefined=lambda: placed is not None, get=lambda: placed)
+        return N(conf=N(get=lambda key, default: named), sparkContext=N(master=master, _jsc=N(sc=lambda: N(getCheckpointDir=lambda: option))))
+
+    assert store.work_dir(session("spark://x", "hdfs://a/b/")) == "hdfs://a/b" and store.work_dir(session("yarn", None, "s3://c/d")) == "s3://c/d"
+    assert store.work_dir(session("local[4]")).startswith("file:///")
+    for master in ("yarn", "spark://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="share"):
+            store.work_dir(session(master))
