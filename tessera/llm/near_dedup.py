@@ -9,7 +9,7 @@ fingerprint the covering masks of simhash guarantee that nodes within RADIUS bit
 within REACH bits are candidates. The components of these candidates are groups, outside of which no candidates are.
 Links are then exact: the sets of a group meet in one task, where a spanning forest of the links of the threshold or more
 is found, whether or not two of its nodes were candidates. Groups of over GROUP shingles are cut into blocks, and each
-pair of blocks is compared in a task of its own. Fingerprints are taken one after another, and the shuffles of one go
+pair of blocks is compared in a task of its own. Fingerprints are taken AT_ONCE at a time, and the shuffles of some go
 before the next.
 
 Recall is a matter of probability, as the fingerprints of similar texts may all differ in more bits: the README has the
@@ -24,6 +24,7 @@ through, whatever their names. A component holds chains of links: each of its te
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 PRINTS, PRINT_WORDS = 16, 2
 RADIUS, REACH = 4, 6
+AT_ONCE = 3
 GROUP = 2_000_000
 _HASHES = 300_000
 _TURNS = np.random.default_rng(64).integers(0, 1 << 64, (PRINTS, 2), np.uint64) | np.uint64(1)
@@ -193,14 +195,14 @@ def candidates(nodes: DataFrame) -> DataFrame:
 
     found = materialize(components(of_print(0), "a", "b"))
 
-    def joining(at: int) -> DataFrame:
-        pairs = of_print(at)
+    def joining(lo: int) -> DataFrame:
+        pairs = reduce(DataFrame.unionAll, [of_print(at) for at in range(lo, min(lo + AT_ONCE, PRINTS))])
         for side in ("a", "b"):
             pairs = pairs.join(found.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side, "left")
         ends = pairs.select(*[F.coalesce(f"{side}_root", side).alias(side) for side in ("a", "b")])
         return ends.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    return appended(joining(at) for at in range(1, PRINTS)).unionAll(found.select(F.col("root").alias("a"), F.col("node").alias("b"))).distinct()
+    return appended(joining(lo) for lo in range(1, PRINTS, AT_ONCE)).unionAll(found.select(F.col("root").alias("a"), F.col("node").alias("b"))).distinct()
 
 
 def links(rows: DataFrame, docs: DataFrame, shingle: int, threshold: float, group: int = GROUP) -> DataFrame:
