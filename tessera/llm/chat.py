@@ -11,7 +11,8 @@ the escapes gets every text back.
 
 Defined results: a null text is an empty one; a null or unknown role is written under the template's `other` mark, its
 name escaped as the text's first line, and breaks the order; rows of equal turn are ordered by role and text, nulls
-first; rows of a null conversation id form a conversation; an empty table gives an empty one.
+first; rows of a null conversation id form a conversation; an empty table gives an empty one; other columns are not read,
+whatever their names. A conversation is one row, as its formatted text is one value.
 """
 
 from __future__ import annotations

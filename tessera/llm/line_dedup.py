@@ -42,7 +42,8 @@ def _site(host: Column) -> Column:
 
 
 def line_dedup(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = False) -> DataFrame:
-    """pages with boilerplate lines taken out of text; counts adds n_lines and n_dropped (long)."""
+    """pages with boilerplate lines taken out of text; counts adds n_lines and n_dropped (long), in place of
+    existing columns of these names."""
     has_columns(pages, host, text)
     found = materialize(boilerplate(pages, host, text, ratio, min_pages))
     site, drop, lines, kept = (fresh(pages, n) for n in ("_site_key", "_drop_lines", "_all_lines", "_kept_lines"))

@@ -139,3 +139,17 @@ def shard_documents(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", t
     shift = F.array(*[F.lit(s - a).cast("long") for s, a in zip(stay, starts, strict=True)])
     filled = numbered.withColumn("shard", _place(F.col("at"), starts).cast("int")).withColumn("slot", F.col("at") + F.element_at(shift, F.col("shard") + 1))
     return settled.select(*base.columns, "shard", "slot").unionAll(filled.select(*base.columns, "shard", "slot"))
+
+
+def cut_links(placed: DataFrame, shards: int) -> DataFrame:
+    """One row over shard_documents' result: groups of two rows or more, those that lie in several shards, their links (pairs of a
+    group), the links cut, and the least that any placement cuts: a group larger than a shard's share fills shards one by one."""
+    pairs = lambda n: n * (n - 1) / 2
+    cells = placed.groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n"))
+    groups = cells.groupBy("group").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(pairs(F.col("n"))).alias("kept")).where("n > 1")
+    share = F.lit(max(1, -(-placed.count() // shards)))
+    most = F.floor(F.col("n") / share) * pairs(share) + pairs(F.col("n") % share)
+    return groups.agg(
+        F.count(F.lit(1)).alias("groups"), F.count_if(F.col("k") > 1).alias("in_several"), F.sum(pairs(F.col("n"))).cast("long").alias("links"),
+        F.sum(pairs(F.col("n")) - F.col("kept")).cast("long").alias("cut"), F.sum(pairs(F.col("n")) - most).cast("long").alias("least"),
+    )

@@ -74,3 +74,25 @@ def test_large_moves_against_capacity():
             if i in moves:
                 whole[moves[i]] += sum(p)
         assert max(whole) <= room
+
+
+def test_propagation_goes_to_the_plurality(spark):
+    """With room for all, every part ends where most of it was; ties go to the least shard."""
+    import random
+
+    dice = random.Random(7)
+    rows = [(p, dice.randrange(5)) for p in range(60) for _ in range(dice.randint(2, 30))]
+    got = {(r["part"], r["shard"]) for r in sharding.propagate(spark.createDataFrame(rows, "part long, shard int"), 5, 10**6).collect()}
+    want = set()
+    for p in range(60):
+        counts = Counter(s for q, s in rows if q == p)
+        want.add((p, min(counts, key=lambda s: (-counts[s], s))))
+    assert got == want
+
+
+def test_cut_links_against_pairs(spark):
+    rows = [("a", 0), ("a", 0), ("a", 1), ("b", 2), ("b", 2), ("c", 1), ("d", 0), ("d", 1), ("d", 2), ("d", 2), ("d", 0)]
+    found = sharding.cut_links(spark.createDataFrame(rows, "group string, shard int"), 3).first()
+    pairs = [(x, y) for i, x in enumerate(rows) for y in rows[:i] if x[0] == y[0]]
+    # a share is four rows, so that of d's five one at least lies apart from four
+    assert tuple(found) == (3, 2, len(pairs), sum(x[1] != y[1] for x, y in pairs), 4)
