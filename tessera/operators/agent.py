@@ -24,8 +24,9 @@ SERVERS = tuple(E.TOOLS)
 ATTEMPTS = 2
 # How an answer names where its data comes from.
 SOURCES_TITLE = "Fontes:"
-WEATHER_SOURCE = "Dados meteorológicos: Open-Meteo"
-PLACES_SOURCE = "Dados de locais: OpenStreetMap via Places MCP"
+WEATHER_SOURCE = "Fonte meteorológica: Open-Meteo via Weather MCP"
+PLACES_SOURCE = "Fonte geográfica: {} via Places MCP"
+PLACES_ATTRIBUTION = "© OpenStreetMap contributors (data and geocoding via Nominatim)"
 
 
 def called(function: Callable[..., str | None], *inputs: Column) -> Column:
@@ -90,7 +91,7 @@ def answered(rows: DataFrame, retrieve: Callable[[DataFrame], DataFrame], genera
     said = stored(read.withColumn("prompt", prompt).withColumn("_said", called(generate, F.col("prompt"))))
     parts = [
         F.col("_said.output"), F.when(F.col("sources").isNotNull(), F.concat(F.lit(f"{SOURCES_TITLE}\n"), "sources")),
-        F.when(data["weather"].isNotNull(), F.lit(WEATHER_SOURCE)), F.when(data["places"].isNotNull(), F.lit(PLACES_SOURCE)),
+        F.when(data["weather"].isNotNull(), F.lit(WEATHER_SOURCE)), F.when(data["places"].isNotNull(), F.format_string(PLACES_SOURCE.replace("{}", "%s"), F.coalesce(F.nullif(F.try_variant_get(F.try_parse_json(data["places"]), "$.attribution", "string"), F.lit("")), F.lit(PLACES_ATTRIBUTION)))),
     ]
     stage = first_of([(F.col("plan.error").isNotNull(), F.lit("planner")), *[(F.col("tools")[s]["error"].isNotNull(), F.lit(s)) for s in SERVERS], (F.col("_said.error").isNotNull() & alone, F.lit("rag_only")), (F.col("_said.error").isNotNull(), F.lit("generation"))])
     message = F.coalesce("plan.error", tool_error(F.col("tools")), "_said.error")

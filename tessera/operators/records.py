@@ -236,6 +236,21 @@ def horizontal_text(blocks: DataFrame, page: str = "page", editorial: bool = Fal
     return flat.groupBy(page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", "text"))), lambda x: F.rtrim(x["text"])), "\n\n").alias("text"))
 
 
+def page_texts(blocks: DataFrame, layouts: DataFrame, page: str = "page") -> DataFrame:
+    """(page, layout, text): each page read as its layout in layouts (page, layout) asks: route (columns and panels), map (the
+    sidebar), editorial (horizontal blocks of body length), else plain (all horizontal blocks). Blocks: page, x0, y0, width,
+    height, size, dx, dy, text. A page without text has an empty one."""
+    known = layouts.select(F.col(page).alias("_page"), "layout")
+    told = blocks.join(known, F.col(page) == F.col("_page"), "left").drop("_page").withColumn("layout", F.coalesce("layout", F.lit("plain")))
+    readers = {"route": route_page_text, "map": map_sidebar, "editorial": lambda b, p: horizontal_text(b, p, editorial=True)}
+    plain = told.where(~F.col("layout").isin(*readers))
+    found = horizontal_text(plain, page).select(page, "text")
+    for layout, read in readers.items():
+        found = found.unionByName(read(told.where(F.col("layout") == layout), page).select(page, "text"))
+    every = told.select(F.col(page).alias("_page"), "layout").distinct()
+    return every.join(found, F.col(page) == F.col("_page"), "left").select(F.col("_page").alias(page), "layout", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def without_letter_spacing(glyphs: Column, bands: Sequence[tuple[str, float, float]], small_caps: Sequence[tuple[str, float]] = ()) -> Column:
     """The text of array<struct<char, font, size, width>> without spaces whose width over size lies in a font's half-open
     band, or that a small-caps font sets in a reduced size."""

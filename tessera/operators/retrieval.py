@@ -161,14 +161,14 @@ def messages(question: Column, context: Column, note: Column) -> Column:
     return F.concat(F.lit("CONTEXTO:\n\n"), context, F.lit("\n\n"), middle, F.lit("PERGUNTA:\n\n"), question, F.lit("\n\nResponde apenas com base no contexto acima."))
 
 
-def plain_messages(question: Column, context: Column) -> Column:
-    """R5, older form: one message of context and question, without notes on conflicts."""
-    return F.concat(F.lit("CONTEXTO:\n\n"), context, F.lit("\n\nPERGUNTA:\n\n"), question)
+def older_messages(system: Column, question: Column, context: Column) -> Column:
+    """R5, older form: struct<system, user>: the context follows the system's instructions, and the user says the question alone."""
+    return F.struct(F.concat(system, F.lit("\n\nCONTEXTO:\n\n"), context).alias("system"), question.alias("user"))
 
 
-def bare_message(question: Column) -> Column:
-    """R5, without retrieval: the question alone."""
-    return F.concat(F.lit("PERGUNTA:\n\n"), question)
+def bare_messages(system: Column, question: Column) -> Column:
+    """R5, without retrieval: struct<system, user> of other instructions and the question."""
+    return F.struct(system.alias("system"), question.alias("user"))
 
 
 def available(model: Callable[[str], str], probe: str = "ping") -> str | None:

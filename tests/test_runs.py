@@ -27,7 +27,7 @@ def planner(question):
 def tool(server, name, arguments):
     if json.loads(arguments).get("location") == "broken":
         raise ValueError("no such place")
-    return f"{server}/{name}"
+    return json.dumps({"attribution": "me"}) if server == "places" else f"{server}/{name}"
 
 
 def retrieve(asked):
@@ -53,7 +53,7 @@ def test_agent_run(spark):
     one = got["only rag"]
     assert one["answer"] == "<RAG|ctx:only rag|only rag>\n\nFontes:\n- src:only rag" and one["error"] is None and one["tools"] is None and one["oracle"] is None
     both = got["both"]
-    assert "ctx:history" in both["prompt"] and "weather/get_current_weather" in both["prompt"] and both["answer"].endswith(f"Fontes:\n- src:history\n\n{agent.WEATHER_SOURCE}\n\n{agent.PLACES_SOURCE}")
+    assert "ctx:history" in both["prompt"] and "weather/get_current_weather" in both["prompt"] and both["answer"].endswith(f"Fontes:\n- src:history\n\n{agent.WEATHER_SOURCE}\n\nFonte geográfica: me via Places MCP")
     assert both["oracle"]["context"] == "ctx:need"
     failed = got["tool fails"]
     assert failed["error"]["stage"] == "weather" and "no such place" in failed["error"]["message"] and failed["prompt"] is None and failed["answer"] is None and failed["context"] is None
@@ -199,5 +199,5 @@ def test_model_availability_and_prompts(spark):
     from tessera.operators import retrieval
 
     assert retrieval.available(lambda p: "ok") is None and retrieval.available(lambda p: " ") == "empty answer" and retrieval.available(lambda p: 1 / 0) == "division by zero"
-    row = spark.range(1).select(retrieval.plain_messages(F.lit("q?"), F.lit("c")).alias("a"), retrieval.bare_message(F.lit("q?")).alias("b")).first()
-    assert row["a"] == "CONTEXTO:\n\nc\n\nPERGUNTA:\n\nq?" and row["b"] == "PERGUNTA:\n\nq?"
+    row = spark.range(1).select(retrieval.older_messages(F.lit("s"), F.lit("q?"), F.lit("c")).alias("a"), retrieval.bare_messages(F.lit("s"), F.lit("q?")).alias("b")).first()
+    assert tuple(row["a"]) == ("s\n\nCONTEXTO:\n\nc", "q?") and tuple(row["b"]) == ("s", "q?")

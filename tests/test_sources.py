@@ -150,3 +150,13 @@ def test_work_folder_is_shared_or_an_error():
     for master in ("yarn", "spark://x", "local-cluster[2,1,1024]"):
         with pytest.raises(ValueError, match="share"):
             store.work_dir(session(master))
+
+
+def test_pages_are_read_by_their_layout(spark):
+    w, h, long = 1000.0, 500.0, "body " * 30
+    rows = [(p, 300.0, 100.0, w, h, 9.0, 1.0, 0.0, f"p{p}") for p in range(1, 6)] + [(p, 800.0, 300.0, w, h, 9.0, 1.0, 0.0, long) for p in (2, 3, 4)] + [(5, 10.0, 90.0, w, h, 9.0, 0.0, 1.0, "turned")]
+    df = spark.createDataFrame(rows, "page int, x0 double, y0 double, width double, height double, size double, dx double, dy double, text string")
+    layouts = spark.createDataFrame([(1, "route"), (2, "map"), (3, "editorial"), (5, "unheard of")], "page int, layout string")
+    got = {r["page"]: (r["layout"], r["text"]) for r in records.page_texts(df, layouts).collect()}
+    body = long.rstrip()
+    assert got == {1: ("route", "p1"), 2: ("map", body), 3: ("editorial", body), 4: ("plain", f"p4\n\n{body}"), 5: ("unheard of", "p5")}
