@@ -24,7 +24,6 @@ through, whatever their names. A component holds chains of links: each of its te
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +40,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 PRINTS, PRINT_WORDS = 16, 2
 RADIUS, REACH = 4, 6
-AT_ONCE = 3
+AT_ONCE = 5
 GROUP = 2_000_000
 _HASHES = 300_000
 _TURNS = np.random.default_rng(64).integers(0, 1 << 64, (PRINTS, 2), np.uint64) | np.uint64(1)
@@ -184,19 +183,19 @@ def candidates(nodes: DataFrame) -> DataFrame:
     components is kept, so that a large group of near copies has about one edge a node, not one for each mask.
     """
 
-    def of_print(at: int) -> DataFrame:
-        own = nodes.select("node", F.get("prints", F.lit(at)).alias("fp"))
-        first = own.groupBy("fp").agg(F.min("node").alias("first"))
-        equal = own.join(first, "fp").where(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b"))
-        pairs = covered(own, "fp", RADIUS, reach=REACH)
+    def of_prints(lo: int, hi: int) -> DataFrame:
+        own = nodes.select("node", F.posexplode("prints").alias("at", "fp")).where((F.col("at") >= lo) & (F.col("at") < hi)).select("node", F.col("at").cast("short").alias("by"), "fp")
+        first = own.groupBy("by", "fp").agg(F.min("node").alias("first"))
+        equal = own.join(first, ["by", "fp"]).where(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b"))
+        pairs = covered(own, "fp", RADIUS, reach=REACH, by="by")
         for side in ("a", "b"):
-            pairs = pairs.join(first.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_node")), side)
+            pairs = pairs.join(first.select("by", F.col("fp").alias(side), F.col("first").alias(f"{side}_node")), ["by", side])
         return equal.unionAll(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
 
-    found = materialize(components(of_print(0), "a", "b"))
+    found = materialize(components(of_prints(0, 1), "a", "b"))
 
     def joining(lo: int) -> DataFrame:
-        pairs = reduce(DataFrame.unionAll, [of_print(at) for at in range(lo, min(lo + AT_ONCE, PRINTS))])
+        pairs = of_prints(lo, lo + AT_ONCE)
         for side in ("a", "b"):
             pairs = pairs.join(found.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side, "left")
         ends = pairs.select(*[F.coalesce(f"{side}_root", side).alias(side) for side in ("a", "b")])

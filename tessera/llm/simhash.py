@@ -161,13 +161,15 @@ def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _links(radius: int, keys: int):
-    """mapInArrow body: rows arrive sorted by their first columns (the bucket); the last column is the fingerprint."""
+def _links(radius: int, keys: int, named: bool):
+    """mapInArrow body: rows arrive sorted by their first columns (the bucket); the last column is the fingerprint. named: the
+    first of the bucket's columns comes out with each link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("simhash")
         held_key, held = None, np.empty(0, np.uint64)
         out: list[tuple[int, int]] = []
+        names: list[int] = []
 
         def flush() -> None:
             if len(held) == 2:
@@ -175,10 +177,13 @@ def _links(radius: int, keys: int):
                     out.append((int(held[0]), int(held[1])))
             elif len(held) > 2:
                 out.extend(forest(held, radius))
+            if named and held_key:
+                names.extend([held_key[0]] * (len(out) - len(names)))
 
         def made() -> pa.RecordBatch:
             pairs = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
+            ends = [pa.array(np.ascontiguousarray(pairs[:, side])) for side in (0, 1)]
+            return pa.RecordBatch.from_arrays([*([pa.array(names, pa.int16())] if named else []), *ends], names=[*(["by"] if named else []), "a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -199,33 +204,37 @@ def _links(radius: int, keys: int):
             if len(out) > 50_000:
                 yield made()
                 out.clear()
+                names.clear()
         flush()
         yield made()
 
     return run
 
 
-def links(prints: DataFrame, name: str, radius: int, bucket: int = BUCKET, reach: int | None = None) -> DataFrame:
+def links(prints: DataFrame, name: str, radius: int, bucket: int = BUCKET, reach: int | None = None, by: str | None = None) -> DataFrame:
     """(a, b): links that connect exactly what the relation "radius or fewer differing bits" connects. With a greater reach, also
-    those up to reach bits that happen to share a bucket."""
+    those up to reach bits that happen to share a bucket. by: a short column within whose values alone fingerprints are linked,
+    which comes first in the result, as by."""
     table = F.array(*[F.lit(m) for m in masks(radius)])
-    near = reach or radius
+    near, own = reach or radius, ["by"] if by else []
+    schema = "by short, a long, b long" if by else "a long, b long"
     spark = prints.sparkSession
     spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     keyed = (
-        prints.select(F.col(name).alias("fp"))
+        prints.select(*([F.col(by).alias("by")] if by else []), F.col(name).alias("fp"))
         .repartition(spread, "fp").distinct()  # a small table would be one task, and each row becomes one for each mask
-        .select("fp", F.posexplode(table).alias("t", "mask"))
-        .select(F.col("t").cast("short").alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("k"), "fp")
+        .select(*own, "fp", F.posexplode(table).alias("t", "mask"))
+        .select(*own, F.col("t").cast("short").alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("k"), "fp")
     )
-    sizes = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    met = keyed.join(sizes, ["t", "k"])
-    small = met.where(F.col("n") <= bucket).select("t", "k", "fp").repartition("t", "k").sortWithinPartitions("t", "k")
-    out = small.mapInArrow(_links(near, 2), "a long, b long")
+    key = [*own, "t", "k"]
+    sizes = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    met = keyed.join(sizes, key)
+    small = met.where(F.col("n") <= bucket).select(*key, "fp").repartition(*key).sortWithinPartitions(*key)
+    out = small.mapInArrow(_links(near, len(key), bool(by)), schema)
     # beyond the bucket size: every pair of blocks is a group of its own, so none is larger than two blocks
     blocks = met.where(F.col("n") > bucket).withColumn("m", F.ceil(F.col("n") / F.lit(bucket / 2)).cast("int")).withColumn("x", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
-    pairs = blocks.select("t", "k", "x", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("y"), "fp").select("t", "k", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "fp")
-    large = pairs.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j").mapInArrow(_links(near, 4), "a long, b long")
+    pairs = blocks.select(*key, "x", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("y"), "fp").select(*key, F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "fp")
+    large = pairs.repartition(*key, "i", "j").sortWithinPartitions(*key, "i", "j").mapInArrow(_links(near, len(key) + 2, bool(by)), schema)
     return out.unionAll(large)
 
 
