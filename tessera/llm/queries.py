@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, jpeg, langid, line_dedup, lm_score, mixing, packing, quality, sharding, simhash
+from tessera.llm import chat, clustering, jpeg, langid, line_dedup, lm_score, merkle, mixing, packing, quality, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,8 +83,23 @@ def op10_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_report(_table(spark, sf_dir, "embeddings")).drop("n_exact")
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the rows, by their id, is verified as a copy whose text has lost its capitals."""
+    docs = _table(spark, sf_dir, "documents")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.translate("text", upper, upper.lower())).otherwise(F.col("text"))
+    checked = merkle.leaf_digest(*[tampered if c == "text" else F.col(c) for c in merkle.COLUMNS])
+    found = merkle.manifest(docs, checked=checked).withColumn("folded_root", merkle.fold(F.col("checked_leaf"), F.col("path")))
+    proof = merkle.proof_digest(F.col("path")).alias("proof_sha256")
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"), "position")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_langid, op3_packing, op4_lm_score, op4_lm_score_order2, op5_simhash, op6_line_dedup, op7_chat, op8_sharding, op9_quality, op10_jpeg)}
+    return {f.__name__: f for f in (op1_mixing, op2_langid, op3_packing, op4_lm_score, op4_lm_score_order2, op5_simhash, op6_line_dedup, op7_chat, op8_sharding, op9_quality, op10_jpeg, op12_clustering, op13_merkle)}
 
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -201,5 +216,82 @@ FROM e GROUP BY conv_id
 """
 
 
+def _op12_sql(k: int = 40, rounds: int = 5) -> str:
+    """Every distance of every round, as joins."""
+    made = [f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, embedding AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+comp AS MATERIALIZED (SELECT rid, unnest(range(0, 64)) AS i, CAST(floor(CAST(unnest(e) AS DOUBLE) * 256) AS BIGINT) AS x FROM kept),
+first AS (SELECT rid, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c FROM kept QUALIFY c < {k}),
+p0 AS MATERIALIZED (SELECT c, i, x FROM first JOIN comp USING (rid))"""]
+    for r in range(rounds + 1):
+        made.append(f"""
+d{r} AS (SELECT rid, c, CAST(sum((comp.x - p.x) * (comp.x - p.x)) AS BIGINT) AS d FROM comp JOIN p{r} p USING (i) GROUP BY rid, c),
+a{r} AS MATERIALIZED (SELECT rid, c, d FROM d{r} QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1)""")
+        if r < rounds:
+            made.append(f"""
+m{r} AS (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM a{r} JOIN comp USING (rid) GROUP BY c, i),
+p{r + 1} AS MATERIALIZED (
+  SELECT c, i, coalesce((s - ((s % n) + n) % n) // n, x) AS x FROM p{r} LEFT JOIN m{r} USING (c, i))""")
+    return ",".join(made) + f""",
+shas AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS h FROM p{rounds} GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM a{rounds} JOIN kept USING (rid) JOIN shas USING (c)
+"""
+
+
+_FIELD = "coalesce(strlen({0}) || ':' || {0}, '-')"
+_HEAD = " || ".join(_FIELD.format(c) for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)"))
+# CRC-32, bit by bit over the digits of the id
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda s: [CAST(ord(s) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))), lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295)"""
+
+
+def _nodes(name: str, leaves: str) -> str:
+    """All nodes of the trees over leaves (tree, idx, n, digest), and beside each node what lies before and after it in its run."""
+    return f"""
+{name} AS (
+  SELECT tree, 0 AS level, idx, n, digest FROM {leaves}
+  UNION ALL
+  SELECT tree, level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM {name} WHERE n > 1 GROUP BY tree, level, idx // 8, n),
+{name}_beside AS MATERIALIZED (
+  SELECT tree, level, idx, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+         coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM {name} WHERE n > 1 WINDOW w AS (PARTITION BY tree, level, idx // 8 ORDER BY idx)),
+{name}_top AS MATERIALIZED (SELECT tree, level, digest FROM {name} WHERE n = 1)"""
+
+
+def _climb(name: str, nodes: str, start: str) -> str:
+    return f"""
+{name} AS (
+  {start}
+  UNION ALL
+  SELECT c.rid, c.tree, c.level + 1, c.idx // 8, sha256(b.before || c.h || b.after), c.proof || b.before || b.after
+  FROM {name} c JOIN {nodes}_beside b USING (tree, level, idx)),
+{name}_end AS MATERIALIZED (SELECT c.rid, c.tree, c.h, c.proof FROM {name} c JOIN {nodes}_top t USING (tree, level))"""
+
+
+OP13_SQL = f"""
+WITH RECURSIVE docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '') AS tree, {_HEAD} AS head, text, coalesce({_CRC} % 3 = 0, false) AS changed FROM documents),
+leaf AS (
+  SELECT rid, doc_id, tree, sha256(head || {_FIELD.format("text")}) AS digest,
+         sha256(head || {_FIELD.format("(CASE WHEN changed THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END)")}) AS checked
+  FROM docs),
+leaves AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM leaf),
+{_nodes("node", "leaves")},
+subs AS MATERIALIZED (SELECT 'root' AS tree, tree AS sub, digest, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM node_top),
+{_nodes("upper", "subs")},
+{_climb("low", "node", "SELECT rid, tree, 0 AS level, idx, checked AS h, '' AS proof FROM leaves")},
+{_climb("high", "upper", "SELECT e.rid, 'root' AS tree, 0 AS level, s.idx, e.h, e.proof FROM low_end e JOIN subs s ON e.tree = s.sub")}
+SELECT l.doc_id, l.digest AS leaf, s.digest AS subroot, t.digest AS root, sha256(h.proof) AS proof_sha256, h.h AS folded_root,
+       h.h = t.digest AS verified, l.idx AS position
+FROM leaves l JOIN subs s ON l.tree = s.sub JOIN upper_top t ON t.tree = 'root' JOIN high_end h USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_lm_score": OP4_SQL, "op4_lm_score_order2": OP4_ORDER2_SQL, "op6_line_dedup": OP6_SQL, "op7_chat": OP7_SQL, "op9_quality": OP9_SQL}
+    return {"op12_clustering": _op12_sql(), "op13_merkle": OP13_SQL, "op4_lm_score": OP4_SQL, "op4_lm_score_order2": OP4_ORDER2_SQL, "op6_line_dedup": OP6_SQL, "op7_chat": OP7_SQL, "op9_quality": OP9_SQL}
