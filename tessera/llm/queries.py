@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, clustering, jpeg, langid, line_dedup, lm_score, merkle, mixing, packing, quality, sharding, simhash
+from tessera.llm import chat, clustering, jpeg, langid, line_dedup, lm_score, merkle, mixing, packing, quality, quality_fm, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,10 @@ def op10_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.score_held_out(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster_report(_table(spark, sf_dir, "embeddings")).drop("n_exact")
 
@@ -99,7 +103,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_langid, op3_packing, op4_lm_score, op4_lm_score_order2, op5_simhash, op6_line_dedup, op7_chat, op8_sharding, op9_quality, op10_jpeg, op12_clustering, op13_merkle)}
+    return {f.__name__: f for f in (op1_mixing, op2_langid, op3_packing, op4_lm_score, op4_lm_score_order2, op5_simhash, op6_line_dedup, op7_chat, op8_sharding, op9_quality, op10_jpeg, op11_quality_fm, op12_clustering, op13_merkle)}
 
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
