@@ -203,8 +203,8 @@ def manifest(docs: DataFrame, doc_id: str = "doc_id", group: str = "lang", colum
     own = leaf_digest(*[F.col(c) for c in columns])
     label = F.concat(F.lit("="), F.col(group).cast("string"))
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(label, F.lit("")).alias("tree"), own.alias("digest"), (own if checked is None else checked).alias("checked"))
-    # texts are read once, and only digests move
-    leaves = materialize(positions(rows, ["id", "digest"], ["tree"], "idx", "n"))
+    # texts are read once, before ranges are sampled, and only digests move
+    leaves = materialize(positions(materialize(rows), ["id", "digest"], ["tree"], "idx", "n"))
     links, roots, height = build(leaves.select("tree", "n", "idx", "digest"), arity)
     roots = materialize(roots)
     # the trees' order is that of their labels, null ("") first; a table of one row a tree
