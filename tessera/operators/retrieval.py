@@ -1,19 +1,26 @@
 """Vector top-k and what is built from its results: context, notes, messages, sources.
 
-Queries of equal width are broadcast in blocks of at most BROADCAST_QUERIES, as many as there are, and each task multiplies
-its vectors with a block in numpy. It keeps the best k of each query before anything is exchanged.
+Vectors and queries are packed into blocks where they are read; blocks meet by a join, and each pair of blocks is multiplied in
+numpy. A task keeps the best k of each query before anything is exchanged. vector_index.py searches without all pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-BROADCAST_QUERIES = 10_000
+from tessera.sources.store import stored
+
+BLOCK = 4096
+BROADCAST_MB = 64
+HELD = 2_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -34,61 +41,74 @@ def normalize(vectors: DataFrame, vector: str) -> DataFrame:
     return vectors.withColumn(vector, F.when(n > 0, F.transform(vector, lambda x: (x / n).cast("float"))))
 
 
-def top_k(queries: DataFrame, query_id: str, query_vector: str, vectors: DataFrame, key: str, vector: str, k: int = 3) -> DataFrame:
-    """(query_id, rank, key, cosine_distance), best first; ties go to the lesser key. A query finds vectors of its own
-    width; zero vectors and nulls neither ask nor are found."""
-    rows = ((r["q"], r["v"]) for r in queries.select(F.col(query_id).alias("q"), F.col(query_vector).alias("v")).toLocalIterator())
-    real = ((q, v) for q, v in rows if v and any(v))
-    schema = vectors.select(F.lit(0).cast(queries.schema[query_id].dataType).alias("query_id"), F.col(key).alias("key"), F.lit(0.0).alias("cosine_distance")).schema
-    found, waiting = None, {}
-
-    def searched(few: list) -> DataFrame:
-        some = _search(few, len(few[0][1]), vectors, key, vector, k, schema)
-        return some if found is None else found.unionByName(some)
-
-    for q, v in real:
-        few = waiting.setdefault(len(v), [])
-        few.append((q, v))
-        if len(few) == BROADCAST_QUERIES:
-            found = searched(waiting.pop(len(v)))
-    for few in waiting.values():
-        found = searched(few)
-    if found is None:
-        return vectors.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0)).select("query_id", "rank", "key", "cosine_distance")
-    order = Window.partitionBy("query_id").orderBy(F.round("cosine_distance", 9), "key")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "key", "cosine_distance")
-
-
-def _search(few: list, width: int, vectors: DataFrame, key: str, vector: str, k: int, schema) -> DataFrame:
-    """(query_id, key, cosine_distance): the k nearest of each task to each of few queries of that width."""
-    unit = np.array([v for _, v in few], np.float64)
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    shared = vectors.sparkSession.sparkContext.broadcast(([q for q, _ in few], unit))  # at most BROADCAST_QUERIES vectors
-
-    def best(frames):
-        """The k nearest rows of this task to each query."""
-        held: list[pd.DataFrame] = []
-        ids, unit = shared.value
-        for pdf in frames:
-            pdf = pdf[[v is not None and len(v) == width for v in pdf["v"]]]
-            if not len(pdf):
-                continue
-            m = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-            size = np.linalg.norm(m, axis=1)
-            good = np.isfinite(size) & (size > 0)
-            m, keys = m[good] / size[good, None], pdf["key"].to_numpy()[good]
-            for lo in range(0, len(ids), 512):
-                d = 1.0 - unit[lo : lo + 512] @ m.T
-                for i, row in enumerate(d):
+def packed(df: DataFrame, key: str, vector: str, rows: int | None = None) -> DataFrame:
+    """(width, ids, m): vectors as blocks of at most `rows` unit vectors of equal width, packed where they are read. Null and
+    zero vectors, and those with a null, NaN or infinite component, are left out."""
+    rows = rows or BLOCK
+    source = df.select(F.col(key).alias("key"), F.transform(vector, lambda x: x.cast("double")).alias("v")).where("v is not null")
+    schema = source.select(F.lit(0).alias("width"), F.array("key").alias("ids"), F.lit(b"").alias("m")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column(1)
+            sizes, flat = pc.list_value_length(vectors).to_numpy(zero_copy_only=False), pc.fill_null(vectors.flatten(), np.nan).to_numpy(zero_copy_only=False)
+            starts = np.cumsum(sizes) - sizes
+            for width in np.unique(sizes[sizes > 0]):
+                at = np.flatnonzero(sizes == width)
+                m = flat[starts[at][:, None] + np.arange(width)]
+                with np.errstate(invalid="ignore", over="ignore"):
+                    norm = np.linalg.norm(m, axis=1)
+                good = np.isfinite(norm) & (norm > 0)
+                m, at = m[good] / norm[good, None], at[good]
+                for lo in range(0, len(at), rows):
+                    yield block(schema.names, [int(width)], batch.column(0).take(pa.array(at[lo : lo + rows])), m[lo : lo + rows])
+
+    return source.mapInArrow(run, schema)
+
+
+def block(names: list[str], first: list, ids: pa.Array, m: np.ndarray) -> pa.RecordBatch:
+    """One row (*first, ids, m)."""
+    lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+    return pa.RecordBatch.from_arrays([*[pa.array([x], pa.int32()) for x in first], lists, pa.array([m.astype("<f8").tobytes()], pa.binary())], names=names)
+
+
+def size_mb(blocks: DataFrame) -> float:
+    """Of packed vectors."""
+    return (blocks.agg(F.sum(F.octet_length("m"))).first()[0] or 0) / 1e6
+
+
+def nearest_of_blocks(pairs: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, key, cosine_distance), best first, from rows (queries, qm, ids, m): a block of queries beside a block of
+    vectors. A task keeps the k best of each query over all its rows, up to HELD of them, before anything is exchanged."""
+    schema = pairs.select(F.get("queries", F.lit(0)).alias("query_id"), F.get("ids", F.lit(0)).alias("key"), F.lit(0.0).alias("cosine_distance")).schema
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, kept = [], 0, 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                asked, qm, ids, m = (batch.column(c)[i] for c in range(4))
+                asked, ids = asked.values.to_pandas(), ids.values.to_pandas()
+                q, v = (np.frombuffer(x.as_buffer(), "<f8").reshape(n, -1) for x, n in ((qm, len(asked)), (m, len(ids))))
+                for lo in range(0, len(q), 512):
+                    d = 1.0 - q[lo : lo + 512] @ v.T
+                    kth = np.partition(d, min(k, len(v)) - 1, axis=1)[:, min(k, len(v)) - 1]
                     # all that tie with the k-th stay, so that the key can decide
-                    near = np.flatnonzero(row <= np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1] + 1e-12) if len(row) else []
-                    held.append(pd.DataFrame({"query_id": ids[lo + i], "key": keys[near], "cosine_distance": row[near]}))
-            if sum(map(len, held)) > 200_000:
-                held = [_cut(pd.concat(held), k)]
+                    row, col = np.nonzero(d <= kth[:, None] + 1e-9)
+                    held.append(pd.DataFrame({"query_id": asked.to_numpy()[lo + row], "key": ids.to_numpy()[col], "cosine_distance": d[row, col]}))
+                    rows += len(row)
+                if rows > max(200_000, 2 * kept):
+                    held = [_cut(pd.concat(held), k)]
+                    rows = kept = len(held[0])
+                if kept > HELD:
+                    yield pa.RecordBatch.from_pandas(held[0], arrow, preserve_index=False)
+                    held, rows, kept = [], 0, 0
         if held:
-            yield _cut(pd.concat(held), k)
+            yield pa.RecordBatch.from_pandas(_cut(pd.concat(held), k), arrow, preserve_index=False)
 
-    return vectors.select(F.col(key).alias("key"), F.col(vector).alias("v")).mapInPandas(best, schema)
+    order = Window.partitionBy("query_id").orderBy(F.round("cosine_distance", 9), "key")
+    found = pairs.select("queries", "qm", "ids", "m").mapInArrow(best, schema)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "key", "cosine_distance")
 
 
 def _cut(rows: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -96,6 +116,21 @@ def _cut(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     return rows.groupby("query_id", sort=False).head(k).drop(columns="_d")
 
 
+def top_k(queries: DataFrame, query_id: str, query_vector: str, vectors: DataFrame, key: str, vector: str, k: int = 3) -> DataFrame:
+    """(query_id, rank, key, cosine_distance), best first; ties go to the lesser key. A query finds vectors of its own
+    width; zero vectors and nulls neither ask nor are found.
+
+    Exact: every block of queries meets every block of vectors. Vectors are scanned once. Queries are broadcast as packed blocks
+    if they measure at most BROADCAST_MB; else vectors are dealt into cells, and queries are copied to each cell."""
+    asked = stored(packed(queries, query_id, query_vector).toDF("width", "queries", "qm"))
+    blocks = packed(vectors, key, vector)
+    if size_mb(asked.select(F.col("qm").alias("m"))) <= BROADCAST_MB:
+        return nearest_of_blocks(blocks.join(F.broadcast(asked), "width"), k)
+    cells = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = blocks.withColumn("cell", F.pmod(F.monotonically_increasing_id(), F.lit(cells)).cast("int"))
+    return nearest_of_blocks(dealt.join(asked.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))), ["width", "cell"]), k)
+
+
 def embed(df: DataFrame, text: str, vector: str, model: Callable[[list[str]], list[list[float]]], prompt: str = "") -> DataFrame:
     """Unit vectors from an injected model; line breaks become blanks, prompt is put before queries."""
 

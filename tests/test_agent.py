@@ -195,6 +195,7 @@ def test_execution_failure_does_not_change_capabilities(spark):
 def test_top_k_takes_more_queries_than_a_block(spark, monkeypatch):
     df = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(25)], "id long, v array<double>")
     whole = sorted(map(tuple, retrieval.top_k(df, "id", "v", df, "id", "v", 3).collect()))
-    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 4)
+    monkeypatch.setattr(retrieval, "BLOCK", 4)
+    monkeypatch.setattr(retrieval, "BROADCAST_MB", -1)  # queries are dealt out, not broadcast
     blocks = sorted(map(tuple, retrieval.top_k(df, "id", "v", df, "id", "v", 3).collect()))
     assert [r[:3] for r in blocks] == [r[:3] for r in whole] and len(blocks) == 75
