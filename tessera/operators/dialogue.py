@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.expr import bind
 
 
 @dataclass(frozen=True)
@@ -204,15 +203,19 @@ def is_exit(text: Column, word: str = "sair") -> Column:
     return F.lower(F.trim(text)) == word
 
 
-def dispatch(messages: DataFrame, route: str, branches: Mapping[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """Each branch answers the rows that are routed to it; the answers are united."""
-    out = None
+def dispatch(messages: DataFrame, route: str, branches: Mapping[str, Callable[[DataFrame], DataFrame]], error: str = "error") -> DataFrame:
+    """Each branch answers the rows that are routed to it; the answers are united, with a null `error`. Rows with a null route or
+    one that has no branch come with all their columns and say so in `error`; none is lost."""
+    told = F.when(F.col(route).isNull(), F.lit("no route")).otherwise(F.concat(F.lit("no branch for "), F.col(route).cast("string")))
+    out = messages.where(~F.coalesce(F.col(route).cast("string").isin(*branches), F.lit(False))).withColumn(error, told)
     for label, branch in branches.items():
-        part = branch(messages.where(F.col(route) == label))
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        answered = branch(messages.where(F.col(route).cast("string") == label))
+        out = out.unionByName(answered.withColumn(error, F.lit(None).cast("string")), allowMissingColumns=True)
     return out
 
 
-def routing_line(label: Column, probability: Column) -> Column:
-    """The debug line."""
-    return bind(F.format_number(probability, 2), lambda p: F.concat(F.lit("[router] "), label, F.lit(" (P="), p, F.lit(")")))
+def routing_lines(probabilities: Column, route: Column) -> Column:
+    """The debug text: each label of a map with its probability, in the map's order, and the selected label."""
+    # The first line, and the last one's prefix.
+    each = F.transform(F.map_entries(probabilities), lambda e: F.concat(e["key"].cast("string"), F.lit("="), F.format_string("%.2f", e["value"])))
+    return F.concat(F.array_join(F.concat(F.array(F.lit("[router]")), each), "\n"), F.lit("\nselected="), route.cast("string"))

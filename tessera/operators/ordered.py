@@ -57,3 +57,20 @@ def positional_join(left: DataFrame, right: DataFrame, left_order: list[str], ri
     message = F.concat(F.lit("row "), F.col(name).cast("string"), F.lit(" has no partner: the tables differ in length"))
     alone = F.col("_here").isNull() | F.col("_there").isNull()
     return both.withColumn(name, F.when(alone, F.raise_error(message)).otherwise(F.col(name))).drop("_here", "_there")
+
+
+def first_n(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
+    """The first n rows of each group in order, with their rank (from 1) as column `rank`. Spark keeps the first n of a group in each
+    task before rows are exchanged, so that what a group sends is n rows a task, whatever its size."""
+    if not 1 <= n <= 1000:
+        raise ValueError("n must be 1 to 1000, beyond which tasks no longer keep the first n alone; use positions()")
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)
+
+
+def unique_names(df: DataFrame, name: str, order: list[str], out: str = "unique_name", mark: str = "#") -> DataFrame:
+    """df with column `out`: the name itself for the first row that has it, in order, and name, mark and 2, 3, ... for the others. As
+    long as no name holds the mark, all are different. Names are numbered as positions() does it, so that one name may be
+    that of any number of rows."""
+    numbered = positions(df, order, [name], "_of_name")
+    again = F.concat(F.col(name), F.lit(mark), (F.col("_of_name") + 1).cast("string"))
+    return numbered.withColumn(out, F.when(F.col("_of_name") == 0, F.col(name)).otherwise(again)).drop("_of_name")

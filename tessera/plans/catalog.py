@@ -830,11 +830,11 @@ def r13_stratified_split(labels: DataFrame) -> DataFrame:
     return router.stratified_split(labels, "quality", "doc_id").groupBy("quality").agg(F.count_if("is_test").alias("test"), F.count(F.lit(1)).alias("total"))
 
 
-@query("conversations", sql="SELECT conv_id, turn, CASE role WHEN 'user' THEN 'U:' || turn WHEN 'system' THEN 'S' ELSE 'A:' || length(text) END AS reply FROM conversations WHERE role IN ('user', 'system', 'assistant')")
+@query("conversations", sql="SELECT conv_id, turn, CASE role WHEN 'user' THEN 'U:' || turn WHEN 'system' THEN 'S' WHEN 'assistant' THEN 'A:' || length(text) END AS reply FROM conversations")
 def r14_dispatch(conversations: DataFrame) -> DataFrame:
     say = lambda c: lambda df: df.select("conv_id", "turn", c.alias("reply"))
     branches = {"user": say(F.concat(F.lit("U:"), F.col("turn").cast("string"))), "system": say(F.lit("S")), "assistant": say(F.concat(F.lit("A:"), F.char_length("text").cast("string")))}
-    return dialogue.dispatch(conversations, "role", branches)
+    return dialogue.dispatch(conversations, "role", branches).select("conv_id", "turn", "reply")
 
 
 @query("conversations", sql="""

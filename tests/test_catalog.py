@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import catalog, structure  # noqa: F401 both register
+from tessera.plans import catalog, extended, structure  # noqa: F401 all register
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are missing")
