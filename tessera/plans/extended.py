@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import web
-from tessera.operators import calls, chunks, dialogue, ordered, reports, retrieval, shapes, vector_index
+from tessera.operators import agent, calls, chunks, dialogue, evaluation, html, ordered, reports, retrieval, shapes, similarity, vector_index
 from tessera.plans import catalog
 from tessera.plans.catalog import query
-from tessera.sources import store
+from tessera.plans.structure import _LINES, _escaped, _page, _widget
+from tessera.sources import files, store
 
 # --- order --------------------------------------------------------------------------------------------------------------
 
@@ -274,3 +275,151 @@ def r25_report(documents: DataFrame, labels: DataFrame) -> DataFrame:
         reports.Section("Languages", langs, ["lang", "n", "labelled", "good", "longest"], ["s", "lang"], "Labels as given."),
         reports.Section("Quality", quality, ["quality", "n"], ["quality"]),
     ])
+
+
+# --- pages, chunks and their checks -------------------------------------------------------------------------------------
+
+
+@query("documents", sql=rf"""
+WITH {_LINES}
+SELECT doc_id, 2 * i AS pos, 'heading' AS kind, 2 AS level, 'Part ' || i AS text FROM l
+UNION ALL SELECT doc_id, 2 * i + 1, 'paragraph', 0, CASE WHEN i % 2 = 0 THEN 'x' || chr(10) || 'y' || chr(10) || 'z' || CASE WHEN t <> '' THEN chr(10) || t ELSE '' END ELSE trim('x y ' || t) END FROM l""")
+def x1_line_breaks(documents: DataFrame) -> DataFrame:
+    """Every line in a paragraph after three line breaks, which keep their lines, or after two, which are wraps."""
+
+    def part(line: Column, i: Column) -> Column:
+        head = _widget("heading", F.concat(F.lit("<h2>Part "), i.cast("string"), F.lit("</h2>")))
+        return F.concat(head, _widget("text-editor", F.when(i % 2 == 0, "<p>x<br>y<br>z<br>").otherwise("<p>x<br>y<br>"), _escaped(line), "</p>"))
+
+    blocks = _page(documents, part).select("doc_id", html.blocks_udf()(F.col("html")).alias("r")).select("doc_id", F.posexplode("r.blocks").alias("pos", "b"))
+    return blocks.select("doc_id", F.col("pos").cast("long").alias("pos"), "b.kind", "b.level", "b.text")
+
+
+@query("documents", sql=r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw FROM documents),
+t AS (SELECT doc_id, 'z' || regexp_replace(raw, '\s+$', '') AS t FROM l)
+SELECT doc_id, count(*) FILTER (length(t) <= 60 AND NOT regexp_matches(t, '[.!?:;]$')) AS labels, count(*) FILTER (length(t) > 60 OR regexp_matches(t, '[.!?:;]$')) AS content FROM t GROUP BY doc_id""")
+def c15_label_pages(documents: DataFrame) -> DataFrame:
+    """Every line on a page of its own: short lines without closing punctuation make pages of labels."""
+    page = lambda line, i: F.concat(F.lit("<!-- source_page: "), (i + 1).cast("string"), F.lit(" -->\n\nz"), line)
+    body = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), page), "\n\n")
+    u = chunks.units(documents.select("doc_id", body.alias("markdown")), "doc_id", "markdown")
+    blocks = lambda role: F.coalesce(F.sum(F.when(F.col("role") == role, F.size("blocks"))), F.lit(0)).cast("long")
+    return u.groupBy("doc_id").agg(blocks("page_labels").alias("labels"), blocks("content").alias("content"))
+
+
+@query("documents", sql=r"""
+WITH l AS (SELECT doc_id, source, lang, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+b AS (SELECT doc_id, any_value(source) AS source, string_agg('z' || regexp_replace(raw, '\s+$', ''), chr(10) || chr(10) ORDER BY i) AS body FROM l GROUP BY doc_id),
+w AS (SELECT doc_id, source, body || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || 'The closing page has a sentence.' ELSE '' END AS body FROM b)
+SELECT printf('d%06d::c0001', doc_id) AS chunk_id, CASE WHEN doc_id % 2 = 0 THEN [1, 2] END AS source_pages, source AS section, CAST(length(body) AS INTEGER) AS body_chars, CAST(0 AS INTEGER) AS overlap_chars,
+       '# Document ' || doc_id || chr(10) || '## ' || source || chr(10) || chr(10) || body AS text FROM w WHERE length(body) <= 1000""")
+def c18_c20_j11_whole_units(documents: DataFrame) -> DataFrame:
+    """Chunks of documents whose one unit is one piece, with the pages that it spans."""
+    half = F.col("doc_id") % 2 == 0
+    lines = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.concat(F.lit("z"), x)), "\n\n")
+    body = F.concat(F.when(half, "<!-- source_page: 1 -->\n\n").otherwise(""), F.lit("## "), "source", F.lit("\n\nOne."), F.lit("\n\n"), lines, F.when(half, "\n\n<!-- source_page: 2 -->\n\nThe closing page has a sentence.").otherwise(""))
+    records = catalog._markdown(documents).join(documents.select(F.format_string("d%06d", "doc_id").alias("document_id"), F.replace(body, F.lit("One.\n\n"), F.lit("")).alias("own")), "document_id")
+    found = chunks.chunk_documents(records.withColumn("markdown", F.col("own")).drop("own"))
+    return found.where("unit_chunk_count = 1").select("chunk_id", "source_pages", "section", "body_chars", "overlap_chars", "text")
+
+
+@query("documents", sql=r"""
+WITH d AS (SELECT *, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, '---' || chr(10) || 'title: "' || replace(x[1], '"', '\"') || '"' || chr(10) || 'lang: "' || lang || '"' || chr(10) || 'source_type: "web_page"' || chr(10) || '---' || chr(10) || chr(10) || '# ' || x[1] || chr(10) || chr(10)
+  || array_to_string(list_transform(range(1, len(x) + 1), lambda i: CASE i % 3 WHEN 1 THEN '## ' || x[i] WHEN 2 THEN '> ' || x[i] ELSE x[i] END), chr(10) || chr(10)) || chr(10) AS markdown FROM d""")
+def t22_rendered_documents(documents: DataFrame) -> DataFrame:
+    """Lines as headings, quotes and paragraphs in turn, under front matter."""
+    lines = F.split("text", "\n")
+    block = lambda t, i: F.struct(F.when(i % 3 == 0, "heading").when(i % 3 == 1, "quote").otherwise("paragraph").alias("kind"), F.lit(2).alias("level"), t.alias("text"))
+    told = html.render_document({"title": F.get(lines, F.lit(0)), "lang": F.col("lang")}, F.transform(lines, block))
+    return documents.where("text IS NOT NULL").select("doc_id", told.alias("markdown"))
+
+
+@query("pages", sql="SELECT page_id, sha256(html || CASE WHEN html LIKE '%' || chr(10) THEN '' ELSE chr(10) END) AS digest FROM pages WHERE html IS NOT NULL")
+def s6_s12_files_with_digests(pages: DataFrame) -> DataFrame:
+    """Each page as a file, read back as bytes."""
+    path = store.scratch(pages.sparkSession)
+    files.write_markdown(pages.where("html IS NOT NULL"), path, "page_id", "html")
+    back = files.read_binary(pages.sparkSession, f"{path}/page_id=*/part-*")
+    return back.select(F.regexp_extract("path", "page_id=([0-9]+)/", 1).cast("long").alias("page_id"), "digest")
+
+
+@query("documents", "benchmark", sql=catalog.SQL["j9_best_overlap"])
+def x5_overlap_without_comments(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Corpus texts with comments full of other words in them, which don't count."""
+    told = benchmark.select("item_id", F.concat(F.lit("<!-- page: 1\n of the and to in that it is -->"), F.coalesce("text", F.lit("")), F.lit("<!-- end -->")).alias("text"))
+    return similarity.best_overlap(documents, "doc_id", "text", told, "item_id", "text")
+
+
+# --- checks of sets and runs --------------------------------------------------------------------------------------------
+
+
+@query("part", sql="""
+WITH i AS (SELECT p_partkey AS id, 'c' || p_size % 9 AS category, p_size % 2 = 0 AS rag, p_partkey % 3 = 0 AS weather, p_size > 40 AS places,
+             CASE WHEN p_partkey % 3 = 0 OR p_partkey % 50 = 1 THEN CASE WHEN p_partkey % 7 = 0 THEN 'get_tides' ELSE 'get_weather_forecast' END END AS tool, p_size % 2 = 0 AND p_partkey % 11 <> 0 AS gold FROM part),
+e AS (SELECT CAST(id AS VARCHAR) AS id, unnest(list_filter([CASE WHEN weather AND tool = 'get_tides' THEN 'weather: expected tool missing or unknown' END, CASE WHEN NOT weather AND tool IS NOT NULL THEN 'weather: expected tool without the capability' END,
+        CASE WHEN places THEN 'places: expected tool missing or unknown' END, CASE WHEN rag <> gold THEN 'rag: gold chunks do not fit the capability' END, CASE WHEN category IN ('c7', 'c8') THEN 'unknown category' END], lambda x: x IS NOT NULL)) AS problem FROM i)
+SELECT * FROM e
+UNION ALL SELECT category, 'category has ' || count(*) || ' items' FROM i GROUP BY category HAVING count(*) <> 5
+UNION ALL SELECT * FROM (SELECT unnest(['rag', 'weather', 'places']) AS id, 'capability has ' || unnest([count(*) FILTER (rag), count(*) FILTER (weather), count(*) FILTER (places)]) || ' items' AS problem, unnest([count(*) FILTER (rag), count(*) FILTER (weather), count(*) FILTER (places)]) <> 20 AS off FROM i) SELECT id, problem WHERE off""".replace("SELECT * FROM (SELECT unnest(['rag'", "SELECT id, problem FROM (SELECT unnest(['rag'").replace(" AS off FROM i) SELECT id, problem WHERE off", " AS off FROM i) WHERE off"))
+def d6_item_problems(part: DataFrame) -> DataFrame:
+    """Items made from parts, some of whose tools, gold chunks and categories don't fit."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    weather, rag = k % 3 == 0, n % 2 == 0
+    tool = F.when(weather | (k % 50 == 1), F.when(k % 7 == 0, "get_tides").otherwise("get_weather_forecast"))
+    gold = F.when(rag & (k % 11 != 0), F.array(F.lit("g"))).otherwise(F.array().cast("array<string>"))
+    items = part.select(k.cast("string").alias("id"), F.concat(F.lit("c"), (n % 9).cast("string")).alias("category"), rag.alias("rag"), weather.alias("weather"), (n > 40).alias("places"), tool.alias("expected_weather"), F.lit(None).cast("string").alias("expected_places"), gold.alias("gold_chunks"))
+    return evaluation.item_problems(items, [f"c{i}" for i in range(7)], 5, 20)
+
+
+@query("orders", sql="""
+SELECT o_orderkey AS run_id, unnest(list_filter([CASE WHEN o_orderstatus <> 'F' THEN 'the run isn''t complete' END, CASE WHEN o_totalprice < 50000 THEN 'the run isn''t valid' END, CASE WHEN o_custkey % 5 = 0 THEN 'records are missing' END,
+  CASE WHEN o_orderkey % 4 = 1 THEN 'the results have changed' END, CASE WHEN o_custkey % 3 = 0 THEN 'the judge must be another model than those it judges' END], lambda x: x IS NOT NULL)) AS problem FROM orders""")
+def d11_judge_inputs(orders: DataFrame) -> DataFrame:
+    """Orders as runs that may or may not be judged."""
+    n, k = F.col("o_custkey"), F.col("o_orderkey")
+    runs = orders.select(
+        k.alias("run_id"), F.when(F.col("o_orderstatus") == "F", "COMPLETED").otherwise(F.col("o_orderstatus")).alias("status"), (F.col("o_totalprice") >= 50000).alias("valid_run"), n.alias("question_count"), F.when(n % 5 == 0, n - 1).otherwise(n).alias("record_count"),
+        F.sha2(k.cast("string"), 256).alias("digest"), F.sha2(F.when(k % 4 == 1, F.lit("x")).otherwise(k.cast("string")), 256).alias("expected_digest"), F.lit("m0").alias("judge_model"), F.array(F.concat(F.lit("m"), (n % 3).cast("string")), F.lit("m9")).alias("evaluated_models"),
+    )
+    return agent.judge_input_problems(runs)
+
+
+@query("documents", "labels", sql="""
+SELECT 'both' AS kind, doc_id FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)
+UNION ALL SELECT 'unlabelled', doc_id FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)
+UNION ALL SELECT 'toxic or good', doc_id FROM (SELECT doc_id FROM labels WHERE toxic = 1 UNION SELECT doc_id FROM labels WHERE quality = 1)""")
+def w4_id_sets(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    ids = lambda df: df.select("doc_id")
+    sets = {"both": ids(documents).intersect(ids(labels)), "unlabelled": ids(documents).subtract(ids(labels)), "toxic or good": ids(labels.where("toxic = 1")).union(ids(labels.where("quality = 1"))).distinct()}
+    told = [df.select(F.lit(name).alias("kind"), "doc_id") for name, df in sets.items()]
+    return told[0].unionByName(told[1]).unionByName(told[2])
+
+
+# --- messages and answers -----------------------------------------------------------------------------------------------
+
+
+@query("documents", sql="""
+SELECT doc_id, 'CONTEXTO:' || chr(10) || chr(10) || source || chr(10) || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '[Metadados de curadoria sobre conflitos conhecidos entre fontes]' || chr(10) || lang || chr(10) || chr(10) ELSE '' END
+  || 'PERGUNTA:' || chr(10) || chr(10) || coalesce(text, '') || chr(10) || chr(10) || 'Responde apenas com base no contexto acima.' AS message, 'S' || chr(10) || chr(10) || 'CONTEXTO:' || chr(10) || chr(10) || source AS older_system, coalesce(text, '') AS older_user FROM documents""")
+def r5_messages(documents: DataFrame) -> DataFrame:
+    """Whole texts as questions, a conflict note on every third; and the older form."""
+    question = F.coalesce("text", F.lit(""))
+    older = retrieval.older_messages(F.lit("S"), question, F.col("source"))
+    told = retrieval.messages(question, F.col("source"), F.when(F.col("doc_id") % 3 == 0, F.col("lang")))
+    return documents.select("doc_id", told.alias("message"), older["system"].alias("older_system"), older["user"].alias("older_user"))
+
+
+@query("conversations", sql="SELECT conv_id, turn, CASE WHEN length(coalesce(text, '')) % 4 <> 0 THEN upper(role) || ' ' || length(text) END AS answer, CASE WHEN length(coalesce(text, '')) % 4 = 0 THEN 'model is busy' END AS answer_error FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL")
+def r7_generated(conversations: DataFrame) -> DataFrame:
+    """An injected model that fails on some prompts."""
+
+    def model(prompt: str) -> str:
+        role, _, text = prompt.partition(" ")
+        if len(text) % 4 == 0:
+            raise RuntimeError("model is busy")
+        return f"{role.upper()} {len(text)}"
+
+    asked = conversations.where("text IS NOT NULL AND role IS NOT NULL").select("conv_id", "turn", F.concat_ws(" ", "role", "text").alias("prompt"))
+    return retrieval.generate(asked, "prompt", "answer", model).drop("prompt")
