@@ -12,8 +12,8 @@ array lookups. The model is kept sparse; where the table of all languages would
 some languages at a time, with the same contexts, so that memory is bounded and the code lengths stay the same.
 
 The fit takes a bounded sample of each language, of which there may be any number: the `per_language` labelled texts
-that come first in hash order, of at most `text_bytes` bytes each (longer labelled texts are left out), and the
-`contexts` most frequent contexts over all languages.
+that come first in hash order, of at most `text_bytes` bytes each (longer labelled texts are left out), and of all
+contexts of this sample the `contexts` most frequent ones over all languages, or all of them where contexts is None.
 
 Defined results: null text, or text without a letter, is `und` with score 0; so is everything if there is nothing to
 learn from; ties go to the language first in code point order; rows are predicted one by one, repeated or not; existing
@@ -78,8 +78,9 @@ def _grams(text: bytes) -> np.ndarray:
     return b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:]
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order_by: str = "doc_id", per_language: int = PER_LANGUAGE, text_bytes: int = TEXT_BYTES, contexts: int = CONTEXTS) -> Model:
-    """Count grams of the sample of docs; rows with null text or language are left out."""
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order_by: str = "doc_id", per_language: int = PER_LANGUAGE, text_bytes: int = TEXT_BYTES, contexts: int | None = CONTEXTS) -> Model:
+    """Count grams of the sample of docs; rows with null text or language are left out. Without a number of contexts all stay,
+    whose number the sample bounds."""
     has_columns(docs, text, lang, order_by)
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("binary").alias("text"), F.xxhash64(order_by, F.lit(7)).alias("h")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= text_bytes))
     sizes = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
@@ -102,8 +103,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order_by: str =
     suffixes = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftright(gram, 8).bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("context")) for k in range(ORDER + 1)])
     cells = materialize(sums.select("lang", "n", gram.bitwiseAND(F.lit(255)).alias("byte"), F.inline(suffixes)).groupBy("k", "context", "byte", "lang").agg(F.sum("n").alias("n")))
     # a kept context's suffix is at least as frequent, so it is kept too
-    most = cells.groupBy("k", "context").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k", "context").limit(contexts).select("k", "context")
-    found = cells.join(most, ["k", "context"], "left_semi").select("k", "context", "byte", "lang", "n").toArrow()
+    if contexts is not None:
+        most = cells.groupBy("k", "context").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k", "context").limit(contexts).select("k", "context")
+        cells = cells.join(most, ["k", "context"], "left_semi")
+    found = cells.select("k", "context", "byte", "lang", "n").toArrow()
     langs = tuple(sorted(set(found.column("lang").to_pylist()), key=lambda s: s.encode()))
     at = {x: i for i, x in enumerate(langs)}
     lang = np.array([at[x] for x in found.column("lang").to_pylist()], np.int64)

@@ -22,7 +22,8 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ROWS_PER_BUCKET, bucket_count, has_columns, materialize, number
+from tessera.llm.common import ROWS_PER_BUCKET, has_columns, materialize, number
+from tessera.operators.ordered import positions
 
 ROUNDS = 6
 LARGE = 16
@@ -122,23 +123,28 @@ def shard_documents(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", t
         F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(shards)).cast("int").alias("shard"),
     )
     moved = propagate(materialize(linked), shards, max(1, total // shards), rounds)
+    rest = base.join(groups, "group", "left_anti").select(*base.columns, F.xxhash64("group").alias("part"))
+    return placement(moved, rest, total, shards).select(*base.columns, "shard", "slot")
+
+
+def placement(moved: DataFrame, rest: DataFrame, total: int, shards: int) -> DataFrame:
+    """The rows of moved (part, shard, doc_id, size, ...) and rest (part, doc_id, size, ...), total in all, with their final shard
+    and slot. Positions come from counts by range (operators/ordered.py), so that a part of any size lies in many tasks."""
+    columns = [c for c in moved.columns if c != "shard"]
     goal = [total // shards + (s < total % shards) for s in range(shards)]
-    order = [F.col("part"), F.col("doc_id"), F.col("size")]
+    order = ["part", "doc_id", "size"]
     # of the parts that are whole, the largest first, those stay that end within their shard's share
     homes = moved.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("shard").alias("home"), F.max("shard").alias("away")).where(F.col("home") == F.col("away"))
     share = F.element_at(F.array(*[F.lit(x).cast("long") for x in goal]), F.col("home") + 1)
     whole = materialize(_fitting(homes, share).select("part"))
-    buckets = bucket_count(moved.count(), ROWS_PER_BUCKET * shards)
-    settled = materialize(number(moved.join(whole, "part", "left_semi"), ["shard"], order, F.pmod(F.xxhash64("part"), F.lit(buckets)), "slot"))
+    settled = materialize(positions(moved.join(whole, "part", "left_semi"), order, ["shard"], "slot"))
     count = _counts(settled, "shard")
     stay = [count.get(s, 0) for s in range(shards)]
-    rest = moved.join(whole, "part", "left_anti").select(*base.columns, "part")
-    free = rest.unionAll(base.join(groups, "group", "left_anti").select(*base.columns, F.xxhash64("group").alias("part")))
-    numbered = number(free, [], order, F.pmod(F.xxhash64("part"), F.lit(bucket_count(total))), "at")
+    numbered = positions(moved.join(whole, "part", "left_anti").select(*columns).unionByName(rest.select(*columns)), order, name="at")
     starts = [0, *accumulate(g - s for g, s in zip(goal, stay, strict=True))][:-1]
     shift = F.array(*[F.lit(s - a).cast("long") for s, a in zip(stay, starts, strict=True)])
     filled = numbered.withColumn("shard", _place(F.col("at"), starts).cast("int")).withColumn("slot", F.col("at") + F.element_at(shift, F.col("shard") + 1))
-    return settled.select(*base.columns, "shard", "slot").unionAll(filled.select(*base.columns, "shard", "slot"))
+    return settled.select(*columns, "shard", "slot").unionByName(filled.select(*columns, "shard", "slot"))
 
 
 def cut_links(placed: DataFrame, shards: int) -> DataFrame:

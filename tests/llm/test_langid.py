@@ -124,3 +124,13 @@ def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "abc", None), (2, None, None)], "doc_id long, text string, lang string")
     assert {(r["lang_pred"], r["score"]) for r in langid.predict_held_out(df).collect()} == {("und", 0.0)}
     assert langid.predict_held_out(df.where("doc_id > 9")).count() == 0
+
+
+def test_all_contexts_stay_without_a_number(spark):
+    """A rare language in a script of its own keeps its contexts, which a bound over all languages takes away."""
+    rows = [(i, "the cat sat on the mat with a hat " * 20, "en") for i in range(60)] + [(100 + i, "\u03b1\u03b2\u03b3 \u03b4\u03b5", "el") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole, cut = langid.fit(docs, contexts=None), langid.fit(docs, contexts=20)
+    own = {bytes(t.encode()[i - k : i]) for t in ("\n\n\n\u03b1\u03b2\u03b3 \u03b4\u03b5",) for i in range(3, len(t.encode())) for k in range(4)}
+    kept = {int(c).to_bytes(4, "big")[4 - int(k) :] if k else b"" for k, c in zip(whole.order, whole.context, strict=True)}
+    assert own <= kept and len(whole.order) > len(cut.order) == 20

@@ -1,6 +1,8 @@
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tessera.llm import sharding
 
 
@@ -96,3 +98,66 @@ def test_cut_links_against_pairs(spark):
     pairs = [(x, y) for i, x in enumerate(rows) for y in rows[:i] if x[0] == y[0]]
     # a share is four rows, so that of d's five one at least lies apart from four
     assert tuple(found) == (3, 2, len(pairs), sum(x[1] != y[1] for x, y in pairs), 4)
+
+
+def plain_placement(moved, rest, total, shards):
+    """The rule in row loops: whole parts by falling size while they fit their shard's share; all others fill what is left, in order."""
+    goal = [total // shards + (s < total % shards) for s in range(shards)]
+    parts = {}
+    for p, s, *_ in moved:
+        parts.setdefault(p, []).append(s)
+    stay = set()
+    for s in range(shards):
+        own = sorted((-len(x), p) for p, x in parts.items() if set(x) == {s})
+        before = 0
+        for size in sorted({-n for n, _ in own}, reverse=True):
+            alike = [p for n, p in own if -n == size]
+            room = max(0, (goal[s] - before) // size)
+            stay.update(alike[:room])
+            before += size * len(alike)
+    out, slot = [], [0] * shards
+    for p, s, d, n in sorted((r for r in moved if r[0] in stay), key=lambda r: (r[0], r[2], r[3])):
+        out.append((p, d, s, slot[s]))
+        slot[s] += 1
+    left = sorted([(r[0], r[2], r[3]) for r in moved if r[0] not in stay] + list(rest))
+    s = 0
+    for p, d, _ in left:
+        while slot[s] >= goal[s]:
+            s += 1
+        out.append((p, d, s, slot[s]))
+        slot[s] += 1
+    return sorted(out)
+
+
+def test_placement_against_row_loops(spark):
+    import random
+
+    for seed in range(4):
+        dice = random.Random(seed)
+        moved, d = [], 0
+        for p in range(40):
+            home = dice.randrange(5)
+            for _ in range(dice.choice([2, 2, 3, 5, 30])):
+                moved.append((p * 7 - 50, home if dice.random() < 0.9 or p % 2 else dice.randrange(5), d, dice.randint(16, 99)))
+                d += 1
+        rest = [(1000 + i, d + i, 20) for i in range(30)]
+        total = len(moved) + len(rest)
+        got = sharding.placement(spark.createDataFrame(moved, "part long, shard int, doc_id long, size long"), spark.createDataFrame(rest, "part long, doc_id long, size long"), total, 5)
+        assert sorted((r["part"], r["doc_id"], r["shard"], r["slot"]) for r in got.collect()) == plain_placement(moved, rest, total, 5)
+
+
+def test_a_part_as_large_as_a_shard_is_in_many_tasks(spark):
+    """Two groups of 20,000 rows fill a shard each; what is sorted in a task is a range of rows, not a part."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    try:
+        rows = spark.range(20_000).select(F.lit(1).alias("part"), F.col("id").alias("doc_id"))
+        dealt = rows.repartitionByRange("part", "doc_id").groupBy(F.spark_partition_id().alias("p")).count()
+        assert dealt.agg(F.max("count")).first()[0] < 4000
+        df = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "same").otherwise("other").alias("text"))
+        placed = sharding.shard_documents(df, 2)
+        assert sorted(tuple(r) for r in placed.groupBy("shard").agg(F.countDistinct("group"), F.count("*"), F.max("slot")).collect()) == [(0, 1, 20_000, 19_999), (1, 1, 20_000, 19_999)]
+        assert "Window" not in sharding.positions(rows, ["part", "doc_id"], name="at")._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
