@@ -38,8 +38,8 @@ from tessera.llm.simhash import majority, shingle_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
-PRINTS, PRINT_WORDS = 16, 2
-RADIUS, REACH = 4, 6
+PRINTS, PRINT_WORDS = 24, 2
+RADIUS, REACH = 4, 8
 AT_ONCE = 5
 GROUP = 2_000_000
 _HASHES = 300_000
