@@ -17,6 +17,7 @@ WEATHER = {
     80: "Aguaceiros fracos", 81: "Aguaceiros moderados", 82: "Aguaceiros violentos", 85: "Aguaceiros de neve fracos", 86: "Aguaceiros de neve fortes",
     95: "Trovoada", 96: "Trovoada com granizo fraco", 99: "Trovoada com granizo forte",
 }
+# Names of the days.
 WEEKDAYS = ("segunda-feira", "terça-feira", "quarta-feira", "quinta-feira", "sexta-feira", "sábado", "domingo")
 
 
