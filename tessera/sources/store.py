@@ -55,10 +55,26 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
 
 def stored(df: DataFrame) -> DataFrame:
     """df, written once and read back: its lineage is cut, it survives lost executors, and the planner knows its size."""
-    path = scratch(df.sparkSession)
-    with shuffles_dropped(df.sparkSession):
-        df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Pieces().add(df)
+
+
+class Pieces:
+    """A table that grows by pieces, each written once, and is read as one scan of all of them."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """The piece, as it was written."""
+        spark, path = df.sparkSession, scratch(df.sparkSession)
+        with shuffles_dropped(spark):
+            df.write.parquet(path)
+        self.paths.append(path)
+        self.read, self.schema = spark.read, df.schema
+        return spark.read.schema(df.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        return self.read.schema(self.schema).parquet(*self.paths)
 
 
 def widened(df: DataFrame) -> DataFrame:
