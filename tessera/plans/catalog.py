@@ -47,10 +47,10 @@ def s1_s3_jsonl(documents: DataFrame) -> DataFrame:
 
 @query("labels", sql="SELECT row_number() OVER (ORDER BY doc_id) AS line_no, doc_id, quality FROM labels")
 def s2_manifest(labels: DataFrame) -> DataFrame:
-    rows = labels.select("doc_id", "quality").orderBy("doc_id").coalesce(1)  # a manifest is one file
+    rows = labels.select("doc_id", "quality").orderBy("doc_id")  # files by range, which follow each other by name
     path = store.scratch(rows.sparkSession)
     files.write_jsonl(rows, path)
-    return files.read_manifest(rows.sparkSession, path, rows.schema, "doc_id").withColumn("line_no", F.col("line_no").cast("long"))
+    return files.read_manifest(rows.sparkSession, path, rows.schema, "doc_id")
 
 
 @query("customer", sql="SELECT c_custkey, c_name, c_acctbal FROM customer")

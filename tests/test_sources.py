@@ -20,6 +20,25 @@ def test_manifest_names_the_line(spark, tmp_path):
             read(*lines)
 
 
+def test_lines_are_numbered_over_splits_and_files(spark, tmp_path):
+    lines = [f"{i} " + "x" * (i * 37 % 90) for i in range(500)]
+    lines[7] = lines[499] = ""
+    (tmp_path / "m").mkdir()
+    for name, part in (("b", lines[300:]), ("a", lines[:300])):
+        (tmp_path / "m" / f"{name}.txt").write_text("\n".join(part) + "\n")
+    names = {"spark.sql.files.maxPartitionBytes": "1000", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "20"}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        assert spark.read.text(str(tmp_path / "m")).select(F.spark_partition_id()).distinct().count() > 8
+        got = files.numbered_lines(spark, str(tmp_path / "m")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert [r["line"] for r in sorted(got)] == lines and [r["line_no"] for r in sorted(got)] == list(range(1, 501))
+
+
 def test_jsonl_keeps_nulls(spark, tmp_path):
     df = spark.createDataFrame([("a", None), ("b", "ü")], "k string, v string")
     files.write_jsonl(df.coalesce(1), str(tmp_path / "j"))
