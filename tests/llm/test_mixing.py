@@ -1,5 +1,9 @@
 import random
 import re
+import struct
+
+import pytest
+import xxhash
 
 from tessera.llm import mixing
 
@@ -62,10 +66,35 @@ def test_filling(spark):
         assert abs(r["target"] - want[r["src"]]) < 1e-6
 
 
-def test_rates_and_copies_against_brute(spark):
-    """The dual by bisection, one source at a time, and the copies by the same rounding in one row loop."""
+def spark_hash(*longs):
+    """F.xxhash64 of longs, signed."""
+    h = 42
+    for x in longs:
+        h = xxhash.xxh64_intdigest(struct.pack("<q", x), seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_copies(own, rate, cap, bucket):
+    """Copies by id: buckets of a source's rows, each from the longest down, with what is owed carried on."""
+    out, buckets, n = {}, {}, -(-len(own) // bucket)
+    for r in own:
+        buckets.setdefault(spark_hash(r["doc_id"], r["size"]) % n, []).append(r)
+    for rows in buckets.values():
+        owed = 0.0
+        for r in sorted(rows, key=lambda r: (-r["size"], spark_hash(r["doc_id"]), r["doc_id"])):
+            owed += rate(r["size"]) * r["size"]
+            out[r["doc_id"]] = min(range(cap + 1), key=lambda c: (abs(owed - c * r["size"]), -c)) if r["size"] else 0
+            owed -= out[r["doc_id"]] * r["size"]
+    return out
+
+
+@pytest.mark.parametrize("bucket", [mixing.BUCKET, 60])
+def test_rates_and_copies_against_brute(spark, bucket, monkeypatch):
+    """The dual by bisection, one source at a time, and the copies of each document by a row loop."""
     from math import exp
 
+    monkeypatch.setattr(mixing, "BUCKET", bucket)
+
     dice = random.Random(6)
     rows = [(i, " ".join(["w"] * dice.choice([0, 1, 2, 5, 9, 30, 200])), dice.choice("aabbbbc")) for i in range(700)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 4, 1)).collect()
@@ -79,6 +108,9 @@ def test_rates_and_copies_against_brute(spark):
             mid = (lo + hi) / 2
             lo, hi = (mid, hi) if sum(rate(mid, r["size"]) * r["size"] for r in own) < target else (lo, mid)
         full = target >= 3 * size * (1 - 1e-9)
+        assert {r["doc_id"]: r["copies"] for r in own} == brute_copies(own, lambda n: 3.0 if full else rate(lo, n), 3, bucket)  # noqa: B023
+        if bucket < len(own):
+            continue
         carry = sum((3.0 if full else rate(lo, r["size"])) * r["size"] for r in own) - sum(r["taken"] for r in own)
         assert abs(carry) <= max(r["size"] for r in own) / 2 + 1
         # within a size, copies are whole numbers around the rate, and their mean follows it
@@ -90,8 +122,6 @@ def test_rates_and_copies_against_brute(spark):
 
 
 def test_no_silent_stop(spark):
-    import pytest
-
     df = spark.createDataFrame([(i, " ".join(["w"] * (i + 1)), "ab"[i % 2]) for i in range(50)], "doc_id long, text string, source string")
     hist = df.selectExpr("source as hsrc", "doc_id + 1 as len", "1 as docs")
     totals = hist.groupBy("hsrc").agg({"len": "sum", "docs": "count"}).selectExpr("hsrc as src", "`sum(len)` as size", "`count(docs)` as n", "0.3d * `sum(len)` as target")
