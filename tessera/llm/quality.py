@@ -3,7 +3,8 @@
 Each rule is a reject condition over the text. A bounded sample gives each rule's cost (seconds a row over a bare
 scan) and selectivity (share of rows that it rejects); rules then run in order of rejection per cost inside one CASE
 expression, which Spark evaluates lazily, so that a text that an early rule rejects pays for no later rule. The order
-changes the work, never the verdict.
+changes the work, never the verdict. Of a scan of more than SAMPLE_FILES files, the sample is drawn from about that many, by a hash of
+their paths, so that it doesn't cost a second reading of all texts; every rule is judged on every row in any case.
 
 Defined results: a null text counts as empty; an empty text has no words and fails the length rule; rows with equal
 or null ids are judged row by row; other columns pass through; an empty table stays empty.
@@ -14,6 +15,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ from tessera.llm.common import fresh, has_columns, let, materialize, widened, wo
 
 SYMBOLS = r"[#*$%&|<>]"
 SAMPLE_ROWS = 2_000
+SAMPLE_FILES = 64
 
 
 def line_array(text: Column) -> Column:
@@ -90,9 +93,21 @@ def base_rules(text: Column) -> list[Rule]:
     ]
 
 
+def some_files(docs: DataFrame, most: int = SAMPLE_FILES) -> DataFrame:
+    """The rows of about `most` files of docs, by a hash of their paths, if it is a scan of more; else docs."""
+    n = len(docs.inputFiles())
+    if n <= most:
+        return docs
+    try:
+        return docs.where(F.pmod(F.xxhash64("_metadata.file_path"), F.lit(n)) < most)
+    except AnalysisException:  # joined or aggregated: no row has one file
+        return docs
+
+
 def ordered(docs: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Rules by rejection per cost, both measured over a random sample of about sample_rows texts."""
     t = F.col(text)
+    docs = some_files(docs)
     share = min(1.0, sample_rows / max(1, docs.count()))
     sample = materialize(docs.select(t).sample(share, seed=9).repartition(4))
     rates = sample.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(r.reject).alias(r.name) for r in rules]).first()
@@ -123,19 +138,17 @@ def first_reject(rules: list[Rule]) -> Column:
 def quality_filter(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Rows of docs that no rule rejects, with docs' columns."""
     has_columns(docs, text)
-    docs = widened(docs)
     rules = [*base_rules(F.col(text)), *default_rules(F.col(text))] if rules is None else rules
-    return docs.where(first_reject(ordered(docs, rules, text, sample_rows)).isNull())
+    return widened(docs).where(first_reject(ordered(docs, rules, text, sample_rows)).isNull())
 
 
 def quality_report(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """docs plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept (existing columns of
     these names are replaced)."""
     has_columns(docs, text)
-    docs = widened(docs)
     t = F.col(text)
     order = [r.name for r in ordered(docs, default_rules(t), text, sample_rows)]
-    out = docs
+    docs = out = widened(docs)
     counts = {"n_words": word_count(t), "word_chars": word_chars(t), "n_symbols": symbol_count(t), "n_dup_lines": duplicate_lines(t), "n_repeat_words": repeated_words(t)}
     names = {c: fresh(docs, f"_{c}") for c in counts}
     out = out.select("*", *[e.alias(names[c]) for c, e in counts.items()])

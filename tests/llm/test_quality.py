@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tessera.llm import quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -71,3 +73,21 @@ def test_counted_rules_are_the_same(docs):
     counts = {"n_words": quality.word_count(t), "word_chars": quality.word_chars(t), "n_symbols": quality.symbol_count(t), "n_dup_lines": quality.duplicate_lines(t)}
     plain, counted = quality.default_rules(t), quality.default_rules(t, counts)
     assert docs.where(F.exists(F.array(*[~a.reject.eqNullSafe(b.reject) for a, b in zip(plain, counted, strict=True)]), lambda x: x)).count() == 0
+
+
+def test_sample_reads_some_files(spark, tmp_path):
+    """Of many files a few are scanned for the sample; of a join, which has no files of its own, all rows are."""
+    path = str(tmp_path / "many files")
+    spark.range(0, 900, 1, 90).select(F.col("id").alias("doc_id"), F.concat_ws(" ", "id", F.lit("some words here")).alias("text")).write.parquet(path)
+    docs = spark.read.parquet(path).where("doc_id >= 0")
+    few = quality.some_files(docs)
+    assert few.columns == docs.columns
+    assert 40 <= few.select(F.input_file_name()).distinct().count() < 90
+    assert few.count() == 10 * few.select(F.input_file_name()).distinct().count()
+    plan = few._jdf.queryExecution()
+    plan.toRdd().count()
+    assert 40 <= plan.executedPlan().collectLeaves().head().metrics().apply("numFiles").value() < 90  # files are left out, not rows
+    assert quality.some_files(docs, 90).count() == 900
+    joined = docs.join(docs.select("doc_id").distinct(), "doc_id")
+    assert quality.some_files(joined).count() == 900
+    assert quality.quality_report(docs).count() == 900
