@@ -45,6 +45,12 @@ def without_marks(text: pd.Series) -> pd.Series:
     return text.map(lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)), na_action="ignore")
 
 
+def stripped(text: Column) -> Column:
+    """Without blanks of any width at either end, as SQL's trim (Spark's own knows the ASCII one alone)."""
+    return F.regexp_replace(text, r"\A\p{Zs}+|\p{Zs}+\z", "")
+
+
+
 def clean_inline(text: Column, normal: bool = True) -> Column:
     """Composed, soft hyphens gone, all white space runs one space, trimmed."""
     text = nfc(text) if normal else text
@@ -118,14 +124,14 @@ def upper_share(text: Column) -> Column:
 
 def numbered_heading(line: Column) -> Column:
     """struct<number, title> of a line like "3. TITLE" with 80 % upper-case letters, else null."""
-    title = F.regexp_extract(line, r"^\d{1,2}\.\s+(.+)$", 1)
-    number = F.regexp_extract(line, r"^(\d{1,2})\.\s+.+$", 1)
+    title = F.regexp_extract(line, r"(?d)^\d{1,2}\.\s+(.+)$", 1)
+    number = F.regexp_extract(line, r"(?d)^(\d{1,2})\.\s+.+$", 1)
     return F.when((title != "") & (upper_share(title) >= 0.8), F.struct(number.cast("int").alias("number"), F.trim(title).alias("title")))
 
 
 def is_heading(line: Column) -> Column:
     """At most 120 characters, 3 letters or more, 90 % of them upper-case, no closing punctuation."""
-    short = (F.char_length(line) <= 120) & ~line.rlike(r"[.,;:]$") & (F.regexp_count(line, F.lit(r"\p{L}")) >= 3)
+    short = (F.char_length(line) <= 120) & ~line.rlike(r"[.,;:]\z") & (F.regexp_count(line, F.lit(r"\p{L}")) >= 3)
     return F.coalesce(short & (upper_share(line) >= 0.9), F.lit(False))
 
 

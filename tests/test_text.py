@@ -126,3 +126,10 @@ def test_each_address_that_is_not_fetched(spark):
     yes = ["", "feeds/x", "x?sp=1", "accounts", "account/x", "agentes-e-profissionais/", "estrela", "alojamentos/", "alojamentos/a/b", "f.pdfx", "wp-x"]
     df = spark.createDataFrame([(f"https://e.org/{x}", x in no) for x in [*no, *yes]], "u string, want boolean")
     assert [r["u"] for r in df.where(web.is_no_fetch(F.col("u")) != F.col("want")).collect()] == []
+
+
+def test_lines_end_at_line_feeds_alone(spark):
+    wide = " \u00a0\u2003ABC.\u3000"
+    assert run(spark, X.stripped, wide, "\tA ", None) == ["ABC.", "\tA", None]
+    assert run(spark, X.is_heading, "ABC.\r", "ABC\u2028", "ABC.") == [True, True, False]
+    assert run(spark, lambda c: X.numbered_heading(c)["title"], "3. SÉ\rVELHA", "3. 7") == ["SÉ\rVELHA", None]
