@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import stripped
+
+EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
 @dataclass(frozen=True)
@@ -25,38 +28,52 @@ def reflect(text: Column, table: Mapping[str, str]) -> Column:
     return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(pairs, w), w)), "")
 
 
-def respond(text: Column, seed: Column, rules: Sequence[Rule], reflections: Mapping[str, str] | None = None) -> Column:
+def _pattern(pattern: str, ascii_words: bool) -> str:
+    r"""Without regard to case, lines ending at \n alone. ascii_words: \b is where \w, which is ASCII in Java, begins or ends;
+    without, Java's own, which counts all letters as word characters (up to Java 18)."""
+    if not ascii_words:
+        return f"(?iud){pattern}"
+    return "(?id)" + re.sub(r"\\.", lambda m: EDGE if m[0] == r"\b" else m[0], pattern)
+
+
+def respond(text: Column, seed: Column, rules: Sequence[Rule], reflections: Mapping[str, str] | None = None, ascii_words: bool = False) -> Column:
     """struct<rule, response> of the first rule whose pattern matches from the start of the text.
 
     The response is chosen by a hash of seed; %1 to %9 stand for the pattern's groups, reflected. No rule: null.
     """
-    said = F.trim(text)
+    said = stripped(text)
     out = F.lit(None).cast("struct<rule:int,response:string>")
     for n, r in reversed(list(enumerate(rules))):
-        anchored = rf"(?iu)\A(?:{r.pattern})"
+        anchored = _pattern(rf"\A(?:{r.pattern})", ascii_words)
         groups = re.compile(r.pattern).groups
-        pick = F.element_at(F.array(*[F.lit(x) for x in r.responses]), (F.pmod(F.xxhash64(seed, F.lit(n)), F.lit(len(r.responses))) + 1).cast("int"))
-        for g in range(1, groups + 1):
-            if any(f"%{g}" in x for x in r.responses):
-                part = F.regexp_extract(said, anchored, g)
-                part = reflect(part, reflections) if reflections else part
-                pick = F.replace(pick, F.lit(f"%{g}"), part)
-        clean = F.when(F.char_length(pick) >= 2, F.regexp_replace(F.regexp_replace(pick, r"\?\.$", "."), r"\?\?$", "?")).otherwise(pick)
+
+        def filled(response: str, anchored: str = anchored, groups: int = groups) -> Column:
+            parts = []
+            for x in re.split(r"(%[1-9])", response):
+                if not re.fullmatch("%[1-9]", x) or int(x[1]) > groups:
+                    parts.append(F.lit(x))
+                    continue
+                part = F.regexp_extract(said, anchored, int(x[1]))
+                parts.append(reflect(part, reflections) if reflections else part)
+            return F.concat(*parts)
+
+        pick = F.element_at(F.array(*[filled(x) for x in r.responses]), (F.pmod(F.xxhash64(seed, F.lit(n)), F.lit(len(r.responses))) + 1).cast("int"))
+        clean = F.when(F.char_length(pick) >= 2, F.regexp_replace(F.regexp_replace(pick, r"\?\.\z", "."), r"\?\?\z", "?")).otherwise(pick)
         out = F.when(said.rlike(anchored), F.struct(F.lit(n).cast("int").alias("rule"), clean.alias("response"))).otherwise(out)
     return out
 
 
-def tags(text: Column, patterns: Sequence[tuple[str, str, str]]) -> Column:
+def tags(text: Column, patterns: Sequence[tuple[str, str, str]], ascii_words: bool = False) -> Column:
     """array<struct<name, category>> of the patterns (regex, name, category) that occur, in order, each name once."""
-    items = [F.when(text.rlike(f"(?iu){p}"), F.struct(F.lit(n).alias("name"), F.lit(c).alias("category"))) for p, n, c in patterns]
+    items = [F.when(text.rlike(_pattern(p, ascii_words)), F.struct(F.lit(n).alias("name"), F.lit(c).alias("category"))) for p, n, c in patterns]
     return F.array_distinct(F.array_compact(F.array(*items)))
 
 
-def category(text: Column, patterns: Sequence[tuple[str, str]]) -> Column:
+def category(text: Column, patterns: Sequence[tuple[str, str]], ascii_words: bool = False) -> Column:
     """The category of the first pattern that occurs."""
     out = F.lit(None).cast("string")
     for p, c in reversed(patterns):
-        out = F.when(text.rlike(f"(?iu){p}"), c).otherwise(out)
+        out = F.when(text.rlike(_pattern(p, ascii_words)), c).otherwise(out)
     return out
 
 

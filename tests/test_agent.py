@@ -199,3 +199,15 @@ def test_top_k_takes_more_queries_than_a_block(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "BROADCAST_MB", -1)  # queries are dealt out, not broadcast
     blocks = sorted(map(tuple, retrieval.top_k(df, "id", "v", df, "id", "v", 3).collect()))
     assert [r[:3] for r in blocks] == [r[:3] for r in whole] and len(blocks) == 75
+
+
+def test_ascii_words(spark):
+    """A word ends before a letter that isn't ASCII where the caller says so, and . stops at line feeds alone."""
+    df = spark.createDataFrame([(0, "Etè x"), (1, "inörd"), (2, "a\rthe b"), (3, "\u00a0in %2 the ox")], "i int, t string").orderBy("i")
+    rules = (dialogue.Rule(r"(.*)\bthe (\w+)", ("%1 - %2",)), dialogue.Rule(r"(?:in|et)\b.*", ("go",)), dialogue.Rule(r".*", ("more",)))
+    run = lambda **k: [r[0] for r in df.select(dialogue.respond(F.col("t"), F.col("t"), rules, **k)["response"]).collect()]
+    assert run(ascii_words=True) == ["go", "go", "a\r - b", "in %2  - ox"]
+    assert run()[2:] == ["a\r - b", "in %2  - ox"]
+    places = ((r"\bin\b", "in", "p"),)
+    tags = [(r[0], r[1]) for r in df.select(dialogue.tags(F.col("t"), places, ascii_words=True)["name"], dialogue.category(F.col("t"), ((r"\bin\b", "p"),), ascii_words=True)).collect()]
+    assert tags == [([], None), (["in"], "p"), ([], None), (["in"], "p")]
