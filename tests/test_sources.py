@@ -179,3 +179,13 @@ def test_pages_are_read_by_their_layout(spark):
     got = {r["page"]: (r["layout"], r["text"]) for r in records.page_texts(df, layouts).collect()}
     body = long.rstrip()
     assert got == {1: ("route", "p1"), 2: ("map", body), 3: ("editorial", body), 4: ("plain", f"p4\n\n{body}"), 5: ("unheard of", "p5")}
+
+
+def test_files_of_many_folders(spark, tmp_path):
+    """Names below a path are found in all folders, the session's own number of listing tasks stays as it was."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    files.write_markdown(spark.createDataFrame([(i, f"t{i}\n") for i in range(40)], "k long, t string"), f"{tmp_path}/o", "k", "t")
+    got = files.read_binary(spark, f"{tmp_path}/o", below="part-*").select("content").collect()
+    assert sorted(bytes(r[0]) for r in got) == sorted(f"t{i}\n".encode() for i in range(40))
+    assert spark.conf.get(name) == before
