@@ -228,7 +228,7 @@ def links(prints: DataFrame, name: str, radius: int, bucket: int = BUCKET, reach
     )
     key = [*own, "t", "k"]
     sizes = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    met = keyed.join(sizes, key)
+    met = keyed.join(sizes.hint("merge"), key)  # the planner takes keyed for as small as what it was exploded from, and would broadcast it
     small = met.where(F.col("n") <= bucket).select(*key, "fp").repartition(*key).sortWithinPartitions(*key)
     out = small.mapInArrow(_links(near, len(key), bool(by)), schema)
     # beyond the bucket size: every pair of blocks is a group of its own, so none is larger than two blocks

@@ -87,6 +87,13 @@ def test_large_buckets_and_chains(spark):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
 
 
+def test_no_bucket_table_is_broadcast(spark, tmp_path):
+    spark.range(1000).selectExpr("xxhash64(id) as fp").write.parquet(f"{tmp_path}/nodes")
+    found = simhash.links(spark.read.parquet(f"{tmp_path}/nodes"), "fp", 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_existing_columns_are_replaced(spark):
     df = spark.createDataFrame([(1, "a b c", 5, "x"), (2, None, 6, "y")], "doc_id long, text string, FP int, _text string")
     out = simhash.fingerprints(df)
