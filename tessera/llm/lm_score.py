@@ -192,7 +192,7 @@ def weights(counts: DataFrame, order: int, words_all: int, alpha: float = ALPHA,
         return value
 
     micro = lambda v: F.rint(v * 1e6).cast("long")
-    made, below = [], None
+    made, written, below = [], [], None
     for k in range(1, order + 1):
         own = counts.where(F.col("k") == k)
         if k == 1:
@@ -209,8 +209,12 @@ def weights(counts: DataFrame, order: int, words_all: int, alpha: float = ALPHA,
         levels = [micro(backed_off(F.col("value"), i)) - (micro(backed_off(F.col("less"), i + 1)) if k > 1 else 0) for i in range(order - k + 1)]
         levels += [F.lit(None).cast("long")] * (k - 1)
         made.append(rows.select("gram", "n", *[c.cast("int").alias(f"w{i}") for i, c in enumerate(levels)]))
+        written.append(rows)
         below = rows
-    return appended(made)
+    table = appended(made)
+    for rows in written:  # the orders' own tables would lie on disk through all parts of the scoring
+        discard(rows)
+    return table
 
 
 def _levels(at: np.ndarray, sizes: np.ndarray, k: int, order: int) -> np.ndarray:

@@ -53,6 +53,14 @@ def test_counts_beyond_32_bits(spark):
     assert got[pair]["w0"] == round(1e6 * log(1 / 4)) - got[12]["w1"] and got[pair]["w1"] is None
 
 
+def test_tables_of_the_orders_go(docs, monkeypatch):
+    gone = []
+    monkeypatch.setattr(lm_score, "discard", lambda written: gone.extend(f.rsplit("/", 1)[0] for f in written.inputFiles()))
+    counts = lm_score.count_tables(lm_score.text_blocks(docs, "doc_id", "text"), 3)
+    kept = {f.rsplit("/", 1)[0] for f in lm_score.weights(counts, 3, 1000).inputFiles() + counts.inputFiles()}
+    assert len(set(gone)) == 3 and not kept & set(gone)
+
+
 @pytest.mark.parametrize("kind", ["smallint", "decimal(10,2)", "string", "int", "binary", "date"])
 def test_ids_of_any_type(spark, kind):
     value = {"date": "date'2020-01-02'", "binary": "X'0102'"}.get(kind, f"cast(7 as {kind})")
