@@ -4,19 +4,21 @@ S(w | context) is count(context w) / count(context) where the n-gram occurs min_
 alpha * S(w | shorter context), down to count(w) / words. A text's score is the sum of ln S over its words, each
 rounded to a millionth so that sums agree in any order.
 
-Tables: each order's n-grams are exploded, counted by a hash-partitioned aggregation, and kept from min_count on (words
-always). What an n-gram adds to a text is a property of the n-gram alone: its own value less the value of its shorter
-suffix, which the word would have had without it. Joins of the count tables with each other give this weight, for each
-number of backoffs that a position allows (fewer at a text's start). A text's score is then the sum of the weights of
-all its n-grams: exploded n-grams joined to the weights by hash, and summed per document.
+Texts are read once and kept as blocks of about BLOCK words. Orders follow one another. Each block explodes its n-grams
+of an order, once each; rows are dealt out by the n-gram's hash, where a window over equal n-grams counts them in all
+blocks, and those from min_count on (words always) go back and are joined to their block. There the next order is
+exploded only where both halves of an n-gram occur min_count times or more, as it can't occur more often than they do:
+nothing is lost, and of natural text most n-grams are not moved. A block's counts give its texts' scores, since the
+context of an n-gram is the shorter one that ends a word before.
 
-An n-gram is a 64-bit hash of its two halves (the n-grams without its last and its first word); counts are kept by both
-halves in full. Two of g n-grams share a hash with probability g^2 / 2^65, and are then scored by one another's weight.
+An n-gram is a 64-bit hash of its two halves (the n-grams without its last and its first word). Two of g n-grams share a
+hash with probability g^2 / 2^65, and are then counted as one.
 
-Hot keys: n-grams of a share 1 / FREQUENT or more, at most FREQUENT an order, are answered from a broadcast table where
-they stand, so that only rarer ones are dealt out by hash. Disk: counting and scoring go through the hash range in
-PASSES parts, each over all texts, whose shuffles are dropped before the next. Texts are read once and kept as blocks of
-about BLOCK words; rows, n-grams and answers all grow in proportion to the words.
+No key is hot: an n-gram has one row a block, and a block is bounded. Disk: an order longer than one word is counted in
+PASSES parts by hash range, whose shuffles are dropped before the next; a block's earlier form goes when it is rewritten.
+Rows, counts and blocks all grow in proportion to the words.
+
+count_tables and weights give the same model as tables, for texts that aren't in the corpus.
 
 Defined results: null and empty texts have no words and score 0; words are runs of non-blank characters, case as it
 is; repeated rows are documents of their own and add to the counts; ids may be of any type; an empty table gives an
@@ -34,7 +36,7 @@ import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import appended, discard, has_columns, materialize, release_memory, widened, worker_cache
@@ -43,10 +45,11 @@ ORDER = 3
 ALPHA = 0.4
 MIN_COUNT = 2
 BLOCK = 1_000_000
-PASSES = 6
-FREQUENT = 1 << 17
+PASSES = 3
+PACKED = 2_000_000  # counts that a task packs at once
 _TEXTS = 1 << 16  # texts of a block at most: 16 bits of a document's number
 _LEVELS = 8
+_ZIP = zstandard.ZstdCompressor(3)
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # constants of XXH64
 
 
@@ -82,13 +85,13 @@ def gram_hashes(words: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tu
         yield at, h, prefix, suffix
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """32-bit numbers byte by byte and compressed: the upper bytes are nearly all zero."""
-    return zstandard.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+def _planes(values: np.ndarray, width: int = 4) -> bytes:
+    """Numbers of so many bytes, byte by byte and compressed: the upper bytes are nearly all zero."""
+    return _ZIP.compress(np.ascontiguousarray(values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes())
 
 
-def _from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def _from_planes(data: bytes, width: int = 4) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
 
 
 def text_blocks(docs: DataFrame, doc_id: str, text: str, block: int = BLOCK) -> DataFrame:
@@ -217,102 +220,142 @@ def weights(counts: DataFrame, order: int, words_all: int, alpha: float = ALPHA,
     return table
 
 
-def _levels(at: np.ndarray, sizes: np.ndarray, k: int, order: int) -> np.ndarray:
-    """By how many words the k-grams that end at these places could be lengthened."""
-    place = at - np.repeat(np.cumsum(sizes) - sizes, sizes)[at]
-    return np.minimum(place + 1, order) - k
-
-
-class Frequent:
-    """Look-up of frequent n-grams; a bitmap over their lower bits turns most others away."""
-
-    BITS = 22
+def _runs(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places in the order of the n-grams, where each run of equal ones starts there, its length)."""
+    rank = np.argsort(grams)
+    known = grams[rank]
+    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(known)), bool), known[1:] != known[:-1])))
+    return rank, starts, np.diff(starts, append=len(known))
 
-    def __init__(self, known: np.ndarray, answers: np.ndarray):
-        rank = np.argsort(known)
-        self.known, self.answers = known[rank], answers[:, rank]
-        self.bitmap = np.zeros(1 << self.BITS, bool)
-        self.bitmap[self._low(known)] = True
 
-    def _low(self, grams: np.ndarray) -> np.ndarray:
-        return grams & np.uint64((1 << self.BITS) - 1)
+def _open_grams(words: np.ndarray, sizes: np.ndarray, k: int, opened: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the last word, hash) of the k-grams whose halves are both kept."""
+    *_, (at, grams, _, _) = gram_hashes(words, sizes, k)
+    may = np.unpackbits(np.frombuffer(opened, np.uint8), count=len(words)).view(bool)[at]
+    return at[may], grams[may]
 
-    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(those of the places that hold a frequent n-gram, its place in the table)."""
-        near = np.flatnonzero(self.bitmap[self._low(grams)])
-        if not len(near):
-            return near, near
-        place = np.minimum(np.searchsorted(self.known, grams[near]), len(self.known) - 1)
-        hit = self.known[place] == grams[near]
-        return near[hit], place[hit]
 
-
-def _frequent(order: int, shared):
-    """mapInArrow body: for each text its number, id, words and the sum over its frequent n-grams."""
+def _exploded(k: int, turn: int, passes: int):
+    """mapInArrow body: the k-grams of each block that may be kept, once each with a place and their number there. A word's
+    place is that in the block's list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("lm_score")
-        table = shared.value
-        for number, words, sizes, ids in _blocks(batches):
-            micro = np.zeros(len(words) + 1, np.int64)
-            for k, (at, grams, _, _) in enumerate(gram_hashes(words, sizes, order), 1):
-                hit, place = table.find(grams)
-                micro[at[hit] + 1] += table.answers[_levels(at, sizes, k, order)[hit], place]
-            total, ends = np.cumsum(micro), np.cumsum(sizes)
-            docs = number << 16 | np.arange(len(sizes))
-            yield pa.RecordBatch.from_arrays([pa.array(docs), ids.values, pa.array(sizes), pa.array(total[ends] - total[ends - sizes])], names=["doc", "doc_id", "n_words", "micro"])
+        for batch in batches:
+            for row in range(batch.num_rows):
+                number, sizes, vocab, codes, opened = (batch.column(c)[row].as_py() for c in range(5))
+                words, sizes = _block(sizes, vocab, codes)
+                if k == 1:
+                    grams = np.frombuffer(vocab, "<u8")
+                    n = np.bincount(_from_planes(codes), minlength=len(grams))
+                    at = np.flatnonzero(_in_pass(grams, turn, passes))
+                    grams, n = grams[at], n[at]
+                else:
+                    at, grams = _open_grams(words, sizes, k, opened)
+                    mine = _in_pass(grams, turn, passes)
+                    at, grams = at[mine], grams[mine]
+                    rank, starts, n = _runs(grams)
+                    at, grams = at[rank[starts]], grams[rank[starts]]
+                cols = [grams.view(np.int64), np.full(len(at), number), at, n]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["gram", "block", "place", "n"])
         release_memory()
 
     return run
 
 
-def _rare(order: int, shared, turn: int, passes: int):
-    """mapInArrow body: each n-gram of a pass that isn't frequent, with its text and level."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow body: (block, place, total) as one row a block, of rising places and their totals."""
+    worker_cache("lm_score")
+    held, rows = [], 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made() -> pa.RecordBatch:
+        block, place, total = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(3))
+        rank = np.lexsort((place, block))
+        block, place, total = block[rank], place[rank], total[rank]
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        parts = [(block[lo], _planes(np.diff(place[lo:hi], prepend=0)), _planes(total[lo:hi], 8)) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*parts, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "places", "totals"])
+
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= PACKED:
+            yield made()
+            held, rows = [], 0
+    if rows:
+        yield made()
+    release_memory()
+
+
+def _counts_of(k: int, words: np.ndarray, sizes: np.ndarray, n_vocab: int, opened: bytes, counted: pa.Table) -> np.ndarray:
+    """What came back for a block: the count of each word of its list, or of the k-gram that ends at each place (0: not kept)."""
+    totals = np.zeros(n_vocab if k == 1 else len(words), np.int64)
+    for places, n in zip(counted.column("places").to_pylist(), counted.column("totals").to_pylist(), strict=True):
+        totals[np.cumsum(_from_planes(places), dtype=np.int64)] = _from_planes(n, 8)
+    if k > 1:  # one place of each n-gram was sent
+        at, grams = _open_grams(words, sizes, k, opened)
+        rank, starts, n = _runs(grams)
+        if len(starts):
+            at = at[rank]
+            totals[at] = np.repeat(np.maximum.reduceat(totals[at], starts), n)
+    return totals
+
+
+def _with_counts(k: int, order: int, words_all: int, alpha: float, min_count: int):
+    """Cogrouped body: a block with its counts of order k, and after the last order its texts' scores."""
+
+    def run(block: pa.Table, counted: pa.Table) -> pa.Table:
         worker_cache("lm_score")
-        table = shared.value
-        for number, words, sizes in _blocks(batches):
-            owner = np.repeat(number << 16 | np.arange(len(sizes)), sizes)
-            for k, (at, grams, _, _) in enumerate(gram_hashes(words, sizes, order), 1):
-                mine = _in_pass(grams, turn, passes)
-                level, at, grams = _levels(at, sizes, k, order)[mine], at[mine], grams[mine]
-                hit, _ = table.find(grams)
-                level, at, grams = (np.delete(x, hit) for x in (level, at, grams))
-                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(owner[at] * _LEVELS + level)], names=["gram", "doc"])
+        sizes, vocab, codes, opened, counts = (block.column(c)[0].as_py() for c in ("sizes", "vocab", "codes", "opened", "counts"))
+        sizes, codes = _from_planes(sizes).astype(np.int64), _from_planes(codes)
+        words = np.frombuffer(vocab, "<u8")[codes]
+        place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        own = _counts_of(k, words, sizes, len(vocab) // 8, opened, counted)
+        if k < order:
+            enough = (own[codes] if k == 1 else own) >= min_count
+            both = enough & (place >= k)
+            both[1:] &= enough[:-1]
+            release_memory()
+            columns = block.select(["block", "ids", "sizes", "vocab", "codes"])
+            return columns.append_column("counts", pa.array([[*counts, _planes(own, 8)]], pa.list_(pa.binary()))).append_column("opened", pa.array([np.packbits(both).tobytes()], pa.binary()))
+        totals = [*(_from_planes(c, 8).astype(np.int64) for c in counts), own]
+        shorter = totals[0][codes]
+        value = np.log(shorter / words_all)
+        for j, total in enumerate(totals[1:], 1):
+            kept = np.flatnonzero(total)
+            longer = np.where(place >= j, log(alpha) + value, value)
+            longer[kept] = np.log(total[kept] / shorter[kept - 1])
+            value, shorter = longer, total
+        micro, ends = np.concatenate(([0], np.cumsum(np.rint(value * 1e6).astype(np.int64)))), np.cumsum(sizes)
         release_memory()
+        return pa.table([block.column("ids")[0].values, pa.array(sizes), pa.array((micro[ends] - micro[ends - sizes]) / 1e6)], names=["doc_id", "n_words", "score"])
 
     return run
 
 
-def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, block: int = BLOCK, passes: int = PASSES, frequent: int = FREQUENT) -> DataFrame:
-    """(doc_id, n_words, score) for each row."""
+def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, block: int = BLOCK, passes: int = PASSES, frequent: int | None = None) -> DataFrame:
+    """(doc_id, n_words, score) for each row. `frequent` is taken as before, but has no use now that no key is hot."""
     has_columns(docs, doc_id, text)
     if not 1 <= order <= _LEVELS:
         raise ValueError(f"the order must be 1 to {_LEVELS}")
     blocks = materialize(text_blocks(docs, doc_id, text, block))
     words_all = blocks.agg(F.sum("n_words")).first()[0] or 0
-    counts = count_tables(blocks, order, min_count, passes)
-    table = weights(counts, order, words_all, alpha, passes)
-    discard(counts)
-    often = F.col("n") * frequent >= F.lit(words_all)
-    found = table.where(often).select("gram", *[f"w{i}" for i in range(order)]).toArrow()  # at most `frequent` rows an order
-    answers = np.stack([pc.fill_null(found.column(f"w{i}"), 0).to_numpy().astype(np.int64) for i in range(order)])
-    shared = docs.sparkSession.sparkContext.broadcast(Frequent(found.column("gram").to_numpy().view(np.uint64), answers))
-    schema = docs.select(F.lit(0).cast("long").alias("doc"), F.col(doc_id).alias("doc_id"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("micro")).schema
-    base = materialize(blocks.select("block", "sizes", "vocab", "codes", "ids").mapInArrow(_frequent(order, shared), schema))
-    own = blocks.select("block", "sizes", "vocab", "codes")
+    schema = docs.select(F.col(doc_id).alias("doc_id"), F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("score")).schema
+    known = blocks.drop("n_words").select("*", F.array().cast("array<binary>").alias("counts"), F.lit(b"").alias("opened"))
 
-    def part(turn: int) -> DataFrame:
-        rows = own.mapInArrow(_rare(order, shared, turn, passes), "gram long, doc long")
-        rest = table.where(~often & _column_in_pass("gram", turn, passes)).drop("n")
-        level = F.col("doc") % _LEVELS
-        weight = F.col("w0")
-        for i in range(1, order):
-            weight = F.when(level == i, F.col(f"w{i}")).otherwise(weight)
-        # keys of the rest are unique, so that a partition's share of it is a small hash table, and its n-grams need no sort
-        return rows.join(rest.hint("shuffle_hash"), "gram").select(F.shiftright("doc", 3).alias("doc"), weight.alias("micro")).groupBy("doc").agg(F.sum("micro").alias("micro"))
-
-    sums = appended(part(turn) for turn in range(passes)).groupBy("doc").agg(F.sum("micro").alias("more"))
-    total = F.col("micro") + F.coalesce(F.col("more"), F.lit(0))
-    return base.join(sums, "doc", "left").select("doc_id", "n_words", (total / F.lit(1e6)).alias("score"))
+    def counted(k: int, turn: int, turns: int) -> DataFrame:
+        rows = known.select("block", "sizes", "vocab", "codes", "opened").mapInArrow(_exploded(k, turn, turns), "gram long, block long, place long, n long")
+        rows = rows.withColumn("total", F.sum("n").over(Window.partitionBy("gram")))
+        kept = rows if k == 1 else rows.where(F.col("total") >= min_count)
+        return kept.select("block", "place", "total").mapInArrow(_packed, "block long, places binary, totals binary")
+
+    for k in range(1, order + 1):
+        turns = 1 if k == 1 else passes  # of words, a block has few different ones
+        found = appended(counted(k, turn, turns) for turn in range(turns))
+        made = known.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_with_counts(k, order, words_all, alpha, min_count), schema if k == order else known.schema)
+        if k < order:
+            made = materialize(made)
+            for done in (known, found):
+                discard(done)
+            known = made
+    return made

@@ -61,6 +61,38 @@ def test_tables_of_the_orders_go(docs, monkeypatch):
     assert len(set(gone)) == 3 and not kept & set(gone)
 
 
+def test_only_grams_of_frequent_halves_are_dealt_out(monkeypatch):
+    """An n-gram occurs no more often than its halves, so that one with a rare half needs no count."""
+    import numpy as np
+    import pyarrow as pa
+
+    words = "a b a b c d e".split()
+    vocab, codes = np.unique(words, return_inverse=True)
+    known = pa.table({"block": [5], "ids": [[1, 2]], "sizes": [lm_score._planes(np.array([7, 0]))], "vocab": [np.arange(1, len(vocab) + 1, dtype="<u8").tobytes()], "codes": [lm_score._planes(codes)], "counts": pa.array([[]], pa.list_(pa.binary())), "opened": [b""]})
+    dealt = []
+    monkeypatch.setattr(lm_score, "PACKED", 1)
+    for k in (1, 2, 3):
+        rows = pa.Table.from_batches(lm_score._exploded(k, 0, 1)(known.select(["block", "sizes", "vocab", "codes", "opened"]).to_batches()))
+        dealt.append(sorted(rows["n"].to_pylist()))
+        back = rows.filter(pa.compute.greater_equal(rows["n"], 1 if k == 1 else 2)).select(["block", "place", "n"]).to_batches(max_chunksize=2)
+        found = list(lm_score._packed(iter(back)))
+        assert len(found) == {1: 3, 2: 1, 3: 0}[k]
+        counted = pa.Table.from_batches(found, pa.schema([("block", pa.int64()), ("places", pa.binary()), ("totals", pa.binary())]))
+        known = lm_score._with_counts(k, 3, 7, 0.4, 2)(known, counted)
+    assert dealt == [[1, 1, 1, 2, 2], [1, 2], []]  # of two-word ones a b and b a
+    assert [(n, s) for _, n, s in map(tuple, (r.values() for r in known.to_pylist()))] == brute([" ".join(words), ""], 3, 0.4, 2)
+
+
+def test_counts_beyond_32_bits_come_back():
+    import numpy as np
+    import pyarrow as pa
+
+    big = 7 << 40
+    found = list(lm_score._packed(iter([pa.record_batch({"block": [1, 1], "place": [1, 0], "total": [big, 3]})])))
+    got = lm_score._counts_of(1, np.zeros(0, np.uint64), np.zeros(0, np.int64), 2, b"", pa.Table.from_batches(found))
+    assert got.tolist() == [3, big]
+
+
 @pytest.mark.parametrize("kind", ["smallint", "decimal(10,2)", "string", "int", "binary", "date"])
 def test_ids_of_any_type(spark, kind):
     value = {"date": "date'2020-01-02'", "binary": "X'0102'"}.get(kind, f"cast(7 as {kind})")
