@@ -49,6 +49,7 @@ PASSES = 3
 PACKED = 2_000_000  # counts that a task packs at once
 _TEXTS = 1 << 16  # texts of a block at most: 16 bits of a document's number
 _LEVELS = 8
+_SLICE = 1 << 13  # n-grams hashed at once
 _ZIP = zstandard.ZstdCompressor(3)
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # constants of XXH64
 
@@ -67,8 +68,12 @@ def _hash_long(x: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
 
 
 def join_halves(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-    """What F.xxhash64(prefix, suffix) gives for two longs."""
-    return _hash_long(suffix, _hash_long(prefix, np.uint64(42)))
+    """What F.xxhash64(prefix, suffix) gives for two longs. Slices keep the many intermediate arrays in the processor's cache."""
+    out = np.empty(len(prefix), np.uint64)
+    for lo in range(0, len(out), _SLICE):
+        cut = slice(lo, lo + _SLICE)
+        out[cut] = _hash_long(suffix[cut], _hash_long(prefix[cut], np.uint64(42)))
+    return out
 
 
 def gram_hashes(words: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -228,11 +233,13 @@ def _runs(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rank, starts, np.diff(starts, append=len(known))
 
 
-def _open_grams(words: np.ndarray, sizes: np.ndarray, k: int, opened: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the last word, hash) of the k-grams whose halves are both kept."""
-    *_, (at, grams, _, _) = gram_hashes(words, sizes, k)
-    may = np.unpackbits(np.frombuffer(opened, np.uint8), count=len(words)).view(bool)[at]
-    return at[may], grams[may]
+def _open_grams(words: np.ndarray, k: int, opened: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the last word, hash) of the k-grams whose halves are both kept; these lie within a text."""
+    at = np.flatnonzero(np.unpackbits(np.frombuffer(opened, np.uint8), count=len(words)))
+    shorter = words
+    for _ in range(k - 2):
+        shorter = join_halves(shorter[:-1], shorter[1:])
+    return at, join_halves(shorter[at - k + 1], shorter[at - k + 2])
 
 
 def _exploded(k: int, turn: int, passes: int):
@@ -244,14 +251,14 @@ def _exploded(k: int, turn: int, passes: int):
         for batch in batches:
             for row in range(batch.num_rows):
                 number, sizes, vocab, codes, opened = (batch.column(c)[row].as_py() for c in range(5))
-                words, sizes = _block(sizes, vocab, codes)
+                words, _ = _block(sizes, vocab, codes)
                 if k == 1:
                     grams = np.frombuffer(vocab, "<u8")
                     n = np.bincount(_from_planes(codes), minlength=len(grams))
                     at = np.flatnonzero(_in_pass(grams, turn, passes))
                     grams, n = grams[at], n[at]
                 else:
-                    at, grams = _open_grams(words, sizes, k, opened)
+                    at, grams = _open_grams(words, k, opened)
                     mine = _in_pass(grams, turn, passes)
                     at, grams = at[mine], grams[mine]
                     rank, starts, n = _runs(grams)
@@ -287,13 +294,13 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release_memory()
 
 
-def _counts_of(k: int, words: np.ndarray, sizes: np.ndarray, n_vocab: int, opened: bytes, counted: pa.Table) -> np.ndarray:
+def _counts_of(k: int, words: np.ndarray, n_vocab: int, opened: bytes, counted: pa.Table) -> np.ndarray:
     """What came back for a block: the count of each word of its list, or of the k-gram that ends at each place (0: not kept)."""
     totals = np.zeros(n_vocab if k == 1 else len(words), np.int64)
     for places, n in zip(counted.column("places").to_pylist(), counted.column("totals").to_pylist(), strict=True):
         totals[np.cumsum(_from_planes(places), dtype=np.int64)] = _from_planes(n, 8)
     if k > 1:  # one place of each n-gram was sent
-        at, grams = _open_grams(words, sizes, k, opened)
+        at, grams = _open_grams(words, k, opened)
         rank, starts, n = _runs(grams)
         if len(starts):
             at = at[rank]
@@ -310,7 +317,7 @@ def _with_counts(k: int, order: int, words_all: int, alpha: float, min_count: in
         sizes, codes = _from_planes(sizes).astype(np.int64), _from_planes(codes)
         words = np.frombuffer(vocab, "<u8")[codes]
         place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        own = _counts_of(k, words, sizes, len(vocab) // 8, opened, counted)
+        own = _counts_of(k, words, len(vocab) // 8, opened, counted)
         if k < order:
             enough = (own[codes] if k == 1 else own) >= min_count
             both = enough & (place >= k)
