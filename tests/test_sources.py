@@ -189,3 +189,17 @@ def test_files_of_many_folders(spark, tmp_path):
     got = files.read_binary(spark, f"{tmp_path}/o", below="part-*").select("content").collect()
     assert sorted(bytes(r[0]) for r in got) == sorted(f"t{i}\n".encode() for i in range(40))
     assert spark.conf.get(name) == before
+
+
+def test_tasks_write_local_files_themselves(spark, tmp_path):
+    """Without a checksum file, and a process to set its mode, beside each; folders are named as Spark names them."""
+    rows = [("a/b=c", "x\n"), ("é:1 [%]", "y"), (None, "z\n"), ("n", None), ("n", "2\n\n"), ("n", "é\r\n")]
+    df = spark.createDataFrame(rows, "k string, t string").coalesce(1)
+    files.write_markdown(df, f"{tmp_path}/m", "k", "t")
+    files.write_markdown(df, f"{tmp_path}/m", "k", "t")
+    assert not [x for x in (tmp_path / "m").rglob(".*") if x.name.startswith(".part")]
+    df.select("k", F.regexp_replace("t", r"\n\z", "").alias("value")).write.partitionBy("k").text(f"{tmp_path}/spark")
+    found = [{x.parent.name: x.read_bytes() for x in (tmp_path / p).rglob("part-*")} for p in ("m", "spark")]
+    assert found[0].keys() == found[1].keys() and len(found[0]) == 4
+    assert {k: sorted(v.split(b"\n")) for k, v in found[0].items()} == {k: sorted(v.split(b"\n")) for k, v in found[1].items()}
+    assert (tmp_path / "m" / "_SUCCESS").exists()
